@@ -114,7 +114,7 @@ def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...], id_col: str = "page_id
     )
     judged = (
         targets.withColumn("candidates", fetched)
-        .withColumn("fits", F.filter("candidates", lambda r: F.expr("target").rlike(r["pattern"])))
+        .withColumn("fits", F.filter("candidates", lambda r: F.rlike(F.col("target"), r["pattern"])))
         .withColumn("site", F.get(best(True), 0))
         .withColumn("word", F.get(best(False), 0))
     )
