@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, decontaminate, secret_scan, token_counts, url_rules
+from scanloom.llm import bpe, decontaminate, language_id, lattice_lm, quality, secret_scan, token_counts, url_rules
+from scanloom.llm.text import residue
 
 #: Tokens above which a text is over the limit.
 TOKEN_LIMIT = 2048
@@ -19,6 +20,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    ratings = labels.select("doc_id", quality.rating(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality.score(docs, quality.train(docs, ratings))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     judged = url_rules.judge_urls(pages, url_rules.SITE_RULES + url_rules.WORD_RULES)
@@ -33,6 +40,18 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path()))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train(docs.filter(residue("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    predicted = language_id.identify(docs, model)
+    return predicted.select("doc_id", F.coalesce(residue("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return lattice_lm.score(docs, residue("doc_id", 10) == 0, tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return decontaminate.with_digest(decontaminate.scan(docs, benchmark))
@@ -45,9 +64,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_url_filters": op3_url_filters,
         "op4_secret_scans": op4_secret_scans,
         "op5_bpe_round_trip": op5_bpe_round_trip,
+        "op6_language_id": op6_language_id,
+        "op8_lm_scores": op8_lm_scores,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_token_counts": op10_token_counts,
     }
