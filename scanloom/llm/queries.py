@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, decontaminate, language_id, lattice_lm, quality, secret_scan, token_counts, url_rules
+from scanloom.llm import bpe, decontaminate, language_id, lattice_lm, ngram_join, quality, secret_scan, token_counts, url_rules
 from scanloom.llm.text import residue
 
 #: Tokens above which a text is over the limit.
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     ratings = labels.select("doc_id", quality.rating(F.col("quality"), F.col("toxic")).alias("grade"))
@@ -64,6 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_url_filters": op3_url_filters,
         "op4_secret_scans": op4_secret_scans,
