@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, decontaminate, language_id, lattice_lm, ngram_join, quality, secret_scan, token_counts, url_rules
+from scanloom.llm import bpe, decontaminate, language_id, lattice_lm, multi_index, ngram_join, quality, secret_scan, token_counts, url_rules
 from scanloom.llm.text import residue
 
 #: Tokens above which a text is over the limit.
@@ -51,6 +51,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", F.coalesce(residue("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return lattice_lm.score(docs, residue("doc_id", 10) == 0, tokenizer_path("piece_bpe_32k.model"))
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scans": op4_secret_scans,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op6_language_id": op6_language_id,
+        "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_lm_scores": op8_lm_scores,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_token_counts": op10_token_counts,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_FOLDER = "/tmp/checkpoints"
 #: Rows handed to Python at once; with long texts the default of 10,000 is too many.
 BATCH_ROWS = 256
+_SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,10 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, so that a batch of very long texts fits in memory."""
+    """Readies a session for Python on its executors: small Arrow batches, and this package at hand.
+
+    Batches are bounded in rows so that one of very long texts fits in memory.
+    The package goes to the executors through the context, once.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        # the context serves the file from its place, so it stays as long as the driver does
+        shipped = Path(tempfile.mkdtemp(prefix=package.name)) / f"{package.name}.zip"
+        with zipfile.ZipFile(shipped, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        context.addPyFile(str(shipped))
+        _SHIPPED.add(context.applicationId)
 
 
 class Stash:
