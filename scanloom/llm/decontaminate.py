@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.storage import bounded_batches
-from scanloom.llm.text import ALNUM_TABLE, alnum_words, column_bytes, id_and_text
+from scanloom.llm.text import ALNUM_TABLE, alnum_words, column_bytes, id_and_text, row_batch, with_results
 
 WINDOW = 13
 #: Bytes of benchmark text in one broadcast block; beyond it there are more blocks.
@@ -114,6 +114,7 @@ def scan(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    whole_rows: bool = False,
 ) -> DataFrame:
     """Marks the words of documents that lie in a window of the benchmark.
 
@@ -122,25 +123,26 @@ def scan(
     long, contaminated boolean.  A null or empty text has no words and is clean,
     as is every document when the benchmark is empty.  Items without words have
     no windows; repeated items count once by id.  Repeated documents are kept
-    row by row; other columns are not read.
+    row by row, and ``whole_rows`` adds them as a struct ``row``; other columns are
+    not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    kept = id_and_text(docs, id_col, text_col)
-    kind = kept.schema["doc_id"].dataType.simpleString()
+    kept = id_and_text(docs, id_col, text_col, whole_rows)
+    own = [c for c in kept.columns if c != "text"]
     sets = [spark.sparkContext.broadcast(WindowSet(b)) for b in blocks(benchmark, item_id_col, item_text_col, block_bytes)]
     if len(sets) == 1:
-        return kept.mapInArrow(_scan_block(sets[0]), f"doc_id {kind}, {FOUND}")
+        return kept.mapInArrow(_scan_block(sets[0]), with_results(kept, FOUND))
     # a scan for each block; equal texts of one id have equal results and are counted together
     keyed = kept.withColumn("copy", F.sha2(F.coalesce("text", F.lit("")), 256))
-    scans = [keyed.mapInArrow(_scan_block(s, ["copy"]), f"doc_id {kind}, copy string, {FOUND}") for s in sets]
-    merged = reduce(DataFrame.unionByName, scans).groupBy("doc_id", "copy", "n_words").agg(
+    scans = [keyed.mapInArrow(_scan_block(s, ["copy"]), with_results(kept, f"copy string, {FOUND}")) for s in sets]
+    merged = reduce(DataFrame.unionByName, scans).groupBy(*own, "copy", "n_words").agg(
         F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("*").alias("rows")
     )
     return (
-        merged.mapInArrow(_merged_block, f"doc_id {kind}, rows long, {FOUND}")
-        .withColumn("row", F.explode(F.sequence(F.lit(1), (F.col("rows") / len(sets)).cast("long"))))
-        .drop("row", "rows")
+        merged.mapInArrow(_merged_block, with_results(kept, f"rows long, {FOUND}"))
+        .withColumn("copy_number", F.explode(F.sequence(F.lit(1), (F.col("rows") / len(sets)).cast("long"))))
+        .drop("copy_number", "rows")
     )
 
 
@@ -149,7 +151,9 @@ FOUND = "n_words long, spans array<struct<start:long,stop:long>>, items array<st
 
 def _found(batch: pa.RecordBatch, keep: list[str], rows: list[tuple[int, list[tuple[int, int]], list[str]]]) -> pa.RecordBatch:
     hit = [sum(b - a for a, b in spans) for _, spans, _ in rows]
-    return pa.RecordBatch.from_arrays(
+    return row_batch(
+        batch,
+        [*keep, "n_words", "spans", "items", "n_hit", "n_items", "contaminated"],
         [
             *map(batch.column, keep),
             pa.array([n for n, _, _ in rows], pa.int64()),
@@ -159,7 +163,6 @@ def _found(batch: pa.RecordBatch, keep: list[str], rows: list[tuple[int, list[tu
             pa.array([len(items) for _, _, items in rows], pa.int64()),
             pa.array([h > 0 and 20 * h >= n for h, (n, _, _) in zip(hit, rows)], pa.bool_()),
         ],
-        names=[*keep, "n_words", "spans", "items", "n_hit", "n_items", "contaminated"],
     )
 
 
@@ -172,7 +175,7 @@ def _scan_block(windows, keep: list[str] = []):  # noqa: B006
                 words = alnum_words(text)
                 spans, items = held.hits(words)
                 rows.append((len(words), spans, sorted({str(held.ids[k]) for k in items})))
-            yield _found(batch, ["doc_id", *keep], rows)
+            yield _found(batch, keep, rows)
 
     return run
 
@@ -180,7 +183,7 @@ def _scan_block(windows, keep: list[str] = []):  # noqa: B006
 def _merged_block(batches):
     for batch in batches:
         rows = zip(batch.column("n_words").to_pylist(), batch.column("spans").to_pylist(), batch.column("items").to_pylist())
-        yield _found(batch, ["doc_id", "rows"], [(n, merge_spans([(s["start"], s["stop"]) for s in spans]), items) for n, spans, items in rows])
+        yield _found(batch, ["rows"], [(n, merge_spans([(s["start"], s["stop"]) for s in spans]), items) for n, spans, items in rows])
 
 
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:

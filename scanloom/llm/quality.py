@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm.bpe import BoundedCache
 from scanloom.llm.storage import bounded_batches
-from scanloom.llm.text import column_bytes, id_and_text
+from scanloom.llm.text import column_bytes, id_and_text, row_batch, with_results
 
 BITS = 18
 #: Bound of the training sample, in rated texts of each grade; in expectation a fifth more is drawn.
@@ -154,13 +154,13 @@ def _flat(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, np.concatenate(buckets), np.concatenate([np.frombuffer(r["v"], np.float32) for r in held])
 
 
-def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """Grades whole texts.
 
     Returns a row per input row: doc_id, position double, expected_grade double
     (0 to the top grade), tail_prob double (probability of the top grade),
     selected boolean.  A null or empty text has no words, which is a feature of
-    its own, and gets a grade as any other.  Repeated rows and null ids are kept;
+    its own, and gets a grade as any other.  ``whole_rows`` adds the input row as a struct ``row``.  Repeated rows and null ids are kept;
     other columns are not read.
     """
     spark = df.sparkSession
@@ -173,11 +173,11 @@ def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col:
             parts = [found.of(t) for t in column_bytes(batch)]
             s = np.array([float((model.weights[b] * v).sum(dtype=np.float64)) for b, v in parts])
             tails = model.tail(s)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(s), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= model.cut)],
-                names=["doc_id", "position", "expected_grade", "tail_prob", "selected"],
+            yield row_batch(
+                batch,
+                ["position", "expected_grade", "tail_prob", "selected"],
+                [pa.array(s), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= model.cut)],
             )
 
-    kept = id_and_text(df, id_col, text_col)
-    kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"doc_id {kind}, position double, expected_grade double, tail_prob double, selected boolean")
+    kept = id_and_text(df, id_col, text_col, whole_rows)
+    return kept.mapInArrow(run, with_results(kept, "position double, expected_grade double, tail_prob double, selected boolean"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.storage import bounded_batches
-from scanloom.llm.text import id_and_text
+from scanloom.llm.text import id_and_text, row_batch, with_results
 
 # The base patterns, with the least length of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -123,14 +123,15 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]
     return "".join([*out, text[at:]])
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """Finds secrets in whole texts.
 
     Returns a row per input row: doc_id, n_assign, n_access, n_hex long, base and
     spans string (``kind:start:end`` by start, then kind; characters, end
     exclusive; base patterns alone, and with the entropy spans), redacted string.
     A null text counts as empty and has no spans; its redacted text is null.
-    Repeated rows and null ids are kept; other columns are not read.
+    ``whole_rows`` adds the input row as a struct ``row``.  Repeated rows and null
+    ids are kept; other columns are not read.
     """
     bounded_batches(df.sparkSession)
 
@@ -140,20 +141,19 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             base = [base_spans(t) if t else [] for t in texts]
             every = [in_order(b + [("entropy", *s) for s in entropy_spans(t)]) if t else [] for t, b in zip(texts, base)]
             count = lambda kind: pa.array([sum(s[0] == kind for s in b) for b in base], pa.int64())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
+            yield row_batch(
+                batch,
+                ["n_assign", "n_access", "n_hex", "base", "spans", "redacted"],
                 [
-                    batch.column("doc_id"),
                     *map(count, KINDS[:3]),
                     pa.array(map(shown, base), pa.string()),
                     pa.array(map(shown, every), pa.string()),
                     pa.array([redacted(t, s) if s else t for t, s in zip(texts, every)], pa.string()),
                 ],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans", "redacted"],
             )
 
-    kept = id_and_text(df, id_col, text_col)
-    kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base string, spans string, redacted string")
+    kept = id_and_text(df, id_col, text_col, whole_rows)
+    return kept.mapInArrow(run, with_results(kept, "n_assign long, n_access long, n_hex long, base string, spans string, redacted string"))
 
 
 def with_digest(scanned: DataFrame) -> DataFrame:
