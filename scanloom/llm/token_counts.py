@@ -106,6 +106,34 @@ class PrefixCounter:
             return np.array([self.total(word[:k]) for k in range(1, len(word) + 1)])
         return self.cache[word]
 
+    def cut(self, text: str, budget: int) -> int:
+        """As PrefixTable.cut, looking into no other word than the one in which the budget ends.
+
+        A prefix has at least a token more than the words before the one it
+        ends in, so the longest one ends in, or just before, the last word that
+        starts below the budget.
+        """
+        bpe = self.bpe
+        if any(s in text for s in bpe.special):
+            return self.table(text).cut(budget)
+        normal, total, last = bpe.normal(text), 0, None
+        for m in bpe.words.__self__.finditer(normal):
+            if total >= budget:
+                break
+            last = m, total
+            total += self.words[m[0]]
+        else:
+            if total <= budget:
+                return len(normal)
+            m = None
+        if last is None:
+            return m.start() if m else len(normal)
+        word, before = last
+        if total <= budget:
+            return m.start()
+        fits = np.flatnonzero(before + self.prefixes(word[0]) <= budget)
+        return word.start() + (int(fits[-1]) + 1 if len(fits) else 0)
+
     def table(self, text: str | None) -> PrefixTable:
         return PrefixTable(self, text or "")
 
@@ -177,7 +205,7 @@ def count_tokens(
                     batch.column("doc_id"),
                     pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()),
                     pa.array(totals, pa.int64()),
-                    pa.array([count.table(t).cut(budget) if n > budget else None for t, n in zip(texts, totals)], pa.int64()),
+                    pa.array([count.cut(t, budget) if n > budget else None for t, n in zip(texts, totals)], pa.int64()),
                 ],
                 names=["doc_id", "n_bytes", "n_tokens", "cut_chars"],
             )
