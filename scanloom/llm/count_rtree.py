@@ -92,24 +92,54 @@ def similar(a: np.ndarray, b: np.ndarray, part: int, whole: int) -> bool:
     return whole * shared >= part * (len(a) + len(b) - shared)
 
 
+def packed_point(tokens: np.ndarray) -> bytes:
+    """A set's point at its own number of groups, in one byte a group, or two where one is too few."""
+    counts = group_counts(tokens, groups_for(len(tokens)))
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint16).tobytes()
+
+
+def unpacked_point(raw: bytes, size: int, groups: int) -> np.ndarray:
+    """A packed point at fewer groups."""
+    own = groups_for(size)
+    return np.frombuffer(raw, np.uint8 if len(raw) == own else np.uint16).reshape(-1, groups).sum(0, dtype=np.int64)
+
+
+def size_runs(sizes: np.ndarray, part: int, whole: int) -> list[np.ndarray]:
+    """Positions by size, cut where the sizes are too far apart for a link to cross."""
+    order = np.argsort(sizes, kind="stable")
+    ends = np.flatnonzero(whole * sizes[order][:-1] < part * sizes[order][1:]) + 1
+    return [run for run in np.split(order, ends) if len(run) > 1]
+
+
+def with_candidates(sizes: np.ndarray, packed: list[bytes], part: int, whole: int) -> np.ndarray:
+    """Which points have a candidate other than themselves."""
+    found = np.zeros(len(sizes), bool)
+    for run in size_runs(sizes, part, whole):
+        groups = groups_for(int(sizes[run[0]]))
+        points = np.array([unpacked_point(packed[i], int(sizes[i]), groups) for i in run], np.int32)
+        tree = CountRTree(points)
+        for k, point in enumerate(points):
+            if not found[run[k]]:
+                near = tree.candidates(point, part, whole)
+                near = near[near != k]
+                # the bound holds from either side
+                if len(near):
+                    found[run[near]] = found[run[k]] = True
+    return found
+
+
 def spanning_links(sets: list[np.ndarray], indexed: np.ndarray, queries: np.ndarray, part: int, whole: int) -> list[tuple[int, int]]:
     """Links between indexed sets and queries that span the same components as all their links.
 
     A candidate that hangs together with the query already is not verified, so a
     group of near copies costs a verification for each of its sets.
     """
-    sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    # no link crosses a gap in the sizes
-    ends = np.flatnonzero(whole * sizes[order][:-1] < part * sizes[order][1:]) + 1
     forest, links = Forest(len(sets)), []
-    for run in np.split(order, ends):
-        if len(run) < 2:
-            continue
+    for run in size_runs(np.array([len(s) for s in sets]), part, whole):
         tree_of, asked = run[indexed[run]], run[queries[run]]
         if not len(tree_of) or not len(asked):
             continue
-        groups = groups_for(sizes[run[0]])
+        groups = groups_for(len(sets[run[0]]))
         points = {int(i): group_counts(sets[i], groups) for i in run}
         tree = CountRTree(np.array([points[int(i)] for i in tree_of], np.int32))
         for q in asked.tolist():

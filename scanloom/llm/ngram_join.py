@@ -8,8 +8,10 @@
    pivot's block.  So every linked pair meets in a block, and texts that share no
    more than a common passage seldom do.
 3. In a block, sets are points in an R-tree (see count_rtree): their shingles
-   are hashed into groups, the bound on the overlap picks candidates, the sets
-   themselves verify them.  Only links that join two components go on.
+   are hashed into groups, and the bound on the overlap picks candidates.  This
+   is done on the points alone first, so that only sets with a candidate are
+   fetched; then the sets themselves verify.  Only links that join two
+   components go on.
 4. A block too large for one task is first compared with its pivot; then the
    sets that the pivot has not caught meet all the others, in parts.
 5. Components of the links, over representatives of equal sets.
@@ -23,11 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.bpe import BoundedCache
 from scanloom.llm.components import connected_components
-from scanloom.llm.count_rtree import similar, spanning_links
+from scanloom.llm.count_rtree import packed_point, similar, spanning_links, with_candidates
 from scanloom.llm.storage import Stash, bounded_batches
-from scanloom.llm.text import column_bytes, spaced_words
 
 WORDS = 5
 PART, WHOLE = 80, 100
@@ -37,30 +37,89 @@ FREQUENT = 200_000
 COUNTED_AT_ONCE, REPORTED_FROM = 4_000_000, 4
 #: Shingles in one part of a block (32 MB of hashes).
 BLOCK_SHINGLES = 4_000_000
-_P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Bytes of text hashed at once.
+HASHED_BYTES = 1 << 20
+_P = 0x9E3779B97F4A7C15
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
-    """Sets of hashed n-grams of whole texts; keeps the hashes of words it has seen."""
+    """Sets of hashed n-grams of whole texts, many texts at once.
+
+    A word's hash is a polynomial of its bytes, lower-cased by the table of byte
+    values, and comes from sums over the whole buffer; an n-gram's hash is a
+    polynomial of its words' hashes.  Both are of 64 bits.
+    """
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.hashes = BoundedCache(xxhash.xxh3_64_intdigest)
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        """Sorted distinct 64-bit hashes; a shorter text has its whole sequence as one."""
-        words = spaced_words(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        w = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        size = min(self.words, len(w))
-        out = np.zeros(len(w) - size + 1, np.uint64)
-        for k in range(size):
-            out = out * _P + w[k : len(w) - size + k + 1]
-        out ^= out >> np.uint64(31)
-        out *= _M
-        out ^= out >> np.uint64(29)
-        return np.unique(out)
+        values = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P))
+        values[0x41:0x5B] = values[0x61:0x7B]
+        self.values = values
+        self.space = np.zeros(256, bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            n = max(n, HASHED_BYTES)
+            for name, base in (("power", _P), ("inverse", pow(_P, -1, 1 << 64))):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps))
+
+    def batch(self, column: pa.Array) -> list[np.ndarray]:
+        """For each text the sorted distinct hashes; a shorter text has its whole sequence as one, no text none."""
+        texts = column.cast(pa.binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        out, first = [], 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + HASHED_BYTES, "right")) - 1)
+            out += self._sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            first = last
+        if texts.null_count:
+            out = [s if ok else s[:0] for s, ok in zip(out, texts.is_valid().to_pylist())]
+        return out
+
+    def _sets(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        none = np.zeros(0, np.uint64)
+        if not len(data):
+            return [none] * (len(bounds) - 1)
+        self._grow(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.power[: len(data)], out=sums[1:])
+        # breaks[i]: no word goes on from byte i - 1 to byte i
+        solid = ~self.space[data]
+        breaks = np.ones(len(data) + 1, bool)
+        breaks[1:-1] = ~(solid[1:] & solid[:-1])
+        breaks[bounds] = True
+        starts = np.flatnonzero(solid & breaks[:-1])
+        ends = np.flatnonzero(solid & breaks[1:]) + 1
+        w = _mixed((sums[ends] - sums[starts]) * self.inverse[starts])
+        at = np.searchsorted(starts, bounds)
+        grams = _polynomial(w, self.words) if len(w) >= self.words else none
+        out = []
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            own = grams[i : j - self.words + 1] if j - i >= self.words else _polynomial(w[i:j], j - i) if j > i else none
+            own = np.sort(own)
+            out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own)
+        return out
+
+
+def _polynomial(w: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(len(w) - size + 1, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(_P) + w[k : len(w) - size + k + 1]
+    return _mixed(out)
 
 
 def prefix_size(n: int, part: int = PART, whole: int = WHOLE) -> int:
@@ -73,23 +132,25 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def _scan(docs: DataFrame, words: int) -> DataFrame:
-    """Per document its set's size and digest; and frequent shingles with counts (partial)."""
+    """Per document its set's size, digest and point; and frequent shingles with counts (partial)."""
 
     def run(batches):
         shingler, gathered, held = Shingler(words), [], 0
 
         def frequent():
-            keys, counts = np.unique(np.concatenate(gathered), return_counts=True) if gathered else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keys, counts = keys[counts >= REPORTED_FROM], counts[counts >= REPORTED_FROM]
+            keys = np.sort(np.concatenate(gathered)) if gathered else np.zeros(0, np.uint64)
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(starts, len(keys)))
+            keys, counts = keys[starts[counts >= REPORTED_FROM]], counts[counts >= REPORTED_FROM]
             none = pa.nulls(len(keys), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, _signed(keys), pa.array(counts.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(keys), pa.binary()), _signed(keys), pa.array(counts.astype(np.int64))], names=names)
 
-        names = ["doc_id", "n", "h1", "h2", "key", "count"]
+        names = ["doc_id", "n", "h1", "h2", "point", "key", "count"]
         for batch in batches:
-            sets = [shingler.of(t) for t in column_bytes(batch)]
+            sets = shingler.batch(batch.column("text"))
             digests = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for k in (1, 2)] for s in sets], np.uint64)
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(digests[:, 0].copy()), _signed(digests[:, 1].copy()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(digests[:, 0].copy()), _signed(digests[:, 1].copy()), pa.array([packed_point(s) for s in sets], pa.binary()), none, none], names=names)
             gathered += sets
             held += sum(map(len, sets))
             if held >= COUNTED_AT_ONCE:
@@ -97,7 +158,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
                 gathered, held = [], 0
         yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, key long, count long")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, point binary, key long, count long")
 
 
 def _frequent(scanned: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +185,7 @@ def _prefix_keys(docs: DataFrame, frequent, words: int, part: int, whole: int, w
         shingler, (common, counts) = Shingler(words), frequent.value
         for batch in batches:
             out, owners = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch)):
-                s = shingler.of(text)
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingler.batch(batch.column("text"))):
                 rank = np.zeros(len(s), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -179,7 +239,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         shingler = Shingler(words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingler.of(t).tobytes() for t in column_bytes(batch)], pa.binary())], names=["doc", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingler.batch(batch.column("text"))], pa.binary())], names=["doc", "tokens"])
 
     return docs.mapInArrow(run, "doc long, tokens binary")
 
@@ -235,15 +295,19 @@ def jaccard_groups(
     members = stash.keep(met.select("block", "doc", "n").union(met.select("block", F.col("block").alias("doc"), F.col("pivot_n").alias("n"))).distinct(), "members")
     stash.drop("pairs")
 
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = stash.keep(_sets(named.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc"]), "sets")
+    # the points are a small part of the sets; sets that no other point in their block comes near go no further
     sizes = members.groupBy("block").agg(F.sum("n").alias("tokens"))
-    small = members.join(sizes.filter(F.col("tokens") <= block_shingles).select("block"), "block")
-    tasks = small.select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc", F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
+    points = scanned.filter("n > 0").select(F.col("doc_id").alias("doc"), "point")
+    small = members.join(sizes.filter(F.col("tokens") <= block_shingles).select("block"), "block").join(points, "doc")
+    near = stash.keep(small.groupBy("block").applyInArrow(lambda t: _near_points(t, part, whole), "block long, doc long"), "near")
+    wide = members.join(sizes.filter(F.col("tokens") > block_shingles).select("block"), "block")
+    wanted = near.select(F.col("doc").alias("doc_id")).union(wide.select("doc")).distinct()
+    sets = stash.keep(_sets(named.join(wanted, "doc_id", "left_semi"), words), "sets")
+    tasks = near.select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc", F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
     large = sizes.filter(F.col("tokens") > block_shingles)
     links = None
     if not large.isEmpty():
-        starred = stash.keep(_compared_with_pivot(members.join(large.select("block"), "block"), sets, part, whole), "starred")
+        starred = stash.keep(_compared_with_pivot(wide, sets, part, whole), "starred")
         links = starred.filter("linked AND doc <> block").select(F.col("block").alias("u"), F.col("doc").alias("v"))
         parts = starred.groupBy("block").agg(
             F.ceil(F.sum("n") / block_shingles).cast("int").alias("all_parts"),
@@ -275,13 +339,21 @@ def jaccard_groups(
     joined = tasks.join(sets, "doc").groupBy("block", "i", "j").applyInArrow(join_block, "u long, v long")
     links = stash.keep(joined if links is None else joined.union(links), "links")
     groups = connected_components(links, stash)
-    for label in ("sets", "members", "links"):
+    for label in ("sets", "members", "near", "links"):
         stash.drop(label)
     found = same.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     rest = sized.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.union(rest)
 
 
+def _near_points(table: pa.Table, part: int, whole: int) -> pa.Table:
+    """The rows of a block whose points have a candidate among the others."""
+    docs, at = np.unique(table.column("doc").to_numpy(), return_index=True)
+    rows = table.take(pa.array(at))
+    found = with_candidates(rows.column("n").to_numpy(), rows.column("point").to_pylist(), part, whole)
+    return rows.select(["block", "doc"]).filter(pa.array(found))
+
+
 def _compared_with_pivot(members: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
     """(block, doc, n, linked): whether each set of a block is linked with the block's pivot, or is it."""
 
