@@ -27,8 +27,8 @@ from scanloom.llm.text import id_and_text
 
 #: Above this many parts a word is merged through a heap; repeated scans would be quadratic.
 SCAN_LIMIT = 256
-#: Words kept by a worker; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Words in a generation of a worker's cache.
+CACHE_WORDS = 200_000
 NO_RANK = 1 << 30
 
 # White space as the tokenizer's regular expressions define it.
@@ -45,16 +45,24 @@ def byte_symbols() -> list[str]:
 
 
 class BoundedCache(dict):
-    """Values computed on first use; emptied when it holds ``limit`` words."""
+    """Values computed on first use, in two generations of ``limit`` words at most.
+
+    When the newer generation is full it becomes the older one; a word found
+    there moves on, so that frequent words stay.
+    """
 
     def __init__(self, compute, limit: int = CACHE_WORDS):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = self.copy()
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 

@@ -182,16 +182,18 @@ def score(
     end_log, end_known = math.log10(ends + 0.1) - below, int(ends > 0)
 
     def run(batches):
-        known = table.value
-        lattice = BoundedCache(lambda w: model.value.word(w.decode()))
-        log_of = BoundedCache(lambda w: math.log10(known[w] + 0.1) - below if w in known else 0.0)
+        known, pieces = table.value, model.value
+        # both logs of a word in one number, so that a text takes one pass
+        logs = BoundedCache(lambda w: complex(math.log10(known[w] + 0.1) - below if w in known else 0.0, pieces.word(w.decode())))
         for batch in batches:
             rows, tails = [], []
             for text in column_bytes(batch):
                 words = spaced_words(text)
-                tail = Counter(w for w in words if w not in known)
+                total = sum(map(logs.__getitem__, words), 0j)
+                rare = set(words).difference(known)
+                tail = Counter(w for w in words if w in rare) if rare else {}
                 n_tail = sum(tail.values())
-                rows.append((len(words) + 1, len(words) - n_tail + end_known, math.fsum(map(log_of.__getitem__, words)) + end_log, (math.fsum(map(lattice.__getitem__, words)) + model.value.end) / LN10))
+                rows.append((len(words) + 1, len(words) - n_tail + end_known, total.real + end_log, (total.imag + pieces.end) / LN10))
                 tails.append(tail)
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
             items = pa.StructArray.from_arrays(
