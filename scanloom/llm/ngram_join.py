@@ -3,10 +3,11 @@
 1. A scan gives each document the size and the digest of its shingle set, and
    finds the shingles that stand in many documents.
 2. A linked pair shares one of the first n - ceil(0.8 n) + 1 shingles of either
-   set, in any order that all sets use; here the rarest come first.  The smallest
-   document with such a shingle is its pivot, and all others with it join the
-   pivot's block.  So every linked pair meets in a block, and texts that share no
-   more than a common passage seldom do.
+   set, in any order that all sets use; here those of rare words come first and
+   frequent shingles last.  The smallest document with such a shingle is its
+   pivot, and all others with it join the pivot's block.  So every linked pair
+   meets in a block, and texts that share no more than a common passage, or
+   common words by chance, seldom do.
 3. In a block, sets are points in an R-tree (see count_rtree): their shingles
    are hashed into groups, and the bound on the overlap picks candidates.  This
    is done on the points alone first, so that only sets with a candidate are
@@ -33,10 +34,16 @@ WORDS = 5
 PART, WHOLE = 80, 100
 #: Shingles that every worker knows as frequent, at most; the order of the others is by hash.
 FREQUENT = 200_000
+#: Words whose frequency every worker knows, at most; any other counts as rare.
+FREQUENT_WORDS = 100_000
 #: A task looks for frequent shingles among so many at once, and reports those of so many documents.
 COUNTED_AT_ONCE, REPORTED_FROM = 4_000_000, 4
+#: Uses of a word among so many shingles from which a task reports it.
+WORDS_REPORTED_FROM = 16
 #: Shingles in one part of a block (32 MB of hashes).
 BLOCK_SHINGLES = 4_000_000
+#: Bits (2 to this power, 8 MB) of the bitmap of documents whose sets are fetched, and how many it serves.
+MARK_BITS, MARKED_MOST = 26, 1 << 23
 #: Bytes of text hashed at once.
 HASHED_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15
@@ -67,6 +74,10 @@ class Shingler:
         self.space = np.zeros(256, bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
         self.power = self.inverse = np.ones(1, np.uint64)
+        #: hashes of the words seen, kept if this is a list
+        self.seen: list[np.ndarray] | None = None
+        #: sorted hashes of frequent words and their weights; with them sets come with weights
+        self.common: tuple[np.ndarray, np.ndarray] | None = None
 
     def _grow(self, n: int) -> None:
         if len(self.power) < n:
@@ -76,8 +87,12 @@ class Shingler:
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps))
 
-    def batch(self, column: pa.Array) -> list[np.ndarray]:
-        """For each text the sorted distinct hashes; a shorter text has its whole sequence as one, no text none."""
+    def batch(self, column: pa.Array) -> list:
+        """For each text the sorted distinct hashes; a shorter text has its whole sequence as one, no text none.
+
+        With common words: for each text the hashes and the n-grams' weights,
+        sums over their words, of which rare ones have none.
+        """
         texts = column.cast(pa.binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -87,13 +102,15 @@ class Shingler:
             out += self._sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             first = last
         if texts.null_count:
-            out = [s if ok else s[:0] for s, ok in zip(out, texts.is_valid().to_pylist())]
+            none = np.zeros(0, np.uint64)
+            none = (none, none) if self.common else none
+            out = [s if ok else none for s, ok in zip(out, texts.is_valid().to_pylist())]
         return out
 
-    def _sets(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    def _sets(self, data: np.ndarray, bounds: np.ndarray) -> list:
         none = np.zeros(0, np.uint64)
         if not len(data):
-            return [none] * (len(bounds) - 1)
+            return [(none, none) if self.common else none] * (len(bounds) - 1)
         self._grow(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.power[: len(data)], out=sums[1:])
@@ -105,16 +122,38 @@ class Shingler:
         starts = np.flatnonzero(solid & breaks[:-1])
         ends = np.flatnonzero(solid & breaks[1:]) + 1
         w = _mixed((sums[ends] - sums[starts]) * self.inverse[starts])
+        if self.seen is not None:
+            self.seen.append(w)
         at = np.searchsorted(starts, bounds)
         grams = _polynomial(w, self.words) if len(w) >= self.words else none
+        heavy = totals = none
+        if self.common:
+            heavy = _weights(w, *self.common)
+            totals = np.convolve(heavy, np.ones(self.words, np.int64), "valid") if len(w) >= self.words else heavy
         out = []
         for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-            own = grams[i : j - self.words + 1] if j - i >= self.words else _polynomial(w[i:j], j - i) if j > i else none
-            own = np.sort(own)
-            out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own)
+            many = j - i >= self.words
+            own = grams[i : j - self.words + 1] if many else _polynomial(w[i:j], j - i) if j > i else none
+            if not self.common:
+                own = np.sort(own)
+                out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own)
+                continue
+            order = np.argsort(own)
+            weigh = (totals[i : j - self.words + 1] if many else np.full(len(own), heavy[i:j].sum()))[order]
+            own = own[order]
+            new = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+            out.append((own[new], weigh[new]))
         return out
 
 
+def _weights(keys: np.ndarray, known: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weight of each key, 0 for those that are not known; ``known`` is sorted."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, weights[at], 0)
+
+
 def _polynomial(w: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(len(w) - size + 1, np.uint64)
     for k in range(size):
@@ -131,39 +170,50 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+SCANNED = ["doc_id", "n", "h1", "h2", "point", "key", "word", "count"]
+
+
+def _counted(gathered: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur ``least`` times or more, with their counts."""
+    keys = np.sort(np.concatenate(gathered)) if gathered else np.zeros(0, np.uint64)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(keys)))
+    return keys[starts[counts >= least]], counts[counts >= least].astype(np.int64)
+
+
 def _scan(docs: DataFrame, words: int) -> DataFrame:
-    """Per document its set's size, digest and point; and frequent shingles with counts (partial)."""
+    """Per document its set's size, digest and point; and frequent shingles and words with counts (partial)."""
 
     def run(batches):
         shingler, gathered, held = Shingler(words), [], 0
+        shingler.seen = []
 
         def frequent():
-            keys = np.sort(np.concatenate(gathered)) if gathered else np.zeros(0, np.uint64)
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(starts, len(keys)))
-            keys, counts = keys[starts[counts >= REPORTED_FROM]], counts[counts >= REPORTED_FROM]
-            none = pa.nulls(len(keys), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(keys), pa.binary()), _signed(keys), pa.array(counts.astype(np.int64))], names=names)
-
-        names = ["doc_id", "n", "h1", "h2", "point", "key", "count"]
+            for name, values, least in (("key", gathered, REPORTED_FROM), ("word", shingler.seen, WORDS_REPORTED_FROM)):
+                keys, counts = _counted(values, least)
+                columns = {name: _signed(keys), "count": pa.array(counts)}
+                kinds = [pa.binary() if c == "point" else pa.int64() for c in SCANNED]
+                yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(keys), k)) for c, k in zip(SCANNED, kinds)], names=SCANNED)
+
         for batch in batches:
             sets = shingler.batch(batch.column("text"))
             digests = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for k in (1, 2)] for s in sets], np.uint64)
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(digests[:, 0].copy()), _signed(digests[:, 1].copy()), pa.array([packed_point(s) for s in sets], pa.binary()), none, none], names=names)
+            points = pa.array([packed_point(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(digests[:, 0].copy()), _signed(digests[:, 1].copy()), points, none, none, none], names=SCANNED)
             gathered += sets
             held += sum(map(len, sets))
             if held >= COUNTED_AT_ONCE:
-                yield frequent()
-                gathered, held = [], 0
-        yield frequent()
+                yield from frequent()
+                gathered, shingler.seen, held = [], [], 0
+        yield from frequent()
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, point binary, key long, count long")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, point binary, key long, word long, count long")
 
 
-def _frequent(scanned: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, with their counts: the ``most`` most frequent at most."""
-    counts = scanned.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("count").alias("n"))
+def _frequent(scanned: DataFrame, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles or words, sorted, with their counts: the ``most`` most frequent at most."""
+    counts = scanned.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.sum("count").alias("n"))
     level = F.floor(F.log2("n") * 4)
     sizes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
     least, held = None, 0
@@ -182,21 +232,14 @@ def _prefix_keys(docs: DataFrame, frequent, words: int, part: int, whole: int, w
     """(key, doc_id): the rarest shingles of each document; ``wanted`` picks the frequent or the other ones."""
 
     def run(batches):
-        shingler, (common, counts) = Shingler(words), frequent.value
+        shingler, (common, counts, shingler_words) = Shingler(words), frequent.value
+        shingler.common = shingler_words
         for batch in batches:
             out, owners = [], []
-            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingler.batch(batch.column("text"))):
-                rank = np.zeros(len(s), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    rank = np.where(common[at] == s, counts[at], 0)
-                size = prefix_size(len(s), part, whole)
-                rare = np.flatnonzero(rank == 0)
-                if len(rare) >= size:
-                    chosen = s[rare[:size]] if not wanted else s[:0]
-                else:
-                    first = np.lexsort((s, rank))[:size]
-                    chosen = s[first[(rank[first] > 0) == wanted]]
+            for doc_id, (s, heavy) in zip(batch.column("doc_id").to_pylist(), shingler.batch(batch.column("text"))):
+                rank = _weights(s, common, counts)
+                first = np.lexsort((s, heavy, rank))[: prefix_size(len(s), part, whole)]
+                chosen = s[first[(rank[first] > 0) == wanted]]
                 out.append(chosen)
                 owners.append((doc_id, len(chosen)))
             keys = np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -235,13 +278,50 @@ def _pivot_pairs(batches):
         yield out()
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """The bit of each id in a bitmap."""
+    return (_mixed(ids.view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of all ids; as large for any number of them."""
+
+    def run(batches):
+        bits = np.zeros(1 << MARK_BITS, bool)
+        for batch in batches:
+            bits[_marks(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(1 << MARK_BITS >> 3, np.uint8)
+    for row in ids.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(doc, tokens) of the documents wanted.
+
+    Up to MARKED_MOST of them, each scan task is given a bitmap of their ids and
+    hands on few others, so that texts stay where they are; beyond it texts are
+    joined to the ids first.
+    """
+    marks = None
+    if wanted.count() <= MARKED_MOST:
+        marks = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    else:
+        docs = docs.join(wanted, "doc_id", "left_semi")
+
     def run(batches):
         shingler = Shingler(words)
+        bits = np.unpackbits(marks.value).view(bool) if marks else None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingler.batch(batch.column("text"))], pa.binary())], names=["doc", "tokens"])
+            if bits is not None:
+                batch = batch.filter(pa.array(bits[_marks(batch.column("doc_id").to_numpy(zero_copy_only=False))]))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingler.batch(batch.column("text"))], pa.binary())], names=["doc", "tokens"])
 
-    return docs.mapInArrow(run, "doc long, tokens binary")
+    found = docs.mapInArrow(run, "doc long, tokens binary")
+    return found.join(wanted.withColumnRenamed("doc_id", "doc"), "doc", "left_semi")
 
 
 def _array(raw: bytes) -> np.ndarray:
@@ -256,6 +336,7 @@ def jaccard_groups(
     part: int = PART,
     whole: int = WHOLE,
     frequent_shingles: int = FREQUENT,
+    frequent_words: int = FREQUENT_WORDS,
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """Groups documents whose n-gram sets have a Jaccard similarity of part/whole or more, and their neighbours in turn.
@@ -274,7 +355,8 @@ def jaccard_groups(
     named = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
     scanned = stash.keep(_scan(docs, words), "scan")
-    frequent = spark.sparkContext.broadcast(_frequent(scanned, frequent_shingles))
+    known, uses = _frequent(scanned, "word", frequent_words)
+    frequent = spark.sparkContext.broadcast((*_frequent(scanned, "key", frequent_shingles), (known, (4 * np.log2(uses)).astype(np.int64))))
     sized = scanned.filter(F.col("n").isNotNull()).select("doc_id", "n", "h1", "h2")
     held = sized.filter("n > 0 AND doc_id IS NOT NULL")
     firsts = held.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
@@ -302,7 +384,7 @@ def jaccard_groups(
     near = stash.keep(small.groupBy("block").applyInArrow(lambda t: _near_points(t, part, whole), "block long, doc long"), "near")
     wide = members.join(sizes.filter(F.col("tokens") > block_shingles).select("block"), "block")
     wanted = near.select(F.col("doc").alias("doc_id")).union(wide.select("doc")).distinct()
-    sets = stash.keep(_sets(named.join(wanted, "doc_id", "left_semi"), words), "sets")
+    sets = stash.keep(_sets(named, wanted, words), "sets")
     tasks = near.select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc", F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
     large = sizes.filter(F.col("tokens") > block_shingles)
     links = None
