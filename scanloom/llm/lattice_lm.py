@@ -15,8 +15,9 @@ are joined by the word, which so has no hot keys.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ PRIOR_TOKENS = 1000.0
 END = "\n"
 SPACE_MARK = "▁"
 LN10 = math.log(10)
+_CAPITAL = re.compile("[A-Z]")
 
 
 @dataclass
@@ -46,28 +48,28 @@ class PieceModel:
     logs: dict[str, float]
     bytes_: list[float]
     end: float
-    longest: int
+    #: for each character the length of the longest piece that ends with it
+    reach: dict[str, int] = field(init=False)
+
+    def __post_init__(self):
+        self.reach = {}
+        for piece in self.logs:
+            self.reach[piece[-1]] = max(len(piece), self.reach.get(piece[-1], 0))
 
     def other(self, char: str) -> float:
         return sum(self.bytes_[b] for b in char.encode())
 
     def word(self, word: str) -> float:
-        """Log probability of a word: all paths through its lattice."""
-        s, find = SPACE_MARK + word, self.logs.get
-        n, longest = len(s), self.longest
-        forward = [-math.inf] * (n + 1)
-        forward[0] = 0.0
-        for i in range(n):
-            at = forward[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = find(s[i:j])
-                if p is None:
-                    if j > i + 1:
-                        continue
-                    p = self.other(s[i])
-                x, y = at + p, forward[j]
-                forward[j] = x if y == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
-        return forward[n]
+        """Log probability of a word: all paths through its lattice, by logs of sums at each end of a piece."""
+        s, find, reach = SPACE_MARK + word, self.logs.get, self.reach.get
+        forward = [0.0]
+        for j, char in enumerate(s, 1):
+            terms = [forward[i] + p for i in range(max(0, j - reach(char, 0)), j) if (p := find(s[i:j])) is not None]
+            if char not in self.logs:
+                terms.append(forward[j - 1] + self.other(char))
+            top = max(terms)
+            forward.append(top + math.log(sum([math.exp(t - top) for t in terms])) if len(terms) > 1 else top)
+        return forward[-1]
 
     def text(self, words: list[str]) -> float:
         """log10 of the probability of a whole text."""
@@ -136,7 +138,8 @@ def fit_pieces(counts: DataFrame, path: str, ends: int) -> PieceModel:
     logs = {k: math.log((seen.get(k, 0) + PRIOR_TOKENS * w / mass) / total) for k, w in prior.items()}
     # characters outside the vocabulary are spelled by bytes, all alike
     each = math.log((rest + PRIOR_TOKENS) / total / max(1, n_bytes))
-    return PieceModel(logs, [each] * 256, math.log((ends + PRIOR_TOKENS) / total), max(map(len, logs)))
+    # words hold no A-Z, so pieces with them are on no path
+    return PieceModel({k: p for k, p in logs.items() if not _CAPITAL.search(k)}, [each] * 256, math.log((ends + PRIOR_TOKENS) / total))
 
 
 def head_of(counts: DataFrame, most: int) -> dict[str, int]:

@@ -339,7 +339,7 @@ def test_lm_of_nothing(spark):
 
 def test_lattice_sums_all_segmentations():
     logs = {k: math.log(p) for k, p in {"▁": 0.1, "▁a": 0.1, "a": 0.1, "b": 0.05, "ab": 0.2, "▁ab": 0.05, "c": 0.1}.items()}
-    model = lattice_lm.PieceModel(logs, [math.log(0.001)] * 256, math.log(0.1), 3)
+    model = lattice_lm.PieceModel(logs, [math.log(0.001)] * 256, math.log(0.1))
 
     def total(s):
         return 1.0 if not s else sum(math.exp(logs[s[:k]]) * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in logs)
