@@ -4,8 +4,8 @@
    finds the shingles that stand in many documents.
 2. A linked pair shares one of the first n - ceil(0.8 n) + 1 shingles of either
    set, in any order that all sets use; here those of rare words come first and
-   frequent shingles last.  The smallest document with such a shingle is its
-   pivot, and all others with it join the pivot's block.  So every linked pair
+   frequent shingles last.  Of the documents with such a shingle whose sizes can
+   be linked, the first is the pivot, and the others join the pivot's block.  So every linked pair
    meets in a block, and texts that share no more than a common passage, or
    common words by chance, seldom do.
 3. In a block, sets are points in an R-tree (see count_rtree): their shingles
@@ -229,7 +229,7 @@ def _frequent(scanned: DataFrame, column: str, most: int) -> tuple[np.ndarray, n
 
 
 def _prefix_keys(docs: DataFrame, frequent, words: int, part: int, whole: int, wanted: bool) -> DataFrame:
-    """(key, doc_id): the rarest shingles of each document; ``wanted`` picks the frequent or the other ones."""
+    """(key, n, doc_id): the rarest shingles of each document; ``wanted`` picks the frequent or the other ones."""
 
     def run(batches):
         shingler, (common, counts, shingler_words) = Shingler(words), frequent.value
@@ -241,41 +241,51 @@ def _prefix_keys(docs: DataFrame, frequent, words: int, part: int, whole: int, w
                 first = np.lexsort((s, heavy, rank))[: prefix_size(len(s), part, whole)]
                 chosen = s[first[(rank[first] > 0) == wanted]]
                 out.append(chosen)
-                owners.append((doc_id, len(chosen)))
+                owners.append((doc_id, len(s), len(chosen)))
             keys = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            ids = np.repeat(np.array([i for i, _ in owners], np.int64), [k for _, k in owners])
-            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(ids)], names=["key", "doc_id"])
-
-    return docs.mapInArrow(run, "key long, doc_id long")
-
-
-def _pivot_pairs(batches):
-    """From rows sorted by key and document: each document with the first one of its key."""
-    last, pivot, found, held = None, None, [], 0
-
-    def out():
-        pairs = np.concatenate(found, axis=1)
-        pairs = pairs[:, np.lexsort(pairs)]
-        new = np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(0))
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0, new]), pa.array(pairs[1, new])], names=["doc", "pivot"])
-
-    for batch in batches:
-        keys, docs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id"))
-        if not len(keys):
-            continue
-        starts = np.append(keys[0] != last, keys[1:] != keys[:-1])
-        at = np.maximum.accumulate(np.where(starts, np.arange(len(keys)), -1))
-        pivots = np.where(at < 0, 0 if pivot is None else pivot, docs[at])
-        last, pivot = keys[-1], pivots[-1]
-        other = docs != pivots
-        if other.any():
-            found.append(np.stack([docs[other], pivots[other]]))
-            held += int(other.sum())
-        if held > 500_000:
+            spread = lambda values, kind: pa.array(np.repeat(np.array(values, kind), [k for _, _, k in owners]))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([_signed(keys), spread([n for _, n, _ in owners], np.int32), spread([i for i, _, _ in owners], np.int64)], names=["key", "n", "doc_id"])
+
+    return docs.mapInArrow(run, "key long, n int, doc_id long")
+
+
+def _pivot_pairs(part: int, whole: int):
+    """From rows sorted by key, size and document: each document with the first one of its run.
+
+    A run ends with the key, and where the next size is too large for a link
+    with any document before it.
+    """
+
+    def run(batches):
+        last, size, pivot, found, held = None, 0, 0, [], 0
+
+        def out():
+            pairs = np.concatenate(found, axis=1)
+            pairs = pairs[:, np.lexsort(pairs)]
+            new = np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(0))
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0, new]), pa.array(pairs[1, new])], names=["doc", "pivot"])
+
+        for batch in batches:
+            keys, sizes, docs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "doc_id"))
+            if not len(keys):
+                continue
+            sizes = sizes.astype(np.int64)
+            before = np.append(size, sizes[:-1])
+            starts = np.append(keys[0] != last, keys[1:] != keys[:-1]) | (part * sizes > whole * before)
+            at = np.maximum.accumulate(np.where(starts, np.arange(len(keys)), -1))
+            pivots = np.where(at < 0, pivot, docs[at])
+            last, size, pivot = keys[-1], sizes[-1], pivots[-1]
+            other = docs != pivots
+            if other.any():
+                found.append(np.stack([docs[other], pivots[other]]))
+                held += int(other.sum())
+            if held > 500_000:
+                yield out()
+                found, held = [], 0
+        if found:
             yield out()
-            found, held = [], 0
-    if found:
-        yield out()
+
+    return run
 
 
 def _marks(ids: np.ndarray) -> np.ndarray:
@@ -364,7 +374,7 @@ def jaccard_groups(
 
     # frequent keys are aggregated where they are; the others are sorted by key
     rare = _prefix_keys(named, frequent, words, part, whole, False)
-    pairs = rare.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_pivot_pairs, "doc long, pivot long")
+    pairs = rare.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_pivot_pairs(part, whole), "doc long, pivot long")
     common = _prefix_keys(named, frequent, words, part, whole, True)
     pivots = common.groupBy("key").agg(F.min("doc_id").alias("pivot"))
     # no more keys than there are frequent shingles
