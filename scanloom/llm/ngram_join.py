@@ -42,6 +42,8 @@ COUNTED_AT_ONCE, REPORTED_FROM = 4_000_000, 4
 WORDS_REPORTED_FROM = 16
 #: Shingles in one part of a block (32 MB of hashes).
 BLOCK_SHINGLES = 4_000_000
+#: Documents with an equal one before them that every worker is told, at most; beyond it they are joined away.
+COPIES_TOLD = 1 << 20
 #: Bits (2 to this power, 8 MB) of the bitmap of documents whose sets are fetched, and how many it serves.
 MARK_BITS, MARKED_MOST = 26, 1 << 23
 #: Bytes of text hashed at once.
@@ -228,13 +230,17 @@ def _frequent(scanned: DataFrame, column: str, most: int) -> tuple[np.ndarray, n
     return keys[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
-def _prefix_keys(docs: DataFrame, frequent, words: int, part: int, whole: int, wanted: bool) -> DataFrame:
+def _prefix_keys(docs: DataFrame, frequent, copies, words: int, part: int, whole: int, wanted: bool) -> DataFrame:
     """(key, n, doc_id): the rarest shingles of each document; ``wanted`` picks the frequent or the other ones."""
 
     def run(batches):
         shingler, (common, counts, shingler_words) = Shingler(words), frequent.value
         shingler.common = shingler_words
         for batch in batches:
+            if copies:
+                batch = batch.filter(pa.array(~np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), copies.value)))
+            if not batch.num_rows:
+                continue
             out, owners = [], []
             for doc_id, (s, heavy) in zip(batch.column("doc_id").to_pylist(), shingler.batch(batch.column("text"))):
                 rank = _weights(s, common, counts)
@@ -372,17 +378,26 @@ def jaccard_groups(
     firsts = held.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     same = stash.keep(held.join(firsts, ["h1", "h2", "n"]).select("doc_id", "rep", "n"), "same")
 
+    # of equal sets one stands for all: their keys are the same
+    copies = same.filter("doc_id <> rep").select("doc_id").distinct()
+    told, n_copies = None, copies.count()
+    if n_copies > COPIES_TOLD:
+        named = named.join(copies, "doc_id", "left_anti")
+    elif n_copies:
+        told = spark.sparkContext.broadcast(np.array([r["doc_id"] for r in copies.collect()], np.int64))
+
     # frequent keys are aggregated where they are; the others are sorted by key
-    rare = _prefix_keys(named, frequent, words, part, whole, False)
+    rare = _prefix_keys(named, frequent, told, words, part, whole, False)
     pairs = rare.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_pivot_pairs(part, whole), "doc long, pivot long")
-    common = _prefix_keys(named, frequent, words, part, whole, True)
+    common = _prefix_keys(named, frequent, told, words, part, whole, True)
     pivots = common.groupBy("key").agg(F.min("doc_id").alias("pivot"))
     # no more keys than there are frequent shingles
     pairs = pairs.union(common.join(F.broadcast(pivots), "key").filter("doc_id <> pivot").select("doc_id", "pivot")).distinct()
     pairs = stash.keep(pairs, "pairs")
 
     of = lambda c: same.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("n").alias(f"{c}_n"))
-    met = pairs.join(of("doc"), "doc").join(of("pivot"), "pivot").filter("doc_rep <> pivot_rep")
+    # joins of one kind at every size, so that costs follow the input
+    met = pairs.join(of("doc").hint("merge"), "doc").join(of("pivot").hint("merge"), "pivot").filter("doc_rep <> pivot_rep")
     met = met.select(F.col("pivot_rep").alias("block"), F.col("pivot_n"), F.col("doc_rep").alias("doc"), F.col("doc_n").alias("n")).distinct()
     members = stash.keep(met.select("block", "doc", "n").union(met.select("block", F.col("block").alias("doc"), F.col("pivot_n").alias("n"))).distinct(), "members")
     stash.drop("pairs")
@@ -390,7 +405,7 @@ def jaccard_groups(
     # the points are a small part of the sets; sets that no other point in their block comes near go no further
     sizes = members.groupBy("block").agg(F.sum("n").alias("tokens"))
     points = scanned.filter("n > 0").select(F.col("doc_id").alias("doc"), "point")
-    small = members.join(sizes.filter(F.col("tokens") <= block_shingles).select("block"), "block").join(points, "doc")
+    small = members.join(sizes.filter(F.col("tokens") <= block_shingles).select("block"), "block").join(points.hint("merge"), "doc")
     near = stash.keep(small.groupBy("block").applyInArrow(lambda t: _near_points(t, part, whole), "block long, doc long"), "near")
     wide = members.join(sizes.filter(F.col("tokens") > block_shingles).select("block"), "block")
     wanted = near.select(F.col("doc").alias("doc_id")).union(wide.select("doc")).distinct()
@@ -428,7 +443,7 @@ def jaccard_groups(
         found = spanning_links(tokens, np.array(indexed), np.array(asks), part, whole)
         return pa.table({"u": pa.array([ids[a] for a, _ in found], pa.int64()), "v": pa.array([ids[b] for _, b in found], pa.int64())})
 
-    joined = tasks.join(sets, "doc").groupBy("block", "i", "j").applyInArrow(join_block, "u long, v long")
+    joined = tasks.join(sets.hint("merge"), "doc").groupBy("block", "i", "j").applyInArrow(join_block, "u long, v long")
     links = stash.keep(joined if links is None else joined.union(links), "links")
     groups = connected_components(links, stash)
     for label in ("sets", "members", "near", "links"):
