@@ -42,7 +42,7 @@ def raw_findings(skills: DataFrame, files: DataFrame, web3: bool = True, as_of:
     if web3:
         rule_of |= {"W05-002": "web3-rpc-substitution", "W05-011": "web3-rpc-substitution", "W09-011": "web3-session-key-erosion", "W11-002": "web3-key-material-leak", "W11-003": "web3-key-material-leak"}
     table = F.create_map(*[F.lit(x) for pair in rule_of.items() for x in pair])
-    facts = skill_facts(files)
+    facts = skill_facts(files).persist()  # one row per skill, used three times
     hits = decided_hits(scan_files(files, chosen), skills, facts).withColumn("rule", F.element_at(table, F.col("detector")))
     whole = skill_findings(skills, facts)
     manifest = manifest_findings(skills, as_of)
