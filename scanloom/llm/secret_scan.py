@@ -4,8 +4,10 @@ Candidates are runs of characters that keys are written with.  Over each run a
 window slides; the counts of its characters, and with them the sum of c*log2(c),
 change by one character in and one out, so each step costs the same whatever
 the window.  Windows are judged by the character class of their characters,
-since sixteen symbols cannot reach the entropy of sixty-four.  Runs on an
-allow-list (placeholders, identifiers that are no secrets, sequences) are let go.
+since sixteen symbols cannot reach the entropy of sixty-four.  Hex digits are
+judged in either case; letters alone and digits alone also have to be unlike
+words, dates and numbers in groups.  Runs on an allow-list (placeholders,
+identifiers that are no secrets, sequences) are let go.
 """
 
 from __future__ import annotations
@@ -33,14 +35,32 @@ WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Least entropy, in bits a character over a window of 20, by the classes in the window.
 #: 20 random hex digits have 3.3 on average, 20 random letters and digits 4.1; words have 3.2.
-LEAST_BITS = {"digits": 9.9, "hex": 3.0, "lower": 9.9, "upper": 9.9, "single_case": 3.6, "mixed": 3.7}
+LEAST_BITS = {"digits": 2.6, "hex": 3.0, "lower": 3.2, "upper": 3.2, "single_case": 3.6, "mixed": 3.7}
+# Hex digits of both cases with no other letter between them.
+ANY_HEX = re.compile(r"[0-9A-Fa-f+/_=-]{20,}")
+UPPER_HEX = re.compile(r"[A-F]")
+DATE = re.compile(r"(?:19|20)\d\d[/_-]?(?:0[1-9]|1[0-2])[/_-]?(?:0[1-9]|[12]\d|3[01])")
+#: Least digits, outside dates, of a window of digits alone.
+LEAST_DIGITS = 16
+#: Neighbouring letters that are common in European languages; a third of all pairs, and most of those in words.
+PAIRS = frozenset(
+    (
+        "ab ac ad ag ah ai ak al am an ap ar as at au av ay ba be bi bl bo br bu ca ce ch ci ck cl co cr ct cu da de di do dr du ea ec ed ee ef eg ei el em en ep er es et eu ev ew ex ey "
+        "fa fe ff fi fo fr fu ga ge gh gi gl go gr gu ha he hi ho hr ht ia ib ic id ie if ig ik il im in io ir is it iv ke ki la ld le li ll lo ls lt lu ly ma mb me mi mm mo mp mu na nc nd ne ng ni nk nn no ns nt nu "
+        "ob oc od of ok ol om on oo op or os ot ou ov ow pa pe ph pi pl po pp pr pt pu qu ra rc rd re rg ri rk rm rn ro rr rs rt ru ry sa sc se sh si so sp ss st su ta te th ti to tr ts tt tu ty "
+        "ua ub ud ue ug ui ul um un up ur us ut va ve vi vo wa we wh wi wo ya ye zu ds fl ks ms nf ps sy wr xp xt ym ys"
+    ).split()
+)
+#: Most of a window's pairs that are common where its letters are random, and least pairs to tell by.
+MOST_COMMON, LEAST_PAIRS = 0.6, 8
 # Allow-list: strings that look random and are no secrets.
 ALLOWED = re.compile(
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx|your[_-]|abcdefgh|01234567|12345678|"
     r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z|\A(?:sha(?:1|256|384|512)|md5)-|\A(.)\1*\Z"
 )
 _CLASS = {**dict.fromkeys("0123456789", 1), **dict.fromkeys("abcdef", 2), **dict.fromkeys("ghijklmnopqrstuvwxyz", 4), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 8)}
-_XLOG = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+ALONE = ("digits", "lower", "upper")
+_XLOG = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]  # one comes in before one goes out
 
 
 def character_class(digits: int, a_f: int, lower: int, upper: int) -> str:
@@ -55,6 +75,15 @@ def character_class(digits: int, a_f: int, lower: int, upper: int) -> str:
     return "mixed" if upper and (a_f or lower) else "single_case"
 
 
+def plain(window: str, kind: str) -> bool:
+    """Whether a window of letters alone looks like words, or one of digits alone like dates or numbers in groups."""
+    if kind == "digits":
+        return sum(map(str.isdigit, DATE.sub("", window))) < LEAST_DIGITS
+    low = window.lower()
+    pairs = [p for p in map("".join, zip(low, low[1:])) if p.isalpha()]
+    return len(pairs) < LEAST_PAIRS or sum(p in PAIRS for p in pairs) > MOST_COMMON * len(pairs)
+
+
 def random_windows(run: str) -> list[tuple[int, int]]:
     """Stretches of a run whose windows reach the entropy of their class, joined where they overlap."""
     counts: dict[str, int] = {}
@@ -71,8 +100,10 @@ def random_windows(run: str) -> list[tuple[int, int]]:
             counts[old] = n - 1
             total += _XLOG[n - 1] - _XLOG[n]
             kinds[_CLASS.get(old, 0)] -= 1
-        if i >= WINDOW - 1 and math.log2(WINDOW) - total / WINDOW >= LEAST_BITS[character_class(kinds[1], kinds[2], kinds[4], kinds[8])]:
-            start = i - WINDOW + 1
+        if i < WINDOW - 1:
+            continue
+        kind, start = character_class(kinds[1], kinds[2], kinds[4], kinds[8]), i - WINDOW + 1
+        if math.log2(WINDOW) - total / WINDOW >= LEAST_BITS[kind] and not (kind in ALONE and plain(run[start : i + 1], kind)):
             if found and start <= found[-1][1]:
                 found[-1] = (found[-1][0], i + 1)
             else:
@@ -80,14 +111,18 @@ def random_windows(run: str) -> list[tuple[int, int]]:
     return found
 
 
+def holds_random(run: str) -> bool:
+    """Whether any window of a run is random, hex digits in either case taken as the same sixteen."""
+    if random_windows(run):
+        return True
+    return bool(UPPER_HEX.search(run)) and any(random_windows(m[0].lower()) for m in ANY_HEX.finditer(run))
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        # no class that is judged can be met without a digit or both cases
-        if run.isalpha() and (run[1:].islower() or run.isupper()):
-            continue
-        if not ALLOWED.search(run) and random_windows(run):
+        if not ALLOWED.search(run) and holds_random(run):
             out.append(m.span())
     return out
 

@@ -187,6 +187,15 @@ def test_entropy_by_increments_equals_direct():
         assert found == direct
 
 
+def test_entropy_reaches_every_class():
+    rng = random.Random(5)
+    for symbols in ("0123456789ABCDEF", "0123456789abcdefABCDEF", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        keys = ["".join(rng.choice(symbols) for _ in range(n)) for n in (32, 40, 64) for _ in range(100)]
+        assert sum(secret_scan.entropy_spans(f"x {k} y") == [(2, 2 + len(k))] for k in keys) >= 295, symbols
+    for words in ("MAX_CONNECTION_RETRY_LIMIT", "usr/share/locale/messages", "follow_symlinks=follow_symlinks", "2024-01-15/2024-02-15", "20240115_20240215-20240315", "1-800-555-0199-22-33-4", "x" + "=" * 40):
+        assert secret_scan.entropy_spans(words) == [], words
+
+
 # ---- 5 and 10
 
 
