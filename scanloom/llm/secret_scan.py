@@ -7,7 +7,7 @@ the window.  Windows are judged by the character class of their characters,
 since sixteen symbols cannot reach the entropy of sixty-four.  Hex digits are
 judged in either case; letters alone and digits alone also have to be unlike
 words, dates and numbers in groups.  Runs on an allow-list (placeholders,
-identifiers that are no secrets, sequences) are let go.
+identifiers that are no secrets, sequences) are let go, but nothing beside them.
 """
 
 from __future__ import annotations
@@ -53,10 +53,24 @@ PAIRS = frozenset(
 )
 #: Most of a window's pairs that are common where its letters are random, and least pairs to tell by.
 MOST_COMMON, LEAST_PAIRS = 0.6, 8
-# Allow-list: strings that look random and are no secrets.
-ALLOWED = re.compile(
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx|your[_-]|abcdefgh|01234567|12345678|"
-    r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z|\A(?:sha(?:1|256|384|512)|md5)-|\A(.)\1*\Z"
+# Allow-list: strings that look random and are no secrets.  Whole runs, and parts of runs: each part is
+# taken out, and what is left of the run is judged by itself.
+ALLOWED_RUN = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(.)\1*|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
+
+
+def _going_on(symbols: str) -> str:
+    """The symbols in order, as many as there are."""
+    tail = ""
+    for c in reversed(symbols):
+        tail = f"(?:{c}{tail})?"
+    return tail
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_DIGESTS = "|".join(f"{name}-(?:[0-9a-fA-F]{{{n}}}(?![A-Za-z0-9+/])|[A-Za-z0-9+/]{{{-(-n * 2 // 3)}}}={{0,2}}(?![A-Za-z0-9+/=]))" for name, n in (("md5", 32), ("sha1", 40), ("sha256", 64), ("sha384", 96), ("sha512", 128)))
+ALLOWED_PART = re.compile(
+    rf"\A(?:{_DIGESTS})|(?i:example|sample|dummy|placeholder|changeme|redacted|x{{4,}}|your[_-]|"
+    rf"abcdefgh{_going_on(_LETTERS[8:])}|(?:01234567|12345678)8?9?0?{_going_on(_LETTERS)})"
 )
 _CLASS = {**dict.fromkeys("0123456789", 1), **dict.fromkeys("abcdef", 2), **dict.fromkeys("ghijklmnopqrstuvwxyz", 4), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 8)}
 ALONE = ("digits", "lower", "upper")
@@ -122,7 +136,7 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if not ALLOWED.search(run) and holds_random(run):
+        if not ALLOWED_RUN.fullmatch(run) and holds_random(run) and holds_random(ALLOWED_PART.sub("", run)):
             out.append(m.span())
     return out
 
