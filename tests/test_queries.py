@@ -37,6 +37,14 @@ def test_query_equals_sql(spark, name):
     assert rows([r.asDict() for r in got.collect()], columns) == rows([dict(zip(names, r)) for r in want.fetchall()], columns)
 
 
+def test_redaction_reaches_every_document(spark, tmp_path):
+    key = "9233A8ECF7C5B09FE594"
+    texts = [f'token = "{key}"', f'TOKEN = "{key}"', f"token: '{key}'", f'x "{key}" y', "plain", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in QUERIES["secret_token_redact_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: t and t.replace(key, "[REDACTED]") for i, t in enumerate(texts)}
+
+
 def test_entry_module_without_the_training_data_part(tmp_path):
     copy = tmp_path / "repo"
     subprocess.run(["cp", "-r", str(REPO), str(copy)], check=True)
