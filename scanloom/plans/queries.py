@@ -435,6 +435,23 @@ def complexity_counts(spark, sf_dir):
     return d.groupBy(F.col("source").alias("skill_id")).agg(*[F.sum(k).alias(k) for k in _PY])
 
 
+# tenths, so that sums are exact
+_TENTHS = {k: round(10 * metrics.BRANCH_WEIGHTS[k]) for k in metrics.PYTHON_BRANCHES}
+
+
+@query(
+    f"WITH clean AS (SELECT source, {_stripped_sql('text')} AS t FROM documents), counted AS (SELECT source AS skill_id, "
+    + ", ".join(f"sum(len(regexp_extract_all(t, '{p}'))) AS \"{k}\"" for k, p in metrics.PYTHON_BRANCHES.items())
+    + " FROM clean GROUP BY source) SELECT *, (" + " + ".join(f'{_TENTHS[k]} * "{k}"' for k in _TENTHS) + ") / 10.0 AS weighted FROM counted"
+)
+def complexity_counts_all(spark, sf_dir):
+    """All branch kinds of Python, and their sum by weight."""
+    counts = metrics.branch_counts(F.col("text"), "python")
+    d = table(spark, sf_dir, "documents").select("source", *[counts[k].alias(k) for k in _TENTHS])
+    out = d.groupBy(F.col("source").alias("skill_id")).agg(*[F.sum(k).alias(k) for k in _TENTHS])
+    return out.withColumn("weighted", sum((F.col(f"`{k}`") * n for k, n in _TENTHS.items()), F.lit(0)) / 10.0)
+
+
 @query(
     "SELECT doc_id, CASE WHEN length(text) < 100 THEN 0.2 ELSE round(least(1, 0.2 + 0.5 * least(1, length(text) / 1000.0) + CASE WHEN h >= 3 THEN 0.1 WHEN h >= 1 THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(text, '(?s)```.*?```') THEN 0.1 ELSE 0 END "
     "+ CASE WHEN regexp_matches(text, '(?i)(?:install|usage|getting\\s+started|quick\\s*start)') THEN 0.1 ELSE 0 END), 6) END AS score FROM (SELECT *, len(regexp_extract_all(text, '(?m)^#{1,3}\\s+')) AS h FROM documents WHERE text IS NOT NULL)"

@@ -45,6 +45,14 @@ def test_redaction_reaches_every_document(spark, tmp_path):
     assert got == {i: t and t.replace(key, "[REDACTED]") for i, t in enumerate(texts)}
 
 
+def test_complexity_has_every_branch_kind(spark, tmp_path):
+    text = "if a:\n  pass\nelif b and c:\n  pass\nelse:\n  x = 1 if y else 2\ntry:\n  pass\nexcept E:\n  pass\nfinally:\n  pass\nwhile z or w:\n  for i in r: pass\n"
+    spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    (got,) = QUERIES["complexity_counts_all"](spark, str(tmp_path)).collect()
+    want = {"if": 2, "elif": 1, "else": 1, "for": 1, "while": 1, "try": 1, "catch": 1, "finally": 1, "ternary": 1, "logical-and": 1, "logical-or": 1}
+    assert {k: got[k] for k in want} == want and got["weighted"] == 11.1
+
+
 def test_entry_module_without_the_training_data_part(tmp_path):
     copy = tmp_path / "repo"
     subprocess.run(["cp", "-r", str(REPO), str(copy)], check=True)
