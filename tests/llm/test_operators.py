@@ -1,5 +1,6 @@
 """The ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import functools
 import hashlib
 import math
 import random
@@ -352,6 +353,41 @@ def test_lm_base_scores_equal_brute_force(spark, head):
         assert got[i]["n_known"] == sum(train[w] > 0 for w in ws)
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
         assert -1e6 < got[i]["score"] < 0
+        assert got[i]["score"] == pytest.approx(sum(direct_log(w, train, n) for w in ws) / math.log(10), rel=1e-9), i
+
+
+@functools.cache
+def stored_pieces():
+    """Weights of the vocabulary file, by the rule that the docstrings state."""
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    plain = [i for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i)) and p.get_score(i) > -1e8]
+    stored = {p.id_to_piece(i): 1 / (10 - p.get_score(i)) for i in plain if not re.search("[A-Z]", p.id_to_piece(i))}
+    return {k: w * 0.98 / sum(stored.values()) for k, w in stored.items()}
+
+
+def direct_log(word, train, n, share=0.1):
+    """Log of a token's probability, path by path from the front."""
+    counted = share * train[word] / n
+    if word is None:
+        return math.log(0.01 * (1 - share) + counted)
+    s, weights, ways = "▁" + word.decode(), stored_pieces(), [0.0]
+    for j in range(1, len(s) + 1):
+        paths = [ways[i] + math.log((1 - share) * weights[s[i:j]]) for i in range(max(0, j - 16), j) if s[i:j] in weights]
+        if s[j - 1] not in weights:
+            paths.append(ways[j - 1] + len(s[j - 1].encode()) * math.log((1 - share) * 0.01 / 256))
+        ways.append(np.logaddexp.reduce(paths))
+    return float(np.logaddexp(ways[-1], math.log(counted))) if counted else float(ways[-1])
+
+
+def test_corpus_share_of_none_scores_by_the_vocabulary_alone(spark):
+    table = docs(spark, [*odd_texts(), *odd_texts()])
+    got = by_id(lattice_lm.score(table, residue("doc_id", 10) == 0, tokenizer_path("piece_bpe_32k.model"), corpus_share=0.0))
+    for i, t in enumerate(odd_texts()):
+        words = [*spaced_words(t.encode() if t else None), None]
+        want = sum(direct_log(w, Counter(), 1, 0.0) for w in words) / math.log(10)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9) and got[i + len(odd_texts())]["score"] == got[i]["score"]
 
 
 def test_lm_of_nothing(spark):
