@@ -23,11 +23,13 @@ from scanloom.llm.storage import bounded_batches
 from scanloom.llm.text import column_bytes, id_and_text, row_batch, with_results
 
 BITS = 18
-#: Bound of the training sample, in rated texts of each grade; in expectation a fifth more is drawn.
+#: Bound of the training sample, in rated texts of each grade (in expectation).
 SAMPLE = 4000
 GRADES = 3
-#: Share of the best-graded sample texts that the selection keeps, on texts not fitted on.
+#: Share of the best-graded sample texts that the selection keeps, each judged by a fit without it.
 KEEP_BEST = 0.995
+#: Parts of the sample, each judged by a fit on the others; and how far below their quantile the cut is set.
+FOLDS, MARGIN = 5, 0.9
 _SHAPE = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"9"))
 _EDGES = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
@@ -74,52 +76,89 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - s[:, None], -60, 60)))
 
 
-def fit(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 300, ridge: float = 2e-5) -> OrdinalModel:
-    """Maximum likelihood with a ridge, by Adam steps over the whole sample.
+def fit(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 300, ridge: float = 2e-5, tolerance: float = 1e-4) -> OrdinalModel:
+    """Maximum likelihood with a ridge, over the whole sample, by a quasi-Newton method of limited memory.
 
     rows, buckets, values: the sparse features.  Thresholds are the first one and
-    the logs of the gaps, so they stay in order.
+    the logs of the gaps, so they stay in order.  It ends when a step gains less
+    than ``tolerance`` of the loss.
     """
-    n = len(grades)
-    w, shape = np.zeros(1 << BITS), np.concatenate([[-1.0], np.zeros(n_grades - 2)])
-    moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(shape), np.zeros_like(shape)]
-    weight = (n / n_grades / np.maximum(1, np.bincount(grades, minlength=n_grades)))[grades] ** 0.5
+    seen, at = np.unique(buckets, return_inverse=True)
+    n, d, values = len(grades), len(seen), values.astype(np.float64)
+    weight = (n / n_grades / np.maximum(1, np.bincount(grades, minlength=n_grades)))[grades] ** 0.5 / n
     inf = np.array([np.inf])
-    for step in range(1, steps + 1):
-        t = np.cumsum(np.concatenate([shape[:1], np.exp(shape[1:])]))
-        s = np.bincount(rows, values * w[buckets], n)
-        edge = np.concatenate([-inf, t, inf])
-        lo, hi = 1 / (1 + np.exp(-np.clip(edge[grades] - s, -60, 60))), 1 / (1 + np.exp(-np.clip(edge[grades + 1] - s, -60, 60)))
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, shape = x[:d], x[d:]
+        s = np.bincount(rows, values * w[at], n)
+        edge = np.concatenate([-inf, _thresholds(shape), inf])
+        lo, hi = (1 / (1 + np.exp(-np.clip(edge[grades + k] - s, -60, 60))) for k in (0, 1))
         p = np.maximum(hi - lo, 1e-12)
-        d_lo, d_hi = lo * (1 - lo) / p * weight / n, hi * (1 - hi) / p * weight / n
-        grad_w = np.bincount(buckets, values * (d_hi - d_lo)[rows], 1 << BITS) + ridge * w
+        d_lo, d_hi = lo * (1 - lo) / p * weight, hi * (1 - hi) / p * weight
+        grad_w = np.bincount(at, values * (d_hi - d_lo)[rows], d) + ridge * w
         grad_t = np.bincount(grades, -d_hi, n_grades)[:-1] + np.bincount(grades, d_lo, n_grades)[1:]
         below = np.cumsum(grad_t[::-1])[::-1]
-        grad_shape = np.concatenate([below[:1], below[1:] * np.exp(shape[1:])])
-        for k, (x, g) in enumerate(((w, grad_w), (shape, grad_shape))):
-            m, v = moments[2 * k], moments[2 * k + 1]
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            x -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return OrdinalModel(w.astype(np.float32), np.cumsum(np.concatenate([shape[:1], np.exp(shape[1:])])))
+        return float(ridge / 2 * (w @ w) - (weight * np.log(p)).sum()), np.concatenate([grad_w, below[:1], below[1:] * np.exp(shape[1:])])
+
+    x = np.concatenate([np.zeros(d), [-1.0], np.zeros(n_grades - 2)])
+    now, gradient = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        step = _descent(gradient, past)
+        for _ in range(30):
+            after, turned = loss(x + step)
+            if after <= now + 1e-4 * (step @ gradient):
+                break
+            step = step / 2
+        else:
+            break
+        if step @ (turned - gradient) > 1e-12:
+            past = [*past, (step, turned - gradient)][-8:]
+        gained, x, now, gradient = now - after, x + step, after, turned
+        if gained <= tolerance * max(abs(now), 1e-3):
+            break
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[seen] = x[:d]
+    return OrdinalModel(weights, _thresholds(x[d:]))
+
+
+def _thresholds(shape: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([shape[:1], np.exp(shape[1:])]))
+
+
+def _descent(gradient: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A direction downhill, with the curvature of the last steps."""
+    out, shares = -gradient, []
+    for s, y in reversed(past):
+        shares.append((s @ out) / (s @ y))
+        out = out - shares[-1] * y
+    out = out * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1e-12, float(np.sqrt(gradient @ gradient))))
+    for (s, y), share in zip(past, reversed(shares)):
+        out = out + s * (share - (y @ out) / (s @ y))
+    return out
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, sample: int = SAMPLE, keep_best: float = KEEP_BEST) -> OrdinalModel:
     """Fits on rated texts: docs (doc_id, text), ratings (doc_id, grade).
 
-    The sample of ratings is drawn by a hash of the id and bounded by ``sample``
-    for each grade; of several ratings of an id the lowest counts; null grades
-    and texts are left out.  A fifth of the sample is not fitted on: from it comes the least
-    probability of the top grade that selects a text, so that ``keep_best`` of
-    the texts of the top grade are kept.  Without rated texts every text gets
-    the same position and is selected.
+    Of several ratings of an id the lowest counts; then the sample of rated ids
+    is drawn by a hash of the id, ``sample`` of each grade in expectation.  Null
+    grades and texts are left out, and of several texts of an id one is taken,
+    the same in every run.  The least probability of the top grade that selects
+    a text comes from the whole sample: each fold of FOLDS is judged by a fit on
+    the others, and MARGIN of what ``keep_best`` of the top grade's texts reach
+    there, one half at most, is the cut.  Where the sample has fewer than
+    1 / (1 - keep_best) texts of the top grade, that is what all of them reach.
+    Without rated texts every text gets the same position and is selected.
     """
-    rated = ratings.filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull())
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rated = ratings.filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     counts = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
     share = F.lit(1.0)
     for grade, n in counts.items():
-        share = F.when(F.col("grade") == grade, min(1.0, 1.2 * sample / n)).otherwise(share)
-    drawn = rated.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000).groupBy("doc_id").agg(F.min("grade").alias("grade"))
+        share = F.when(F.col("grade") == grade, min(1.0, sample / n)).otherwise(share)
+    drawn = rated.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
     # at most the bound of the sample, whatever the table
     texts = docs.filter(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("doc_id", "grade", "text")
 
@@ -133,19 +172,31 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, sample: i
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    held = texts.mapInArrow(run, f"doc_id {kind}, grade int, b binary, v binary").collect()
-    held = sorted(held, key=lambda r: (str(r["doc_id"]), bytes(r["b"])))
+    one = texts.mapInArrow(run, f"doc_id {kind}, grade int, b binary, v binary").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min(F.struct("b", "v")).alias("of"))
+    held = sorted(one.select("doc_id", "grade", "of.*").collect(), key=lambda r: (str(r["doc_id"]), bytes(r["b"])))
     if not held:
         return OrdinalModel(np.zeros(1 << BITS, np.float32), np.arange(n_grades - 1, dtype=float) - 40.0, 0.0)
-    last = [crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in held]
-    fitted = [r for r, x in zip(held, last) if not x] or held
-    model = fit(*_flat(fitted), np.array([r["grade"] for r in fitted]), n_grades)
-    kept = [r for r, x in zip(held, last) if x and r["grade"] == n_grades - 1]
-    if kept:
-        rows, buckets, values = _flat(kept)
-        tails = model.tail(np.bincount(rows, values * model.weights[buckets], len(kept)))[:, -1]
-        model.cut = float(min(0.5, np.quantile(tails, 1 - keep_best) * 0.9))
-    return model
+    folds = np.array([crc32(str(r["doc_id"]).encode()) % FOLDS for r in held])
+    table = spark.sparkContext.broadcast((*_flat(held), np.array([r["grade"] for r in held]), folds))
+
+    def fold(batches):
+        """The tails of a fold's texts of the top grade; at FOLDS the model of all texts."""
+        rows, buckets, values, grades, of = table.value
+        for k in [k for batch in batches for k in batch.column("id").to_pylist()]:
+            left = of != k
+            if not left.any() or (left.all() and k < FOLDS):
+                continue
+            use, number = left[rows], np.cumsum(left) - 1
+            model = fit(number[rows[use]], buckets[use], values[use], grades[left], n_grades)
+            tails = model.tail(np.bincount(rows, values * model.weights[buckets], len(grades)))[~left & (grades == n_grades - 1), -1]
+            whole = (model.weights, model.thresholds) if k == FOLDS else (np.zeros(0, np.float32), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([pa.array([k])] + [pa.array([a.tobytes()], pa.binary()) for a in (tails, *whole)], names=["id", "tails", "weights", "thresholds"])
+
+    fits = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fold, "id long, tails binary, weights binary, thresholds binary").collect()
+    (whole,) = (r for r in fits if r["id"] == FOLDS)
+    tails = np.concatenate([np.frombuffer(r["tails"]) for r in fits])
+    cut = float(np.quantile(tails, 1 - keep_best, method="lower")) * MARGIN if len(tails) else 0.5
+    return OrdinalModel(np.frombuffer(whole["weights"], np.float32), np.frombuffer(whole["thresholds"]), min(0.5, cut))
 
 
 def _flat(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,9 +210,12 @@ def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col:
 
     Returns a row per input row: doc_id, position double, expected_grade double
     (0 to the top grade), tail_prob double (probability of the top grade),
-    selected boolean.  A null or empty text has no words, which is a feature of
-    its own, and gets a grade as any other.  ``whole_rows`` adds the input row as a struct ``row``.  Repeated rows and null ids are kept;
-    other columns are not read.
+    selected boolean (tail_prob at the model's cut or above it; ties are
+    selected).  A null or empty text has no words, which is a feature of its
+    own, and gets a grade as any other; a very long one is read whole, and what
+    counts is how often a word stands in it for its length.  ``whole_rows`` adds
+    the input row as a struct ``row``.  Repeated rows and null ids are kept;
+    other columns are not read; an empty table gives none.
     """
     spark = df.sparkSession
     bounded_batches(spark)
