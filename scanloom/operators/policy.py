@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scanloom.operators.conditions import NoCondition, condition
 from scanloom.operators.scoring import SCORE_NAMES
 
 ACTIONS = ("block", "warn", "info")
@@ -84,9 +85,11 @@ def _finding_exists(value: dict, findings: DataFrame) -> tuple[DataFrame, Column
     """Skills with matching findings, naming the first three in severity order."""
     order = W.partitionBy("skill_id").orderBy("severity_rank", "file_ord", "rule", "pattern_ord", "at")
     text = F.concat(F.col("severity"), F.lit(":"), F.col("category"), F.lit("("), F.col("id"), F.lit(")"))
-    ranked = matching_findings(findings, value).select("skill_id", text.alias("text"), F.row_number().over(order).alias("rn"))
-    # three texts and a count are all that a skill needs
-    per = ranked.groupBy("skill_id").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("rn") == k, F.col("text"))).alias(f"t{k}") for k in (1, 2, 3)])
+    rows = matching_findings(findings, value)
+    # Spark keeps three rows of a skill before the shuffle, and counts are partial
+    first = rows.select("skill_id", text.alias("text"), F.row_number().over(order).alias("rn")).filter("rn <= 3")
+    texts = first.groupBy("skill_id").agg(*[F.max(F.when(F.col("rn") == k, F.col("text"))).alias(f"t{k}") for k in (1, 2, 3)])
+    per = rows.groupBy("skill_id").agg(F.count("*").alias("n")).join(texts, "skill_id")
     more = F.when(F.col("n") > 3, F.format_string(" and %d more", F.col("n") - 3)).otherwise("")
     return per, F.concat(F.format_string("Found %d matching finding(s): ", F.col("n")), F.concat_ws(", ", "t1", "t2", "t3"), more)
 
@@ -99,17 +102,14 @@ def _banned(value: dict, skills: DataFrame, names: Column, what: str) -> tuple[D
 
 
 def _custom(value: dict, results: DataFrame) -> tuple[DataFrame, Column] | None:
-    """A boolean SQL expression on a skill's scores and metrics; one that is no such expression is not met."""
+    """A condition on a skill's scores and metrics (see conditions); one that is none, or not true of a skill, is not met."""
     text = value.get("expression")
     if not isinstance(text, str) or not text:
         return None
     rows = results.select("skill_id", *[c for c in CUSTOM_COLUMNS if c in results.columns])
     try:
-        rows = rows.filter(F.expr(text))
-        rows.schema  # noqa: B018  resolves the expression
-    except Exception as error:  # what Spark cannot resolve is a condition that is not met
-        if type(error).__name__ not in ("AnalysisException", "ParseException"):
-            raise
+        rows = rows.filter(condition(text, rows.drop("skill_id")))
+    except NoCondition:
         return None
     return rows, F.lit(f"Custom condition met: {value.get('label') or text}")
 

@@ -8,16 +8,21 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Rows handed to Python at once; files may have up to a megabyte.
-BATCH_ROWS = 256
+#: Rows and bytes handed to Python at once; files may have up to a megabyte, texts even more.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 _SHIPPED: set[str] = set()
 
 
 def ready_for_python(spark: SparkSession) -> None:
-    """Sends the package through the context, once, and bounds Arrow batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Sends the package through the context, once, and bounds Arrow batches in rows and bytes.
+
+    The bounds are settings of the session and stay there: results are lazy, and
+    the settings hold when they are computed.  Lower bounds that are set stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(key).rstrip("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
