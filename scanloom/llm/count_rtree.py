@@ -148,3 +148,13 @@ def spanning_links(sets: list[np.ndarray], indexed: np.ndarray, queries: np.ndar
                     forest.join(c, q)
                     links.append((c, q))
     return links
+
+
+def linked_with(sets: list[np.ndarray], pivot: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """Which sets are linked with one other; the tree's bound picks those that are verified."""
+    out = np.zeros(len(sets), bool)
+    groups = groups_for(min(map(len, sets)))
+    tree = CountRTree(np.array([group_counts(s, groups) for s in sets], np.int32))
+    for c in tree.candidates(group_counts(pivot, groups), part, whole).tolist():
+        out[c] = similar(sets[c], pivot, part, whole)
+    return out

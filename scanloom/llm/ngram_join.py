@@ -13,9 +13,12 @@
    is done on the points alone first, so that only sets with a candidate are
    fetched; then the sets themselves verify.  Only links that join two
    components go on.
-4. A block too large for one task is first compared with its pivot; then the
-   sets that the pivot has not caught meet all the others, in parts.
-5. Components of the links, over representatives of equal sets.
+4. A block too large for one task is first compared with its pivot, in the same
+   way; then the sets that the pivot has not caught meet all the others, in parts.
+5. Components of the links.
+
+Equal sets stand as one node, numbered by the smallest id that has the set; where
+that id stands on several rows, by a hash of the set.
 """
 
 from __future__ import annotations
@@ -25,10 +28,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scanloom.llm.components import connected_components
-from scanloom.llm.count_rtree import packed_point, similar, spanning_links, with_candidates
+from scanloom.llm.count_rtree import linked_with, packed_point, spanning_links, with_candidates
+from scanloom.llm.spread import spread_join
 from scanloom.llm.storage import Stash, bounded_batches
+from scanloom.llm.word_hashes import WordHasher, mixed, runs
 
 WORDS = 5
 PART, WHOLE = 80, 100
@@ -42,100 +48,41 @@ COUNTED_AT_ONCE, REPORTED_FROM = 4_000_000, 4
 WORDS_REPORTED_FROM = 16
 #: Shingles in one part of a block (32 MB of hashes).
 BLOCK_SHINGLES = 4_000_000
-#: Documents with an equal one before them that every worker is told, at most; beyond it they are joined away.
-COPIES_TOLD = 1 << 20
+#: Ids that stand for no set of their own that every worker is told, at most; beyond it they are joined away.
+SKIPPED_TOLD = 1 << 20
 #: Bits (2 to this power, 8 MB) of the bitmap of documents whose sets are fetched, and how many it serves.
 MARK_BITS, MARKED_MOST = 26, 1 << 23
-#: Bytes of text hashed at once.
-HASHED_BYTES = 1 << 20
-_P = 0x9E3779B97F4A7C15
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
-    """Sets of hashed n-grams of whole texts, many texts at once.
-
-    A word's hash is a polynomial of its bytes, lower-cased by the table of byte
-    values, and comes from sums over the whole buffer; an n-gram's hash is a
-    polynomial of its words' hashes.  Both are of 64 bits.
-    """
+    """Sets of hashed n-grams of whole texts, many texts at once."""
 
     def __init__(self, words: int = WORDS):
-        self.words = words
-        values = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P))
-        values[0x41:0x5B] = values[0x61:0x7B]
-        self.values = values
-        self.space = np.zeros(256, bool)
-        self.space[[0x20, *range(0x09, 0x0E)]] = True
-        self.power = self.inverse = np.ones(1, np.uint64)
+        self.words, self.hasher = words, WordHasher()
         #: hashes of the words seen, kept if this is a list
         self.seen: list[np.ndarray] | None = None
         #: sorted hashes of frequent words and their weights; with them sets come with weights
         self.common: tuple[np.ndarray, np.ndarray] | None = None
 
-    def _grow(self, n: int) -> None:
-        if len(self.power) < n:
-            n = max(n, HASHED_BYTES)
-            for name, base in (("power", _P), ("inverse", pow(_P, -1, 1 << 64))):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
-
     def batch(self, column: pa.Array) -> list:
         """For each text the sorted distinct hashes; a shorter text has its whole sequence as one, no text none.
 
         With common words: for each text the hashes and the n-grams' weights,
         sums over their words, of which rare ones have none.
         """
-        texts = column.cast(pa.binary())
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-        out, first = [], 0
-        while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + HASHED_BYTES, "right")) - 1)
-            out += self._sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-            first = last
-        if texts.null_count:
-            none = np.zeros(0, np.uint64)
-            none = (none, none) if self.common else none
-            out = [s if ok else none for s, ok in zip(out, texts.is_valid().to_pylist())]
-        return out
+        return [s for _, found in self.hasher.column(column) for s in self._sets(found.hashes, found.bounds)]
 
-    def _sets(self, data: np.ndarray, bounds: np.ndarray) -> list:
-        none = np.zeros(0, np.uint64)
-        if not len(data):
-            return [(none, none) if self.common else none] * (len(bounds) - 1)
-        self._grow(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.power[: len(data)], out=sums[1:])
-        # breaks[i]: no word goes on from byte i - 1 to byte i
-        solid = ~self.space[data]
-        breaks = np.ones(len(data) + 1, bool)
-        breaks[1:-1] = ~(solid[1:] & solid[:-1])
-        breaks[bounds] = True
-        starts = np.flatnonzero(solid & breaks[:-1])
-        ends = np.flatnonzero(solid & breaks[1:]) + 1
-        w = _mixed((sums[ends] - sums[starts]) * self.inverse[starts])
+    def _sets(self, w: np.ndarray, at: np.ndarray) -> list:
         if self.seen is not None:
             self.seen.append(w)
-        at = np.searchsorted(starts, bounds)
-        grams = _polynomial(w, self.words) if len(w) >= self.words else none
-        heavy = totals = none
+        grams, heavy, totals = runs(w, self.words), None, None
         if self.common:
             heavy = _weights(w, *self.common)
             totals = np.convolve(heavy, np.ones(self.words, np.int64), "valid") if len(w) >= self.words else heavy
         out = []
         for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
             many = j - i >= self.words
-            own = grams[i : j - self.words + 1] if many else _polynomial(w[i:j], j - i) if j > i else none
+            own = grams[i : j - self.words + 1] if many else runs(w[i:j], j - i) if j > i else w[:0]
             if not self.common:
                 own = np.sort(own)
                 out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own)
@@ -156,13 +103,6 @@ def _weights(keys: np.ndarray, known: np.ndarray, weights: np.ndarray) -> np.nda
     return np.where(known[at] == keys, weights[at], 0)
 
 
-def _polynomial(w: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(len(w) - size + 1, np.uint64)
-    for k in range(size):
-        out = out * np.uint64(_P) + w[k : len(w) - size + k + 1]
-    return _mixed(out)
-
-
 def prefix_size(n: int, part: int = PART, whole: int = WHOLE) -> int:
     """Of n tokens in a common order, how many must hold a shared one of any linked pair."""
     return n - -(-part * n // whole) + 1 if n else 0
@@ -172,6 +112,11 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits for each set, in two columns."""
+    return np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for k in (1, 2)] for s in sets], np.uint64).reshape(-1, 2)
+
+
 SCANNED = ["doc_id", "n", "h1", "h2", "point", "key", "word", "count"]
 
 
@@ -199,7 +144,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             sets = shingler.batch(batch.column("text"))
-            digests = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for k in (1, 2)] for s in sets], np.uint64)
+            digests = _digests(sets)
             none = pa.nulls(len(sets), pa.int64())
             points = pa.array([packed_point(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(digests[:, 0].copy()), _signed(digests[:, 1].copy()), points, none, none, none], names=SCANNED)
@@ -230,15 +175,15 @@ def _frequent(scanned: DataFrame, column: str, most: int) -> tuple[np.ndarray, n
     return keys[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
-def _prefix_keys(docs: DataFrame, frequent, copies, words: int, part: int, whole: int, wanted: bool) -> DataFrame:
+def _prefix_keys(docs: DataFrame, frequent, skipped, words: int, part: int, whole: int, wanted: bool) -> DataFrame:
     """(key, n, doc_id): the rarest shingles of each document; ``wanted`` picks the frequent or the other ones."""
 
     def run(batches):
         shingler, (common, counts, shingler_words) = Shingler(words), frequent.value
         shingler.common = shingler_words
         for batch in batches:
-            if copies:
-                batch = batch.filter(pa.array(~np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), copies.value)))
+            if skipped:
+                batch = batch.filter(pa.array(~_within(batch.column("doc_id").to_numpy(zero_copy_only=False), skipped.value)))
             if not batch.num_rows:
                 continue
             out, owners = [], []
@@ -255,6 +200,14 @@ def _prefix_keys(docs: DataFrame, frequent, copies, words: int, part: int, whole
     return docs.mapInArrow(run, "key long, n int, doc_id long")
 
 
+def _within(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ids are among the known ones, which are sorted."""
+    return known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids
+
+
+PAIRS = ["doc", "n", "pivot", "pivot_n"]
+
+
 def _pivot_pairs(part: int, whole: int):
     """From rows sorted by key, size and document: each document with the first one of its run.
 
@@ -263,13 +216,13 @@ def _pivot_pairs(part: int, whole: int):
     """
 
     def run(batches):
-        last, size, pivot, found, held = None, 0, 0, [], 0
+        last, size, pivot, found, held = None, 0, (0, 0), [], 0
 
         def out():
             pairs = np.concatenate(found, axis=1)
             pairs = pairs[:, np.lexsort(pairs)]
             new = np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(0))
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0, new]), pa.array(pairs[1, new])], names=["doc", "pivot"])
+            return pa.RecordBatch.from_arrays([pa.array(column[new]) for column in pairs], names=PAIRS)
 
         for batch in batches:
             keys, sizes, docs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "doc_id"))
@@ -279,11 +232,11 @@ def _pivot_pairs(part: int, whole: int):
             before = np.append(size, sizes[:-1])
             starts = np.append(keys[0] != last, keys[1:] != keys[:-1]) | (part * sizes > whole * before)
             at = np.maximum.accumulate(np.where(starts, np.arange(len(keys)), -1))
-            pivots = np.where(at < 0, pivot, docs[at])
-            last, size, pivot = keys[-1], sizes[-1], pivots[-1]
+            pivots, pivot_sizes = np.where(at < 0, pivot[0], docs[at]), np.where(at < 0, pivot[1], sizes[at])
+            last, size, pivot = keys[-1], sizes[-1], (pivots[-1], pivot_sizes[-1])
             other = docs != pivots
             if other.any():
-                found.append(np.stack([docs[other], pivots[other]]))
+                found.append(np.stack([docs[other], sizes[other], pivots[other], pivot_sizes[other]]))
                 held += int(other.sum())
             if held > 500_000:
                 yield out()
@@ -296,7 +249,7 @@ def _pivot_pairs(part: int, whole: int):
 
 def _marks(ids: np.ndarray) -> np.ndarray:
     """The bit of each id in a bitmap."""
-    return (_mixed(ids.view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+    return (mixed(ids.view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -314,15 +267,15 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, marked_most: int) -> DataFrame:
     """(doc, tokens) of the documents wanted.
 
-    Up to MARKED_MOST of them, each scan task is given a bitmap of their ids and
+    Up to ``marked_most`` of them, each scan task is given a bitmap of their ids and
     hands on few others, so that texts stay where they are; beyond it texts are
     joined to the ids first.
     """
     marks = None
-    if wanted.count() <= MARKED_MOST:
+    if wanted.count() <= marked_most:
         marks = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
     else:
         docs = docs.join(wanted, "doc_id", "left_semi")
@@ -354,62 +307,131 @@ def jaccard_groups(
     frequent_shingles: int = FREQUENT,
     frequent_words: int = FREQUENT_WORDS,
     block_shingles: int = BLOCK_SHINGLES,
+    skipped_told: int = SKIPPED_TOLD,
+    marked_most: int = MARKED_MOST,
 ) -> DataFrame:
     """Groups documents whose n-gram sets have a Jaccard similarity of part/whole or more, and their neighbours in turn.
 
     Ids are integers.  Returns a row per input row: doc_id, n_shingles long,
     component_id long (smallest id that links reach, the own one included).  A
     null, empty or wordless text has an empty set and is linked with nothing; a
-    text of fewer words than ``words`` has its whole sequence as one.  Rows with
-    a null id are linked with nothing and have a null component; repeated rows
-    are linked as equal sets are.  Other columns are not read.
+    text of fewer words than ``words`` has its whole sequence as one, a very long
+    one all of its shingles.  Rows with a null id are linked with nothing and
+    have a null component.  Repeated rows are linked as equal sets are; of an id
+    on rows with different texts each row has the links of its own text.  A
+    similarity of exactly part/whole is a link.  Other columns are not read; an
+    empty table gives none.
+
+    ``skipped_told`` and ``marked_most`` bound what workers are told by
+    broadcast; beyond them joins do the same.
+    """
+    bounded_batches(df.sparkSession)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = _grouped(docs, Stash(df.sparkSession, "ngram"), words, part, whole, frequent_shingles, frequent_words, block_shingles, skipped_told, marked_most)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART, whole: int = WHOLE, marked_most: int = MARKED_MOST) -> DataFrame:
+    """The rows of ``df`` without near copies: of each group of linked rows the one of smallest id stays.
+
+    Groups are those of jaccard_groups.  Of several rows of the smallest id in a
+    group the one of least text stays (any of those of equal text).  Rows
+    without an id or without words are no copies and stay as they are.
+
+    Only rows whose id is among those to be decided are shuffled: a scan passes
+    all others on by a bitmap of these ids, as long as it serves them.
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    stash = Stash(spark, "ngram")
+    stash = Stash(spark, "copies")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-
+    found = stash.keep(_grouped(docs, stash, words, part, whole, FREQUENT, FREQUENT_WORDS, BLOCK_SHINGLES, SKIPPED_TOLD, marked_most), "grouped")
+    named = found.filter("doc_id IS NOT NULL")
+    ids = named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("copy"))
+    touched = stash.keep(ids.filter("copy OR rows > 1").select("doc_id", (F.col("rows") > 1).alias("several")), "touched")
+    marks = spark.sparkContext.broadcast(_bitmap(touched.select("doc_id"))) if touched.count() <= marked_most else None
+
+    def marked(wanted: bool):
+        def run(batches):
+            bits = np.unpackbits(marks.value).view(bool) if marks else None
+            for batch in batches:
+                column = batch.column("doc_id")
+                hit = column.is_valid().to_numpy(zero_copy_only=False)
+                if bits is not None:
+                    hit = hit & bits[_marks(column.fill_null(0).to_numpy(zero_copy_only=False))]
+                yield batch.filter(pa.array(hit == wanted))
+
+        return run
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    untouched = rows.mapInArrow(marked(False), rows.schema)
+    looked_at = rows.mapInArrow(marked(True), rows.schema).join(touched, "doc_id", "left")
+    text = F.col("row").getField(text_col)
+    kept = looked_at.filter("several IS NULL").select("doc_id", "row")
+    if not touched.filter("several").isEmpty():
+        keep = named.filter("n_shingles > 0 AND doc_id = component_id").select("doc_id", "h1", "h2", "component").distinct()
+
+        def digested(batches):
+            shingler = Shingler(words)
+            for batch in batches:
+                sets = shingler.batch(batch.column("text"))
+                digests = _digests(sets)
+                yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "row")), _signed(digests[:, 0].copy()), _signed(digests[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "row", "h1", "h2", "n"])
+
+        again = looked_at.filter("several").select("doc_id", "row", text.alias("text"))
+        schema = StructType([f for f in again.schema if f.name != "text"]).add("h1", "long").add("h2", "long").add("n", "long")
+        again = again.mapInArrow(digested, schema)
+        least = again.filter("n > 0").join(keep, ["doc_id", "h1", "h2"]).groupBy("doc_id", "component").agg(F.min_by("row", text).alias("row"))
+        kept = kept.union(again.filter("n = 0").select("doc_id", "row")).union(least.select("doc_id", "row"))
+    # a single row of a touched id is a copy
+    return untouched.union(kept).select("row.*")
+
+
+def _grouped(docs: DataFrame, stash: Stash, words: int, part: int, whole: int, frequent_shingles: int, frequent_words: int, block_shingles: int, skipped_told: int, marked_most: int) -> DataFrame:
+    """(doc_id, h1, h2, n_shingles, component, component_id) per row: the digest of its set, its component's node and smallest id."""
+    spark = docs.sparkSession
     scanned = stash.keep(_scan(docs, words), "scan")
     known, uses = _frequent(scanned, "word", frequent_words)
     frequent = spark.sparkContext.broadcast((*_frequent(scanned, "key", frequent_shingles), (known, (4 * np.log2(uses)).astype(np.int64))))
     sized = scanned.filter(F.col("n").isNotNull()).select("doc_id", "n", "h1", "h2")
     held = sized.filter("n > 0 AND doc_id IS NOT NULL")
-    firsts = held.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    same = stash.keep(held.join(firsts, ["h1", "h2", "n"]).select("doc_id", "rep", "n"), "same")
 
-    # of equal sets one stands for all: their keys are the same
-    copies = same.filter("doc_id <> rep").select("doc_id").distinct()
-    told, n_copies = None, copies.count()
-    if n_copies > COPIES_TOLD:
-        named = named.join(copies, "doc_id", "left_anti")
-    elif n_copies:
-        told = spark.sparkContext.broadcast(np.array([r["doc_id"] for r in copies.collect()], np.int64))
+    # one node for each set; ids of several rows number none
+    several = stash.keep(held.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "several")
+    labels = held.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("label"))
+    marked = labels.join(several.select(F.col("doc_id").alias("label"), F.lit(True).alias("shared")), "label", "left")
+    nodes = marked.select("h1", "h2", "n", "label", F.when(F.col("shared"), F.xxhash64("h1", "h2", "n")).otherwise(F.col("label")).alias("node"))
+    same = stash.keep(spread_join(held, nodes, ["h1", "h2", "n"]).select("doc_id", "h1", "h2", "node", "label", "n"), "same")
+    named = _texts_of_nodes(docs, same, several, words)
+
+    # rows that number no node are passed over; of equal sets one stands for all
+    skipped = same.filter("doc_id <> node").select("doc_id").distinct()
+    told, n_skipped = None, skipped.count()
+    if n_skipped > skipped_told:
+        named = named.join(skipped, "doc_id", "left_anti")
+    elif n_skipped:
+        told = spark.sparkContext.broadcast(np.sort(np.array([r["doc_id"] for r in skipped.collect()], np.int64)))
 
     # frequent keys are aggregated where they are; the others are sorted by key
     rare = _prefix_keys(named, frequent, told, words, part, whole, False)
-    pairs = rare.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_pivot_pairs(part, whole), "doc long, pivot long")
+    pairs = rare.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_pivot_pairs(part, whole), "doc long, n long, pivot long, pivot_n long")
     common = _prefix_keys(named, frequent, told, words, part, whole, True)
-    pivots = common.groupBy("key").agg(F.min("doc_id").alias("pivot"))
+    pivots = common.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first")).select("key", F.col("first.doc_id").alias("pivot"), F.col("first.n").alias("pivot_n"))
     # no more keys than there are frequent shingles
-    pairs = pairs.union(common.join(F.broadcast(pivots), "key").filter("doc_id <> pivot").select("doc_id", "pivot")).distinct()
-    pairs = stash.keep(pairs, "pairs")
-
-    of = lambda c: same.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("n").alias(f"{c}_n"))
-    # joins of one kind at every size, so that costs follow the input
-    met = pairs.join(of("doc").hint("merge"), "doc").join(of("pivot").hint("merge"), "pivot").filter("doc_rep <> pivot_rep")
-    met = met.select(F.col("pivot_rep").alias("block"), F.col("pivot_n"), F.col("doc_rep").alias("doc"), F.col("doc_n").alias("n")).distinct()
-    members = stash.keep(met.select("block", "doc", "n").union(met.select("block", F.col("block").alias("doc"), F.col("pivot_n").alias("n"))).distinct(), "members")
+    met = common.join(F.broadcast(pivots), "key").filter("doc_id <> pivot").select(F.col("doc_id").alias("doc"), "n", "pivot", "pivot_n")
+    pairs = stash.keep(pairs.union(met).distinct(), "pairs")
+    members = pairs.select(F.col("pivot").alias("block"), "doc", "n").union(pairs.select("pivot", "pivot", "pivot_n")).distinct()
+    members = stash.keep(members, "members")
     stash.drop("pairs")
 
     # the points are a small part of the sets; sets that no other point in their block comes near go no further
     sizes = members.groupBy("block").agg(F.sum("n").alias("tokens"))
-    points = scanned.filter("n > 0").select(F.col("doc_id").alias("doc"), "point")
+    points = _points_of_nodes(scanned, same)
     small = members.join(sizes.filter(F.col("tokens") <= block_shingles).select("block"), "block").join(points.hint("merge"), "doc")
     near = stash.keep(small.groupBy("block").applyInArrow(lambda t: _near_points(t, part, whole), "block long, doc long"), "near")
     wide = members.join(sizes.filter(F.col("tokens") > block_shingles).select("block"), "block")
     wanted = near.select(F.col("doc").alias("doc_id")).union(wide.select("doc")).distinct()
-    sets = stash.keep(_sets(named, wanted, words), "sets")
+    sets = stash.keep(_sets(named, wanted, words, marked_most), "sets")
     tasks = near.select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc", F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
     large = sizes.filter(F.col("tokens") > block_shingles)
     links = None
@@ -448,11 +470,42 @@ def jaccard_groups(
     groups = connected_components(links, stash)
     for label in ("sets", "members", "near", "links"):
         stash.drop(label)
-    found = same.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    rest = sized.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    # a component is named by the smallest id of its sets
+    of_nodes = same.select("node", "label").distinct().join(groups, "node", "left").select("node", "label", F.coalesce("component", "node").alias("component"))
+    of_nodes = stash.keep(of_nodes, "nodes")
+    names = of_nodes.groupBy("component").agg(F.min("label").alias("component_id"))
+    of_nodes = spread_join(of_nodes, names, ["component"]).select("node", "component", "component_id")
+    found = spread_join(same, of_nodes, ["node"]).select("doc_id", "h1", "h2", F.col("n").alias("n_shingles"), "component", "component_id")
+    rest = sized.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "h1", "h2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component"), F.col("doc_id").alias("component_id"))
     return found.union(rest)
 
 
+def _texts_of_nodes(docs: DataFrame, same: DataFrame, several: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text): the rows with a text, and one row under its own number for each node numbered by a hash."""
+    named = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    if several.isEmpty():
+        return named
+
+    def run(batches):
+        shingler = Shingler(words)
+        for batch in batches:
+            sets = shingler.batch(batch.column("text"))
+            digests = _digests(sets)
+            yield pa.RecordBatch.from_arrays([_signed(digests[:, 0].copy()), _signed(digests[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), batch.column("text")], names=["h1", "h2", "n", "text"])
+
+    own = same.filter("node <> label").select("h1", "h2", "n", "node").distinct()
+    rows = named.join(several, "doc_id", "left_semi").mapInArrow(run, "h1 long, h2 long, n long, text string").dropDuplicates(["h1", "h2", "n"])
+    return named.union(rows.join(own, ["h1", "h2", "n"]).select(F.col("node").alias("doc_id"), "text"))
+
+
+def _points_of_nodes(scanned: DataFrame, same: DataFrame) -> DataFrame:
+    """(doc, point) of each node."""
+    points = scanned.filter("n > 0").select("doc_id", "h1", "h2", "n", "point")
+    plain = points.select(F.col("doc_id").alias("doc"), "point")
+    own = same.filter("node <> label").select("h1", "h2", "n", "node").distinct()
+    return plain if own.isEmpty() else plain.union(points.drop("doc_id").dropDuplicates(["h1", "h2", "n"]).join(own, ["h1", "h2", "n"]).select("node", "point"))
+
+
 def _near_points(table: pa.Table, part: int, whole: int) -> pa.Table:
     """The rows of a block whose points have a candidate among the others."""
     docs, at = np.unique(table.column("doc").to_numpy(), return_index=True)
@@ -466,13 +519,13 @@ def _compared_with_pivot(members: DataFrame, sets: DataFrame, part: int, whole:
 
     def run(batches):
         for batch in batches:
-            rows = zip(batch.column("tokens").to_pylist(), batch.column("pivot").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("block", "doc", "n")), pa.array([similar(_array(a), _array(b), part, whole) for a, b in rows], pa.bool_())],
-                names=["block", "doc", "n", "linked"],
-            )
+            tokens, pivots = batch.column("tokens").to_pylist(), batch.column("pivot").to_pylist()
+            linked, blocks = np.zeros(batch.num_rows, bool), batch.column("block").to_numpy()
+            for block in np.unique(blocks):
+                at = np.flatnonzero(blocks == block)
+                linked[at] = linked_with([_array(tokens[i]) for i in at], _array(pivots[at[0]]), part, whole)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "doc", "n")), pa.array(linked)], names=["block", "doc", "n", "linked"])
 
     pivots = sets.select(F.col("doc").alias("block"), F.col("tokens").alias("pivot"))
-    both = members.join(sets, "doc").join(pivots, "block").select("block", "doc", "n", "tokens", "pivot")
+    both = spread_join(members.join(sets.hint("merge"), "doc"), pivots, ["block"], counted=members).select("block", "doc", "n", "tokens", "pivot")
     return both.mapInArrow(run, "block long, doc long, n long, linked boolean")
-
