@@ -18,36 +18,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.components import connected_components
-from scanloom.llm.count_rtree import Forest
+from scanloom.llm.spread import spread_join
 from scanloom.llm.storage import Stash, bounded_batches
 
 THRESHOLD = 0.98
 TARGET_RECALL = 0.995
-#: Bound of the vectors that codebooks and the length of the traversal are fitted on.
+#: Vectors that codebooks and the length of the traversal are fitted on; more only for more than 2,500 codewords.
 SAMPLE = 20_000
 #: Pairs at the threshold that the traversal is measured on.
 PROBES = 1000
-#: Vectors in one part of a cell.
-CELL_ROWS = 2000
+#: Vectors in one part of a cell, and how many cells of several parts workers are told by broadcast.
+CELL_ROWS, CELLS_TOLD = 2000, 100_000
 
 
 def clean(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(vec_id, label, vec): vec holds doubles in bytes, null where the vector or the label can't be compared."""
+    """(vec_id, label, vec): vec holds the components in bytes, null where the vector or the label can't be compared.
+
+    The first byte says whether floats hold the components exactly, or doubles do.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
             for v, label in zip(batch.column("vec").to_pylist(), batch.column("label").to_pylist()):
-                a = np.array(v, np.float64) if v and label is not None and None not in v else None
-                out.append((a + 0.0).tobytes() if a is not None and np.isfinite(a).all() and a.any() else None)
+                a = np.array(v, np.float64) + 0.0 if v and label is not None and None not in v else None
+                out.append(packed(a) if a is not None and np.isfinite(a).all() and a.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
 
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
     return rows.mapInArrow(run, "vec_id long, label string, vec binary")
 
 
+def packed(a: np.ndarray) -> bytes:
+    with np.errstate(over="ignore"):
+        short = a.astype(np.float32)
+    return b"f" + short.tobytes() if (short == a).all() else b"d" + a.tobytes()
+
+
+#: The number of components of a packed vector, as SQL.
+DIMENSION = "CAST((length(vec) - 1) / CASE WHEN substring(vec, 1, 1) = X'66' THEN 4 ELSE 8 END AS INT)"
+
+
 def unit(raw: bytes) -> np.ndarray:
-    a = np.frombuffer(raw, np.float64)
+    a = np.frombuffer(raw, np.float32 if raw[:1] == b"f" else np.float64, offset=1).astype(np.float64)
     a = a / np.abs(a).max()
     return a / np.sqrt(a @ a)
 
@@ -69,14 +82,20 @@ def distances(x: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return np.concatenate([distances(x[i : i + 4096], words).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
+    step = max(1, (1 << 22) // len(words))
+    return np.concatenate([distances(x[i : i + step], words).argmin(1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, int)
+
+
+def codewords(rows: int) -> int:
+    """Codewords of a half, so that a cell of the grid has about 16 rows at any number of rows."""
+    return max(4, round((rows / 16) ** 0.5))
 
 
 class MultiIndex:
     """Two codebooks for vectors of one dimension."""
 
     def __init__(self, sample: np.ndarray, rows: int, threshold: float, target: float):
-        k = int(min(1024, max(4, round((rows / 16) ** 0.5)), max(4, len(sample) // 8)))
+        k = min(codewords(rows), max(4, len(sample) // 8))
         self.half = max(1, sample.shape[1] // 2)
         self.books = [k_means(sample[:, : self.half], k), k_means(sample[:, self.half :], k)]
         self.visits = 1
@@ -105,7 +124,16 @@ class MultiIndex:
         return out
 
     def visited(self, x: np.ndarray) -> list[list[int]]:
-        return [self.traverse(a, b, self.visits) for a, b in zip(*self._near(x))]
+        """The cells that each vector visits; of a half no more codewords than cells are needed."""
+        near, first = self._near(x), []
+        for d in near:
+            some = np.argpartition(d, min(self.visits, d.shape[1]) - 1, axis=1)[:, : self.visits]
+            first.append(np.sort(some, axis=1))
+        out, width = [], len(self.books[1])
+        for a, b, i, j in zip(*near, *first):
+            found = np.array(self.traverse(a[i], b[j], self.visits))
+            out.append((i[found // len(j)] * width + j[found % len(j)]).tolist())
+        return out
 
     def measure(self, sample: np.ndarray, threshold: float, target: float) -> int:
         """Cells to visit so that a share ``target`` of pairs at the threshold meet, from either side."""
@@ -121,41 +149,58 @@ class MultiIndex:
             ga, gb = goal[0].argmin(1), goal[1].argmin(1)
             rows = np.arange(len(p))
             mine = a[rows, ga] + b[rows, gb]
-            ranks.append([1 + sum(np.searchsorted(np.sort(bb), m - aa, "left") for aa in av if aa <= m) for av, bb, m in zip(a, b, mine)])
+            ranks.append([1 + int(np.searchsorted(np.sort(bb), m - av[av <= m], "left").sum()) for av, bb, m in zip(a, b, mine)])
         return int(np.quantile(np.minimum(*map(np.array, ranks)), target, method="higher"))
 
 
-def _groups(rows: DataFrame, index) -> DataFrame:
-    """Each vector in its own cell and in the cells that it visits."""
+def _placed(rows: DataFrame, index) -> DataFrame:
+    """Each vector with its space (label and dimension), its own cell, the cells that it visits, and a short code.
+
+    The code has a byte for each component of the unit vector, and before them
+    the step of these bytes and the length of what they leave out.
+    """
 
     def run(batches):
         for batch in batches:
-            vecs, labels = batch.column("vec").to_pylist(), batch.column("label").to_pylist()
-            books = index.value
-            dims = np.array([len(v) // 8 for v in vecs])
-            out = [[] for _ in range(6)]
+            vecs, labels, books = batch.column("vec").to_pylist(), batch.column("label").to_pylist(), index.value
+            units = [unit(v) for v in vecs]
+            dims, out = np.array([len(x) for x in units]), [None] * len(units)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                x = np.array([unit(vecs[i]) for i in at])
-                for i, home, seen in zip(at.tolist(), books[int(d)].cells(x).tolist(), books[int(d)].visited(x)):
-                    for cell in dict.fromkeys([home, *seen]):
-                        for column, value in zip(out, (f"{labels[i]}|{d}", cell, home, i, vecs[i], seen)):
-                            column.append(value)
-            ids, sizes = batch.column("rep").to_pylist(), batch.column("rows").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out[0], pa.string()),
-                    pa.array(out[1], pa.int32()),
-                    pa.array(out[2], pa.int32()),
-                    pa.array([ids[i] for i in out[3]], pa.int64()),
-                    pa.array([sizes[i] for i in out[3]], pa.int64()),
-                    pa.array(out[4], pa.binary()),
-                    pa.array(out[5], pa.list_(pa.int32())),
-                ],
-                names=["space", "cell", "home", "rep", "rows", "vec", "seen"],
-            )
-
-    return rows.mapInArrow(run, "space string, cell int, home int, rep long, rows long, vec binary, seen array<int>")
+                x = np.array([units[i] for i in at])
+                for i, v, home, seen in zip(at.tolist(), x, books[int(d)].cells(x).tolist(), books[int(d)].visited(x)):
+                    out[i] = (f"{labels[i]}|{d}", home, list(dict.fromkeys([home, *seen])), code(v))
+            columns = zip((pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()), zip(*out))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("node", "rows", "vec")), *(pa.array(c, t) for t, c in columns)], names=["node", "rows", "vec", "space", "home", "seen", "code"])
+
+    return rows.select("node", "rows", "vec", "label").mapInArrow(run, "node long, rows long, vec binary, space string, home long, seen array<long>, code binary")
+
+
+def code(v: np.ndarray) -> bytes:
+    step = np.float32(np.abs(v).max() / 127)
+    short = np.rint(v / step).clip(-127, 127).astype(np.int8)
+    left = v - short.astype(np.float64) * step
+    return np.array([step, np.nextafter(np.float32(np.sqrt(left @ left)), np.float32(2))], np.float32).tobytes() + short.tobytes()
+
+
+def _with_candidates(table: pa.Table, threshold: float) -> pa.Table:
+    """The rows of a cell, or of two parts of it, that may be linked with another one there, by the codes and what they leave out."""
+    part, here = table.column("part").to_numpy(), table.column("home").to_numpy() == table.column("cell").to_numpy()
+    raw = np.array([np.frombuffer(c, np.uint8) for c in table.column("code").to_pylist()])
+    heads = raw[:, :8].copy().view(np.float32)
+    x, e = raw[:, 8:].view(np.int8).astype(np.float32) * heads[:, :1], heads[:, 1]
+    least = threshold - 1e-4 - 1e-6 * x.shape[1] - e
+    one, some = table.column("a")[0].as_py() == table.column("b")[0].as_py(), np.zeros(len(e), bool)
+    for start in range(0, len(e), 512):
+        block = np.arange(start, min(start + 512, len(e)))
+        # the cosine is at most the codes' product, and what each leaves out against the other
+        close = x[block] @ x.T >= least[None, :] - (e[block] * (1 + e.max()))[:, None]
+        close &= here[block][:, None] | here[None, :]
+        close[np.arange(len(block)), block] = False
+        if not one:
+            close &= part[block][:, None] != part[None, :]
+        some[block] = close.any(1)
+    return table.select(["space", "cell", "a", "b", "part", "node"]).filter(pa.array(some))
 
 
 def compare_cell(table: pa.Table, threshold: float) -> pa.Table:
@@ -165,36 +210,38 @@ def compare_cell(table: pa.Table, threshold: float) -> pa.Table:
     that only visit the cell are not compared with each other.
     """
     part, a, b = (table.column(c).to_numpy() for c in ("part", "a", "b"))
-    cell, home = table.column("cell").to_numpy(), table.column("home").to_numpy()
-    ids, rows, seen = table.column("rep").to_numpy(), table.column("rows").to_numpy(), table.column("seen").to_pylist()
-    x = np.array([np.frombuffer(v, np.float64) for v in table.column("vec").to_pylist()])
-    x = x / np.abs(x).max(1)[:, None]
-    x /= np.sqrt((x * x).sum(1))[:, None]
+    cell, home = int(table.column("cell")[0].as_py()), table.column("home").to_numpy()
+    ids, rows = table.column("node").to_numpy(), table.column("rows").to_numpy().astype(np.float64)
+    seen, x = np.array(table.column("seen").to_pylist()), np.array([unit(v) for v in table.column("vec").to_pylist()])
     here = home == cell
-    count, forest, links = np.zeros(len(ids), np.int64), Forest(len(ids)), []
+    # of each row, and of each lower cell that a guest comes from: whether the row visits that cell
+    homes, from_home = np.unique(home, return_inverse=True)
+    visits = np.array([(seen == h).any(1) if h < cell else np.zeros(len(ids), bool) for h in homes]).T
+    count, label, links = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
     one = a[0] == b[0]
     for start in range(0, len(ids), 512):
         block = np.arange(start, min(start + 512, len(ids)))
         close = x[block] @ x.T >= threshold
-        close &= (here[block][:, None] | here[None, :]) & (block[:, None] < np.arange(len(ids))[None, :])
+        close &= here[block][:, None] | here[None, :]
+        close[np.arange(len(block)), block] = False
         if not one:
             close &= part[block][:, None] != part[None, :]
-        for i, j in zip(*np.nonzero(close)):
-            i = int(block[i])
-            if not (here[i] and here[j]):
-                # one of the two visits; it may be visited at home as well
-                guest, host = (i, j) if here[j] else (j, i)
-                if home[guest] < cell[0] and home[guest] in seen[host]:
-                    continue
-            count[i] += rows[j]
-            count[j] += rows[i]
-            if forest.join(i, int(j)):
-                links.append((i, int(j)))
+        host, guest = here[block], ~here[block]
+        close[host] &= here[None, :] | ~visits[block[host]][:, from_home]
+        close[guest] &= ~here[None, :] | ~visits[:, from_home[block[guest]]].T
+        count[block] = np.rint(close @ rows)
+        for k in np.flatnonzero(close.any(1)):
+            i, others = int(block[k]), np.flatnonzero(close[k])
+            apart, first = np.unique(label[others], return_index=True)
+            first = first[apart != label[i]]
+            if len(first):
+                links += [(i, int(j)) for j in others[first]]
+                label[np.isin(label, apart)] = label[i]
     some = np.flatnonzero(count)
     none = [None] * len(links)
     return pa.table(
         {
-            "rep": pa.array([*ids[some].tolist(), *none], pa.int64()),
+            "node": pa.array([*ids[some].tolist(), *none], pa.int64()),
             "n": pa.array([*count[some].tolist(), *none], pa.int64()),
             "u": pa.array([None] * len(some) + [int(ids[i]) for i, _ in links], pa.int64()),
             "v": pa.array([None] * len(some) + [int(ids[j]) for _, j in links], pa.int64()),
@@ -214,36 +261,56 @@ def near_duplicates(
 ) -> DataFrame:
     """Links vectors of one label (not null) and dimension whose cosine is ``threshold`` or more.
 
-    Codebooks are fitted on a sample bounded by ``sample`` for each dimension;
-    every row is indexed and asks.  Returns a row per input row: vec_id, n_links
-    long (other rows linked directly), component_id long (smallest vec_id that
-    links reach, the own one included), kept boolean (vec_id = component_id).
-    Null, empty or zero vectors, those with a null or non-finite component, and
-    rows with a null label or id are linked with nothing.  Equal vectors are
-    compared once and counted by their rows; a repeated row is another row.
-    Other columns are not read.
+    Codebooks are fitted on a sample for each dimension: ``sample`` vectors, or
+    eight for each codeword where that is more (twice the square root of the
+    number of vectors); every row is indexed and asks.  Returns a row per input
+    row: vec_id, n_links long (other rows linked directly), component_id long
+    (smallest vec_id that links reach, the own one included), kept boolean
+    (vec_id = component_id).  Null, empty or zero vectors, those with a null or
+    non-finite component, and rows with a null label or id are linked with
+    nothing.  Equal vectors are compared once and counted by their rows; a
+    repeated row is another row, with the same vec_id or not.  A cosine of exactly
+    ``threshold`` is a link.  Other columns are not read; an empty table gives none.
+
+    Codes of a byte a component go to all cells visited; whole vectors only to
+    cells where the codes leave a link possible.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     stash = Stash(spark, "vectors")
-    rows = stash.keep(clean(df, id_col, vector_col, label_col).withColumn("key", F.when(F.col("vec").isNotNull() & F.col("vec_id").isNotNull(), F.sha2(F.concat(F.encode("label", "UTF-8"), F.lit(b"\x00"), F.col("vec")), 256))), "rows")
-    reps = stash.keep(rows.filter("key IS NOT NULL").groupBy("key", "label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("rows")), "reps")
-    sizes = {r["d"]: r["count"] for r in reps.groupBy((F.length("vec") / 8).cast("int").alias("d")).count().collect()}
+    usable = F.col("vec").isNotNull() & F.col("vec_id").isNotNull()
+    key = F.when(usable, F.unhex(F.sha2(F.concat(F.encode("label", "UTF-8"), F.lit(b"\x00"), F.col("vec")), 256)))
+    rows = stash.keep(clean(df, id_col, vector_col, label_col).withColumn("key", key), "rows")
+    known = rows.filter("key IS NOT NULL")
+    reps = known.groupBy("key", "label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("rows"))
+    # an id of several rows numbers no vector
+    several = known.groupBy("vec_id").count().filter("count > 1").select(F.col("vec_id").alias("rep"), F.lit(True).alias("shared"))
+    reps = reps.join(several, "rep", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("key")).otherwise(F.col("rep"))).drop("shared")
+    reps = stash.keep(reps, "reps")
+    sizes = {r["d"]: r["count"] for r in reps.groupBy(F.expr(DIMENSION).alias("d")).count().collect()}
     index = {}
     for d, n in sizes.items():
-        drawn = reps.filter(F.length("vec") == 8 * d).filter(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1_000_000)) < min(1.0, sample / n) * 1_000_000).select("key", "vec").collect()
-        drawn = [unit(r["vec"]) for r in sorted(drawn, key=lambda r: r["key"])] or [np.eye(1, d)[0]]
+        wanted = max(sample, 8 * codewords(n))
+        drawn = reps.filter(F.expr(DIMENSION) == d).filter(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1_000_000)) < min(1.0, wanted / n) * 1_000_000).select("key", "vec").collect()
+        drawn = [unit(bytes(r["vec"])) for r in sorted(drawn, key=lambda r: bytes(r["key"]))] or [np.eye(1, d)[0]]
         index[d] = MultiIndex(np.array(drawn), n, threshold, target_recall)
-    placed = stash.keep(_groups(reps, spark.sparkContext.broadcast(index)), "placed")
+    placed = stash.keep(_placed(reps, spark.sparkContext.broadcast(index)), "placed")
     # a cell of many rows is dealt into parts, and each two parts meet in a task of their own
-    many = placed.groupBy("space", "cell").count().filter(F.col("count") > cell_rows).select("space", "cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
-    dealt = placed.join(many, ["space", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("space", "cell", "home", "rep", "rows", "vec", "seen", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    found = met.groupBy("space", "cell", "a", "b").applyInArrow(lambda t: compare_cell(t, threshold), "rep long, n long, u long, v long")
+    cells = placed.select("space", F.explode("seen").alias("cell"), "home", "node", "code")
+    many = cells.groupBy("space", "cell").count().filter(F.col("count") > cell_rows).select("space", "cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
+    dealt = cells.join(F.broadcast(many), ["space", "cell"], "left") if many.count() <= CELLS_TOLD else cells.join(many, ["space", "cell"], "left")
+    dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("space", "cell", "home", "node", "code", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    near = met.groupBy("space", "cell", "a", "b").applyInArrow(lambda t: _with_candidates(t, threshold), "space string, cell long, a int, b int, part int, node long")
+    near = stash.keep(near, "near").join(placed.select("node", "home", "rows", "vec", "seen").hint("merge"), "node")
+    found = near.groupBy("space", "cell", "a", "b").applyInArrow(lambda t: compare_cell(t, threshold), "node long, n long, u long, v long")
     found = stash.keep(found, "found")
-    counts = found.filter("rep IS NOT NULL").groupBy("rep").agg(F.sum("n").alias("n"))
-    groups = connected_components(found.filter("u IS NOT NULL").select("u", "v"), stash).withColumnRenamed("node", "rep")
-    per_key = reps.join(counts, "rep", "left").join(groups, "rep", "left").select("key", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.filter("key IS NOT NULL").join(per_key, "key").select("vec_id", "n_links", "component_id")
+    counts = found.filter("node IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
+    groups = connected_components(found.filter("u IS NOT NULL").select("u", "v"), stash)
+    per_key = reps.join(counts, "node", "left").join(groups, "node", "left").select("key", "rep", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    per_key = stash.keep(per_key, "per_key")
+    names = per_key.groupBy("component").agg(F.min("rep").alias("component_id"))
+    per_key = spread_join(per_key, names, ["component"]).select("key", "n_links", "component_id")
+    out = spread_join(known.select("vec_id", "key"), per_key, ["key"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
