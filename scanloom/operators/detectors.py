@@ -20,6 +20,9 @@ from scanloom.functions.dialect import jvm_gate, python_pattern
 from scanloom.functions.source import Source
 from scanloom.packaging import ready_for_python
 
+#: Begins the id of a finding that stands for a rule that failed; its rule, and its category.
+FAILED, FAILED_RULE, FAILED_CATEGORY = "SCANNER-ERR-", "scanner-internal", "skill-injection"
+
 Predicate = Callable[[Source, re.Match], bool]
 
 HIT_SCHEMA = "skill_id string, detector string, suffix string, severity string, title string, rel_path string, line int, evidence string, file_ord long, pattern_ord int, at long"
@@ -160,7 +163,8 @@ def scan_files(files: DataFrame, detectors: list[Detector | FileCheck]) -> DataF
     """Runs detectors over (skill_id, file_ord, rel_path, content); returns rows of HIT_SCHEMA.
 
     Files with a null path or content are not read.  Each file is handled on
-    its own where it lies; nothing is shuffled and contents end here.
+    its own where it lies; nothing is shuffled and contents end here.  A check
+    that raises on a file gives a hit of its own there (see found_by).
     """
     ready_for_python(files.sparkSession)
     numbered = list(enumerate(detectors))
@@ -183,13 +187,21 @@ def scan_files(files: DataFrame, detectors: list[Detector | FileCheck]) -> DataF
             for skill, at, path, content, may in zip(*(batch.column(c).to_pylist() for c in ("skill_id", "file_ord", "rel_path", "content", "may"))):
                 src = Source(path, content)
                 for k in may:
-                    for h in detectors[k].hits(src):
+                    for h in found_by(detectors[k], src):
                         rows.append((skill, h.detector, h.suffix, h.severity, h.title, path, h.line, h.evidence, at, k * 100 + h.pattern_ord, h.at))
             yield _table(rows)
 
     return gated.mapInArrow(run, HIT_SCHEMA)
 
 
+def found_by(detector: Detector | FileCheck, src: Source) -> list[Hit]:
+    """A detector's hits; of one that raises, a hit that says so, and the run goes on."""
+    try:
+        return list(detector.hits(src))
+    except Exception as error:  # noqa: BLE001  whatever a check raises is its own
+        return [Hit(f"{FAILED}{detector.rule}", "info", f"Scanner rule '{detector.rule}' threw an error", evidence=f"{detector.id}: {error}")]
+
+
 _TYPES = [pa.string()] * 6 + [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
 _NAMES = [part.split()[0] for part in HIT_SCHEMA.split(", ")]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.dims import RULES, WEB3_RULES, rule_dim, severity_dim
 from scanloom.operators import base_rules, web3_rules
-from scanloom.operators.detectors import Detector, FileCheck, scan_files
+from scanloom.operators.detectors import FAILED, FAILED_CATEGORY, FAILED_RULE, Detector, FileCheck, scan_files
 from scanloom.operators.manifest_rules import dependencies, dependency_findings, manifest_findings
 from scanloom.operators.skill_rules import decided_hits, skill_facts, skill_findings
 
@@ -26,15 +27,22 @@ def detectors(web3: bool) -> list[Detector | FileCheck]:
     return [*base_rules.file_detectors(), *(web3_rules.file_detectors() if web3 else [])]
 
 
+def introspect(web3: bool = True) -> list[dict]:
+    """What an audit runs: rules in running order with category, risk id and the ids of their file detectors."""
+    held = detectors(web3)
+    return [{"rule": r, "category": c, "owasp_id": o, "detectors": [d.id for d in held if d.rule == r]} for r, c, o in RULES if web3 or r not in WEB3_RULES]
+
+
 def rule_names(web3: bool = True) -> list[str]:
     return [r for r, _, _ in RULES if web3 or r not in WEB3_RULES]
 
 
-def raw_findings(skills: DataFrame, files: DataFrame, web3: bool = True, as_of: Column | None = None, extra: list[Detector | FileCheck] = ()) -> DataFrame:
+def raw_findings(skills: DataFrame, files: DataFrame, web3: bool = True, as_of: Column | None = None, extra: list[Detector | FileCheck] = (), facts: DataFrame | None = None) -> DataFrame:
     """Findings of all rules, before they are stamped.
 
     skills (skill_id, manifest), files (skill_id, file_ord, rel_path, content).
-    as_of: epoch seconds that session keys are judged by.
+    as_of: epoch seconds that session keys are judged by.  facts: skill_facts of
+    the files, where the caller holds them; they are used three times.
     """
     as_of = F.unix_timestamp() if as_of is None else as_of
     chosen = [*detectors(web3), *extra]
@@ -42,8 +50,9 @@ def raw_findings(skills: DataFrame, files: DataFrame, web3: bool = True, as_of:
     if web3:
         rule_of |= {"W05-002": "web3-rpc-substitution", "W05-011": "web3-rpc-substitution", "W09-011": "web3-session-key-erosion", "W11-002": "web3-key-material-leak", "W11-003": "web3-key-material-leak"}
     table = F.create_map(*[F.lit(x) for pair in rule_of.items() for x in pair])
-    facts = skill_facts(files).persist()  # one row per skill, used three times
-    hits = decided_hits(scan_files(files, chosen), skills, facts).withColumn("rule", F.element_at(table, F.col("detector")))
+    facts = skill_facts(files) if facts is None else facts
+    rule = F.when(F.col("detector").startswith(FAILED), FAILED_RULE).otherwise(F.try_element_at(table, F.col("detector")))
+    hits = decided_hits(scan_files(files, chosen), skills, facts).withColumn("rule", rule)
     whole = skill_findings(skills, facts)
     manifest = manifest_findings(skills, as_of)
     if not web3:
@@ -62,20 +71,22 @@ def stamped(raw: DataFrame, categories: list[str] | None = None, skip_rules: lis
 
     Ids of numbered detectors carry the running number in the skill and rule;
     those of others their suffix.  Ids need not be unique; skill, detector, path
-    and offset are.
+    and offset are.  A rule that failed in a skill is told once.
     """
     spark = raw.sparkSession
-    dim = F.broadcast(rule_dim(spark))
+    failed = spark.createDataFrame([(FAILED_RULE, FAILED_CATEGORY, None)], "rule string, category string, owasp_id string")
+    dim = F.broadcast(rule_dim(spark).select("rule", "category", "owasp_id").union(failed))
     if categories:
         dim = dim.filter(F.col("category").isin(*categories))
     rows = raw.join(dim, "rule")
     if skip_rules:
         rows = rows.filter(~F.col("rule").isin(*skip_rules))
     rows = rows.join(F.broadcast(severity_dim(spark).select("severity", F.col("rank").alias("severity_rank"), "weight")), "severity")
-    order = W.partitionBy("skill_id", F.when(F.col("rule") == "web3-oracle-manipulation", F.col("detector")).otherwise(F.col("rule"))).orderBy("file_ord", "pattern_ord", "at", "suffix")
+    order = W.partitionBy("skill_id", F.when(F.col("rule").isin("web3-oracle-manipulation", FAILED_RULE), F.col("detector")).otherwise(F.col("rule"))).orderBy("file_ord", "rel_path", "pattern_ord", "at", "suffix")
     plain = [d.id for d in detectors(True) if isinstance(d, FileCheck) and not d.numbered] + ["PERM-ESC", "PERM-SYS", "SC-SSL", "SC-AUTH"]
-    named = F.col("rule").isin("dependencies", "supply-chain") | F.col("detector").isin(*plain) | F.col("detector").startswith("PERM-") & (F.col("file_ord") < 0) | (F.col("file_ord") == 1 << 40)
-    number = F.row_number().over(order).cast("string")
+    named = F.col("rule").isin("dependencies", "supply-chain", FAILED_RULE) | F.col("detector").isin(*plain) | F.col("detector").startswith("PERM-") & (F.col("file_ord") < 0) | (F.col("file_ord") == 1 << 40)
+    rows = rows.withColumn("number", F.row_number().over(order)).filter((F.col("rule") != FAILED_RULE) | (F.col("number") == 1))
+    number = F.col("number").cast("string")
     id_ = F.when(named, F.concat_ws("-", "detector", "suffix")).when(F.col("rule") == "logging", F.concat_ws("-", "detector", "suffix", number)).otherwise(F.concat_ws("-", "detector", F.when(F.col("suffix") == "meta", F.col("suffix")), number))
     return rows.withColumn("id", id_).withColumn("cve", F.lit(None).cast("string")).select(*FINDING)
 
@@ -89,13 +100,24 @@ def findings(
     skip_rules: list[str] = (),
     extra: list[Detector | FileCheck] = (),
     plugins: list[tuple[str, Plugin]] = (),
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """All findings; plugins add rows of FINDING as they are (not stamped, not skipped)."""
-    out = stamped(raw_findings(skills, files, web3, as_of, extra), categories, skip_rules)
-    for _, plugin in plugins:
-        out = out.unionByName(plugin(skills, files), allowMissingColumns=True)
+    """All findings; plugins add rows of FINDING as they are (not stamped, not skipped).
+
+    A plugin that raises, or whose rows don't fit, is passed over with a warning;
+    what its own functions raise later, in tasks, is not caught.
+    """
+    out = stamped(raw_findings(skills, files, web3, as_of, extra, facts), categories, skip_rules)
+    for name, plugin in plugins:
+        try:
+            joined = out.unionByName(plugin(skills, files), allowMissingColumns=True)
+            joined.schema  # noqa: B018  resolves the plugin's plan
+        except Exception as error:  # noqa: BLE001  whatever a plugin raises is its own
+            logging.getLogger(__name__).warning("plugin %s failed: %s", name, error)
+            continue
+        out = joined
     return out
 
 
 def in_severity_order(found: DataFrame) -> DataFrame:
-    return found.orderBy("skill_id", "severity_rank", "file_ord", "rule", "pattern_ord", "at")
+    return found.orderBy("skill_id", "severity_rank", "file_ord", "rel_path", "rule", "pattern_ord", "at")

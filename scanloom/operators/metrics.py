@@ -180,7 +180,7 @@ def declared_dependencies(skills: DataFrame, files: DataFrame) -> DataFrame:
     first = files.filter((path == "package.json") | path.endswith("/package.json")).groupBy("skill_id").agg(F.min_by(content, F.struct("file_ord", "rel_path")).alias("content"))
     of = lambda df, names, k: df.select("skill_id", F.explode(names).alias("name"), F.lit(k).alias("k"))
     keys = lambda p: F.map_keys(F.from_json(F.get_json_object("content", p), lists))
-    required = files.filter(path.isin("requirements.txt", "requirements/base.txt", "requirements/prod.txt")).groupBy("skill_id").agg(F.min_by(content, "file_ord").alias("content"))
+    required = files.filter(path.isin("requirements.txt", "requirements/base.txt", "requirements/prod.txt")).groupBy("skill_id").agg(F.min_by(content, F.struct("file_ord", "rel_path")).alias("content"))
     names = lambda lines: F.filter(F.transform(lines, lambda x: F.regexp_extract(F.trim(x), "^([a-zA-Z0-9_-]+)", 1)), lambda x: (x != "") & ~x.startswith("-"))
     project = files.filter(path == "pyproject.toml").select("skill_id", F.regexp_extract(content, r"(?s)\[project\].*?dependencies\s*=\s*\[(.*?)\]", 1).alias("block"))
     rows = (

@@ -83,7 +83,7 @@ def matching_findings(findings: DataFrame, value: dict) -> DataFrame:
 
 def _finding_exists(value: dict, findings: DataFrame) -> tuple[DataFrame, Column]:
     """Skills with matching findings, naming the first three in severity order."""
-    order = W.partitionBy("skill_id").orderBy("severity_rank", "file_ord", "rule", "pattern_ord", "at")
+    order = W.partitionBy("skill_id").orderBy("severity_rank", "file_ord", "rel_path", "rule", "pattern_ord", "at")
     text = F.concat(F.col("severity"), F.lit(":"), F.col("category"), F.lit("("), F.col("id"), F.lit(")"))
     rows = matching_findings(findings, value)
     # Spark keeps three rows of a skill before the shuffle, and counts are partial

@@ -73,7 +73,7 @@ def best_and_worst(scores: DataFrame) -> DataFrame:
 
 def top_findings(findings: DataFrame, k: int = 5) -> DataFrame:
     """The first k findings of each skill by severity, then order."""
-    order = W.partitionBy("skill_id").orderBy("severity_rank", "file_ord", "rule", "pattern_ord", "at")
+    order = W.partitionBy("skill_id").orderBy("severity_rank", "file_ord", "rel_path", "rule", "pattern_ord", "at")
     return findings.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
 
 

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.operators.detectors import Detector, FileCheck
 from scanloom.operators.findings import Plugin, findings
 from scanloom.operators.metrics import recommendations, skill_metrics
 from scanloom.operators.policy import PolicyRule, evaluate
 from scanloom.operators.scoring import scores
+from scanloom.operators.skill_rules import skill_facts
 from scanloom.operators.summary import run_summary
 from scanloom.operators.web3_detect import detect_web3, promoted
 
@@ -29,6 +31,11 @@ class Audit:
     scores: DataFrame
     violations: DataFrame
     recommendations: DataFrame
+    facts: DataFrame
+
+    def release(self) -> None:
+        """Gives back what the run holds in memory; its results can still be computed."""
+        self.facts.unpersist()
 
     @property
     def summary(self) -> DataFrame:
@@ -44,12 +51,14 @@ def audit(
     categories: list[str] | None = None,
     skip_rules: list[str] = (),
     plugins: list[tuple[str, Plugin]] = (),
+    extra: list[Detector | FileCheck] = (),
 ) -> Audit:
     """Audits skills (skill_id, manifest) with their files (skill_id, file_ord, rel_path, content, language, size).
 
     profile: ``web3`` runs the web3 rules on all skills; ``default`` does so if
     any skill is found to be about web3; ``strict`` does not let one skill decide
-    for others, and runs them on those that are.
+    for others, and runs them on those that are.  extra: detectors beside the
+    rules' own.  One row of facts a skill is held in memory until release().
     """
     if profile not in PROFILES:
         raise ValueError(f"profile is none of {', '.join(PROFILES)}")
@@ -58,7 +67,8 @@ def audit(
         detected = promoted(detected)
     elif profile == "web3":
         detected = detected.select("skill_id", F.lit(True).alias("is_web3"), F.lit("definite").alias("confidence"), "signals")
-    every = findings(skills, files, True, as_of, categories, skip_rules, plugins=plugins)
+    facts = skill_facts(files).persist()
+    every = findings(skills, files, True, as_of, categories, skip_rules, extra, plugins, facts)
     if profile != "web3":
         # base rules for all, web3 rules where they apply
         plain = ~F.col("rule").startswith("web3-")
@@ -68,4 +78,4 @@ def audit(
     rated = scores(skills, every, metrics)
     name, rules = policy or ("none", [])
     violations = evaluate(name, rules, skills, every, rated, metrics)
-    return Audit(skills, files, detected, every, metrics, rated, violations, recommendations(skills, every, metrics))
+    return Audit(skills, files, detected, every, metrics, rated, violations, recommendations(skills, every, metrics), facts)

@@ -35,7 +35,7 @@ def report_rows(audit: Audit, limit: int | None = None) -> DataFrame:
 
     limit: findings shown for a skill; all if not given.
     """
-    order = W.partitionBy("skill_id").orderBy("severity_rank", "file_ord", "rule", "pattern_ord", "at")
+    order = W.partitionBy("skill_id").orderBy("severity_rank", "file_ord", "rel_path", "rule", "pattern_ord", "at")
     ranked = audit.findings.withColumn("n", F.row_number().over(order))
     ranked = ranked.filter(F.col("n") <= limit) if limit else ranked
     lists = lambda df, fields, name, key: df.groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct(key, *fields))).alias(name))

@@ -5,25 +5,38 @@ from __future__ import annotations
 import glob
 import os
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from scanloom.functions.dims import LANGUAGES, SKIPPED
-from scanloom.packaging import ready_for_python
+from scanloom.functions.dims import LANGUAGES, MANIFEST_NAMES, SKIPPED
+from scanloom.packaging import BATCH_BYTES, ready_for_python
 from scanloom.sources.manifests import read_manifests
 
 MAX_BYTES = 1 << 20
 NUL_CHARACTERS = 8192
 
-# Where each platform keeps skills on Linux.
+# Where each platform keeps skills, in the order in which they are looked through.
 PLATFORM_DIRS = {
-    "openclaw": ["~/.openclaw/skills", "~/.agents/skills", "./skills", "./.agents/skills"],
-    "claude": ["~/.claude/skills", "./.claude/skills"],
-    "codex": ["~/.codex/skills", "./.codex/skills"],
-    "hermes": ["~/.hermes/skills", "./.hermes/skills"],
-}
+    "posix": {
+        "claude": ["~/.claude/skills", "./.claude/skills", "~/.claude/commands", "./.claude/commands", "~/.claude/plugins/*/skills/*"],
+        "openclaw": ["~/.openclaw/workspace/skills", "~/.openclaw/workspace-*/skills", "~/.openclaw/skills", "./skills", "./.agents/skills"],
+        "codex": ["~/.agents/skills", "./.agents/skills", "../.agents/skills", "/etc/codex/skills"],
+        "hermes": ["~/.hermes/skills", "~/.hermes/skills/*", "./.hermes/skills"],
+    },
+    "win32": {
+        "claude": ["%USERPROFILE%/.claude/skills", "./.claude/skills", "%USERPROFILE%/.claude/commands", "./.claude/commands", "%USERPROFILE%/.claude/plugins/*/skills/*"],
+        "openclaw": ["%USERPROFILE%/.openclaw/workspace/skills", "%USERPROFILE%/.openclaw/workspace-*/skills", "%USERPROFILE%/.openclaw/skills", "%APPDATA%/openclaw/skills", "%LOCALAPPDATA%/openclaw/skills", "./skills", "./.agents/skills"],
+        "codex": ["%USERPROFILE%/.agents/skills", "./.agents/skills", "../.agents/skills", "%PROGRAMDATA%/codex/skills"],
+        "hermes": ["%USERPROFILE%/.hermes/skills", "%USERPROFILE%/.hermes/skills/*", "./.hermes/skills"],
+    },
+}
+# Folders that the search for local skills passes over, and dot folders that it enters.
+NOT_SEARCHED = "node_modules .git .turbo .next .cache dist build out coverage target vendor .venv __pycache__".split()
+SEARCHED_DOT_FOLDERS = (".claude", ".openclaw", ".agents", ".codex", ".hermes")
 
 
 def language_of(path: Column) -> Column:
@@ -86,26 +99,6 @@ def is_ignored(path: str, rules: list[tuple[re.Pattern, bool, bool, bool]]) -> b
     return False
 
 
-def without_ignored(files: DataFrame) -> DataFrame:
-    """Drops what each skill's root ``.gitignore`` names; the ignore file itself stays."""
-    ready_for_python(files.sparkSession)
-    rules = files.filter("rel_path = '.gitignore'").select("skill_dir", F.col("content").alias("ignore"))
-    joined = files.join(rules, "skill_dir", "left")
-
-    def run(batches):
-        cache: dict[str, list] = {}
-        for batch in batches:
-            keep = []
-            for path, text in zip(batch.column("rel_path").to_pylist(), batch.column("ignore").to_pylist()):
-                if text and text not in cache:
-                    cache.clear() if len(cache) > 1000 else None
-                    cache[text] = ignore_rules(text)
-                keep.append(not text or path == ".gitignore" or not is_ignored(path, cache[text]))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return joined.mapInArrow(run, joined.schema).select(*files.columns)
-
-
 # ---- reading
 
 
@@ -122,61 +115,147 @@ def expand_paths(paths: list[str], env: dict[str, str] | None = None, home: str
     return list(dict.fromkeys(out))
 
 
-def read_hidden(spark: SparkSession, root: str) -> DataFrame:
-    """Files whose path below a root has a part that begins with a dot, as binaryFile rows.
+def _opened(uri: str):
+    """The file system of a qualified path and the path in it; stores are those that pyarrow knows."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub(r"\Afile:/(?!/)", "file:///", uri))
+
+
+def _below(uri: str) -> Iterator[tuple[str, bool, int]]:
+    """Names right below a folder: name, whether it is a folder, size; none where there is no such folder."""
+    from pyarrow.fs import FileSelector, FileType
+
+    fs, path = _opened(uri)
+    for info in fs.get_file_info(FileSelector(path, allow_not_found=True)):
+        yield info.base_name, info.type == FileType.Directory, info.size or 0
+
+
+def _walked(uri: str, folder: str = "") -> Iterator[tuple[str, int]]:
+    """Paths and sizes of the files below a folder; folders on the skip list are not entered."""
+    for name, is_folder, size in _below(f"{uri}/{folder}".rstrip("/")):
+        if name in SKIPPED:
+            continue
+        if is_folder:
+            yield from _walked(uri, f"{folder}{name}/")
+        else:
+            yield folder + name, size
+
+
+def _bytes(uri: str) -> bytes:
+    fs, path = _opened(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
+def _text(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace")
+
+
+LISTED = "root string, uri string, skill string, rel_path string, size long"
+
 
-    Spark's readers pass these over.  They are few (settings of a package), so
-    they are listed and read by the driver, through the input's own file system.
+def list_files(spark: SparkSession, roots: list[str], ignore: bool = True) -> DataFrame:
+    """Paths of the skills' files (LISTED), without contents.
+
+    Tasks list skill by skill, dot folders too; folders on the skip list are not
+    entered.  ignore: leaves out what a skill's own ``.gitignore`` names (that
+    file itself stays).
     """
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    files, rows = fs.listFiles(path, True), []
-    base = fs.makeQualified(path).toString()
-    while files.hasNext():
-        status = files.next()
-        name, size = status.getPath().toString(), status.getLen()
-        inside = name[len(base) :].strip("/").split("/")
-        if any(p.startswith(".") and not p.endswith(".crc") for p in inside) and 0 < size <= MAX_BYTES and not set(inside) & set(SKIPPED):
-            stream = fs.open(status.getPath())
-            try:
-                rows.append((name, bytes(stream.readNBytes(size)), size))
-            finally:
-                stream.close()
-    return spark.createDataFrame(rows, "path string, content binary, length long")
+    ready_for_python(spark)
+    names = list(dict.fromkeys(r.rstrip("/") for r in roots))
+    uris = [_qualified(spark, r) for r in names]
+    tops = []
+    for k, (root, uri) in enumerate(zip(names, uris)):
+        above, _, last = uri.rpartition("/")
+        if not (last.startswith("@") and above in uris[:k]):
+            # scopes that are roots themselves, named before, have their skills from there
+            tops.append((root, uri, [u.rpartition("/")[2] for u in uris[:k] if u.rpartition("/")[0] == uri and u.rpartition("/")[2].startswith("@")]))
+
+    def skills(batches):
+        for batch in batches:
+            out = []
+            for root, uri, had in zip(*(c.to_pylist() for c in batch.columns)):
+                for name, is_folder, _ in _below(uri):
+                    if is_folder and name.startswith("@") and name not in had:
+                        out += [(root, uri, f"{name}/{inner}") for inner, folder, _ in _below(f"{uri}/{name}") if folder and not inner.startswith(".")]
+                    if is_folder and not name.startswith(".") and not name.startswith("@"):
+                        out.append((root, uri, name))
+            yield _batch(out, "root uri skill")
+
+    def files(batches):
+        for batch in batches:
+            out = []
+            for root, uri, skill in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [(path, size) for path, size in _walked(f"{uri}/{skill}") if 0 < size <= MAX_BYTES]
+                rules = ignore_rules(_text(_bytes(f"{uri}/{skill}/.gitignore"))) if ignore and any(path == ".gitignore" for path, _ in found) else []
+                out += [(root, uri, skill, path, size) for path, size in found if path == ".gitignore" or not (rules and is_ignored(path, rules))]
+            yield _batch(out, "root uri skill rel_path size")
 
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = spark.createDataFrame(tops, "root string, uri string, had array<string>").mapInArrow(skills, "root string, uri string, skill string")
+    return folders.repartition(parts, "uri", "skill").mapInArrow(files, LISTED)
 
-def read_files(spark: SparkSession, roots: list[str], shallow: bool = False) -> DataFrame:
-    """Files of the skills right below each root: (root, skill_dir, rel_path, content, language, size, platform).
 
-    A skill is a folder below a root, or below an ``@scope`` folder of it;
-    folders that begin with a dot are passed over.  shallow: no contents.
-    Roots that hold no file give no rows; a root named twice counts once.
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names.split())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "size" else pa.string()) for n, c in zip(names.split(), columns)], names=names.split())
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def with_contents(listed: DataFrame) -> DataFrame:
+    """Reads the files of a list and adds ``content``; files with a NUL at their beginning are left out.
+
+    Bytes that are no UTF-8 become U+FFFD.  Only paths are dealt to tasks (by
+    path, so a large skill is many tasks); contents are read where they are used.
     """
-    frames = []
-    for root in dict.fromkeys(r.rstrip("/") for r in roots):
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content", "length")
-        raw = raw.unionByName(read_hidden(spark, root))
-        inside = F.substring_index(F.col("path"), root + "/", -1)
-        frames.append(raw.select(F.lit(root).alias("root"), inside.alias("inside"), "content", F.col("length").alias("size")))
-    if not frames:
-        return spark.createDataFrame([], "root string, skill_dir string, rel_path string, content string, language string, size long, platform string")
-    files = frames[0]
-    for f in frames[1:]:
-        files = files.unionByName(f)
-    skill = F.regexp_extract("inside", r"^((?:@[^/]+/)?[^/]+)/", 1)
-    named = files.withColumn("skill", skill).filter((F.col("skill") != "") & ~F.col("skill").startswith("."))
-    named = named.withColumn("rel_path", F.expr("substring(inside, length(skill) + 2)")).filter(admitted(F.col("content"), F.col("rel_path")))
-    out = named.select(
+    schema = StructType([*listed.schema, StructField("content", StringType())])
+
+    def run(batches):
+        for batch in batches:
+            kept, texts, held = [], [], 0
+            for i, (uri, skill, path) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("uri", "skill", "rel_path")))):
+                raw = _bytes(f"{uri}/{skill}/{path}")
+                if b"\0" in raw[:NUL_CHARACTERS]:
+                    continue
+                kept.append(i)
+                texts.append(_text(raw))
+                held += len(raw)
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept)).columns, pa.array(texts, pa.string())], names=schema.names)
+                    kept, texts, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept, pa.int64())).columns, pa.array(texts, pa.string())], names=schema.names)
+
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, "uri", "skill", "rel_path").mapInArrow(run, schema)
+
+
+def _named(files: DataFrame) -> DataFrame:
+    return files.select(
         "root",
         F.concat_ws("/", "root", "skill").alias("skill_dir"),
         "rel_path",
-        F.lit(None).cast("string").alias("content") if shallow else F.decode("content", "UTF-8").alias("content"),
+        "content" if "content" in files.columns else F.lit(None).cast("string").alias("content"),
         language_of(F.col("rel_path")).alias("language"),
         "size",
         platform_of(F.col("root")).alias("platform"),
-    ).dropDuplicates(["skill_dir", "rel_path"])
-    return out if shallow else without_ignored(out)
+    )
+
+
+def read_files(spark: SparkSession, roots: list[str], shallow: bool = False) -> DataFrame:
+    """Files of the skills right below each root: (root, skill_dir, rel_path, content, language, size, platform).
+
+    A skill is a folder below a root, or below an ``@scope`` folder of it;
+    folders that begin with a dot are passed over.  shallow: paths only, nothing
+    is opened.  Roots that hold no file or are not there give no rows; a skill
+    that two roots reach counts for the first.
+    """
+    listed = list_files(spark, roots, ignore=not shallow)
+    return _named(listed if shallow else with_contents(listed))
 
 
 def read_skills(files: DataFrame) -> DataFrame:
@@ -197,11 +276,43 @@ def read_skills(files: DataFrame) -> DataFrame:
 
 
 def read_package(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Skills and their files, ready for an audit; files are ordered by path."""
-    from pyspark.sql import Window as W
+    """Skills and their files, ready for an audit.
 
-    files = read_files(spark, roots)
-    skills = read_skills(files)
-    order = F.row_number().over(W.partitionBy("skill_id").orderBy("rel_path")).cast("long")
-    mine = files.drop("root", "platform").join(skills.select("skill_id", "skill_dir"), "skill_dir").withColumn("file_ord", order)
-    return skills, mine.select("skill_id", "file_ord", "rel_path", "content", "language", "size")
+    Skills are joined to paths, before anything but manifests is read; so no
+    contents are shuffled.  Files of a skill come in the order of their paths,
+    so they all have the same ``file_ord``.
+    """
+    listed = list_files(spark, roots)
+    skills = read_skills(_named(with_contents(listed.filter(F.col("rel_path").isin(*MANIFEST_NAMES)))))
+    ids = skills.select("skill_id", F.col("skill_dir").alias("dir"))
+    mine = listed.join(ids, F.concat_ws("/", "root", "skill") == F.col("dir")).drop("dir")
+    files = with_contents(mine).withColumn("file_ord", F.lit(0).cast("long")).withColumn("language", language_of(F.col("rel_path")))
+    return skills, files.select("skill_id", "file_ord", "rel_path", "content", "language", "size")
+
+
+def local_skill_folders(work_dir: str, depth: int = 2) -> list[str]:
+    """Folders named ``skills`` below a working folder, at most ``depth`` folders down."""
+    out = []
+    for entry in sorted(os.scandir(work_dir), key=lambda e: e.name) if os.path.isdir(work_dir) else ():
+        if not entry.is_dir(follow_symlinks=False):
+            continue
+        if entry.name == "skills":
+            out.append(entry.path)
+        elif depth and entry.name not in NOT_SEARCHED and (not entry.name.startswith(".") or entry.name in SEARCHED_DOT_FOLDERS):
+            out += local_skill_folders(entry.path, depth - 1)
+    return out
+
+
+def discover_all(
+    spark: SparkSession, work_dir: str | None = None, home: str | None = None, extra: list[str] = (), shallow: bool = False, depth: int = 2, system: str = "posix"
+) -> DataFrame:
+    """Files of all skills that the platforms keep on this machine or in a working folder, as read_files.
+
+    The roots are the platforms' folders, then ``extra``, then the folders named
+    ``skills`` in the working folder.  Each pattern, root and skill counts once,
+    where it is met first.
+    """
+    work_dir = os.path.abspath(work_dir or os.getcwd())
+    patterns = [p for paths in PLATFORM_DIRS[system].values() for p in paths] + list(extra) + local_skill_folders(work_dir, depth)
+    placed = [os.path.normpath(os.path.join(work_dir, p)) if p.startswith(("./", "../")) else p for p in dict.fromkeys(patterns)]
+    return read_files(spark, [p for p in expand_paths(placed, home=home) if os.path.isdir(p)], shallow)

@@ -47,8 +47,8 @@ def test_a_policy_runs_no_code_and_is_not_met_where_it_is_no_condition(spark, ro
 
 
 def test_first_three_findings_and_how_many_more(spark):
-    found = [("a", "high", "c", f"X-{k}", 1, k, "r", 0, 0, None) for k in range(5)] + [("b", "high", "c", "Y-1", 1, 0, "r", 0, 0, None), ("b", "low", "c", "Z-1", 3, 0, "r", 0, 0, None)]
-    findings = spark.createDataFrame(found, "skill_id string, severity string, category string, id string, severity_rank int, file_ord long, rule string, pattern_ord int, at long, cve string")
+    found = [("a", "high", "c", f"X-{k}", 1, 0, f"p{k}", "r", 0, 0, None) for k in range(5)] + [("b", "high", "c", "Y-1", 1, 0, "p", "r", 0, 0, None), ("b", "low", "c", "Z-1", 3, 0, "p", "r", 0, 0, None)]
+    findings = spark.createDataFrame(found, "skill_id string, severity string, category string, id string, severity_rank int, file_ord long, rel_path string, rule string, pattern_ord int, at long, cve string")
     rule = PolicyRule("f", "", "high", "block", "finding-exists", {"severity": ["high"]})
     empty = spark.createDataFrame([], "skill_id string, overall int")
     got = {r["skill_id"]: r["message"] for r in evaluate("p", [rule], empty, findings, empty, empty.select("skill_id")).collect()}
