@@ -1,86 +1,112 @@
 """Benchmark decontamination by a broadcast set of the benchmark's word windows.
 
-The benchmark is read in blocks of bounded size; each block's windows are one
-broadcast set, and documents are scanned once for each block (one, for any
-usual benchmark).  A word outside the block's vocabulary ends a stretch; within
-stretches a rolling hash of the word numbers picks candidates, and the words
-themselves confirm each.
+The benchmark is read in blocks of bounded size.  A block's windows are sorted
+hashes with the places where they stand, in arrays; documents are hashed window
+by window in the same way, a bitmap and a search pick candidates, and the words
+themselves confirm each.  A benchmark of one block (any usual one) takes one scan
+and no shuffle.  Of more blocks one at a time is held and scanned for.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.storage import bounded_batches
-from scanloom.llm.text import ALNUM_TABLE, alnum_words, column_bytes, id_and_text, row_batch, with_results
+from scanloom.llm.storage import Stash, bounded_batches
+from scanloom.llm.text import ALNUM_TABLE, id_and_text, row_batch, with_results
+from scanloom.llm.word_hashes import NOT_ALNUM, WordHasher, runs
 
 WINDOW = 13
 #: Bytes of benchmark text in one broadcast block; beyond it there are more blocks.
-BLOCK_BYTES = 32 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+BLOCK_BYTES = 16 << 20
+_MARK_BITS = 22
 
 
 class WindowSet:
-    """The windows of some items, and where they occur in a document."""
+    """The windows of some items, and where they occur in documents."""
 
     def __init__(self, items: list[tuple[object, bytes | None]]):
-        self.ids: list[object] = []
-        self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], list[int]]] = {}
-        number = self.vocabulary
-        for item_id, text in items:
-            words = alnum_words(text)
-            if not words:
-                continue
-            k = len(self.ids)
-            self.ids.append(item_id)
-            ids = [number.setdefault(w, len(number) + 1) for w in words]
-            size = min(WINDOW, len(ids))
-            held = self.windows.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                owners = held.setdefault(tuple(ids[i : i + size]), [])
-                if not owners or owners[-1] != k:
-                    owners.append(k)
-        self.hashes = {size: np.unique(_rolling(np.array(list(held), np.uint64).reshape(-1), size, step=size)) for size, held in self.windows.items()}
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
-        """Stretches of hit words (end exclusive) and the numbers of items with occurring windows."""
-        find = self.vocabulary.get
-        ids = np.array([find(w, 0) for w in words], np.uint64)
-        spans, items = [], set()
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for size, hashes in self.hashes.items():
-            if len(ids) < size:
-                continue
-            starts = np.flatnonzero(known[size:] - known[:-size] == size)
-            if not len(starts):
-                continue
-            rolled = _rolling(ids, size)[starts]
-            at = np.searchsorted(hashes, rolled)
-            at[at == len(hashes)] = 0
-            for i in starts[hashes[at] == rolled].tolist():
-                owners = self.windows[size].get(tuple(ids[i : i + size].tolist()))
-                if owners:
-                    spans.append((i, i + size))
-                    items.update(owners)
-        return merge_spans(spans), sorted(items)
-
-
-def _rolling(ids: np.ndarray, size: int, step: int = 1) -> np.ndarray:
-    """A hash of each window of ``size`` numbers, by powers of an odd base."""
-    with np.errstate(over="ignore"):
-        mixed = (ids + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        mixed ^= mixed >> np.uint64(29)
-        out = np.zeros((len(ids) - size) // step + 1, np.uint64)
-        for k in range(size):
-            out = out * _BASE + mixed[k : len(ids) - size + k + 1 : step]
-    return out
+        texts = [text or b"" for _, text in items]
+        #: ids as text; an item without an id is found but not named
+        self.ids = [None if item_id is None else str(item_id) for item_id, _ in items]
+        found = WordHasher(NOT_ALNUM).words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        self.data, self.words = found.data.tobytes(), found.hashes
+        self.starts, self.ends, self.bounds = (a.astype(np.int32) for a in (found.starts, found.ends, found.bounds))
+        counts = np.diff(found.bounds)
+        #: by size: sorted hashes of the windows, the first word of each, and bits of the hashes that occur
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.minimum(counts[counts > 0], WINDOW)).tolist():
+            if size == WINDOW:
+                places = np.arange(len(self.words))
+                places = places[places + size <= np.repeat(found.bounds[1:], counts)]
+            else:
+                places = found.bounds[:-1][counts == size]
+            hashes, owners = runs(self.words, size)[places], self.items_at(places)
+            order = np.lexsort((owners, hashes))
+            hashes, owners, places = hashes[order], owners[order], places[order]
+            # a window that an item repeats is held once
+            new = np.append(True, (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1]))
+            bits = np.zeros(1 << _MARK_BITS, bool)
+            bits[_mark(hashes)] = True
+            self.windows[size] = (hashes[new], places[new].astype(np.int32), np.packbits(bits))
+
+    def items_at(self, places: np.ndarray) -> np.ndarray:
+        """The numbers of the items in which these words stand."""
+        return np.searchsorted(self.bounds, places, "right") - 1
+
+    def held_words(self, place: int, size: int) -> list[bytes]:
+        return [self.data[a:b].lower() for a, b in zip(self.starts[place : place + size].tolist(), self.ends[place : place + size].tolist())]
+
+
+def _mark(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
+
+
+class Finder:
+    """Looks for a block's windows in columns of texts."""
+
+    def __init__(self, held: WindowSet):
+        self.held, self.hasher = held, WordHasher(NOT_ALNUM)
+        self.bits = {size: np.unpackbits(packed).view(bool) for size, (_, _, packed) in held.windows.items()}
+
+    def column(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+        """For each text its number of words, the stretches of hit words (end exclusive), and the sorted ids of the items."""
+        out = []
+        for _, found in self.hasher.column(texts):
+            hits: dict[int, tuple[list, set]] = {}
+            for size in self.held.windows:
+                self._hits(found, size, hits)
+            for k, n in enumerate(np.diff(found.bounds).tolist()):
+                spans, items = hits.get(k, ((), ()))
+                out.append((n, merge_spans(spans), sorted({self.held.ids[i] for i in items} - {None})))
+        return out
+
+    def _hits(self, found, size: int, hits: dict[int, tuple[list, set]]) -> None:
+        """Adds the hits of windows of one size: text number -> stretches, item numbers."""
+        held, (hashes, places, _) = self.held, self.held.windows[size]
+        rolled = runs(found.hashes, size)
+        at = np.flatnonzero(self.bits[size][_mark(rolled)])
+        first = np.searchsorted(hashes, rolled[at])
+        same = hashes[np.minimum(first, len(hashes) - 1)] == rolled[at]
+        at, first = at[same], first[same]
+        text = np.searchsorted(found.bounds, at, "right") - 1
+        inside = at + size <= found.bounds[text + 1]
+        at, first, text = at[inside], first[inside], text[inside]
+        last = np.searchsorted(hashes, rolled[at], "right")
+        for place, a, b, k in zip(at.tolist(), first.tolist(), last.tolist(), text.tolist()):
+            own = places[a:b]
+            own = own[(held.words[own[:, None] + np.arange(size)] == found.hashes[place : place + size]).all(1)]
+            if len(own) and held.held_words(int(own[0]), size) == [found.data[x:y].tobytes().lower() for x, y in zip(found.starts[place : place + size], found.ends[place : place + size])]:
+                spans, items = hits.setdefault(k, ([], set()))
+                start = place - int(found.bounds[k])
+                spans.append((start, start + size))
+                items.update(held.items_at(own).tolist())
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -122,68 +148,76 @@ def scan(
     (start, stop) word positions, items array<string> (sorted), n_hit, n_items
     long, contaminated boolean.  A null or empty text has no words and is clean,
     as is every document when the benchmark is empty.  Items without words have
-    no windows; repeated items count once by id.  Repeated documents are kept
-    row by row, and ``whole_rows`` adds them as a struct ``row``; other columns are
-    not read.
+    no windows; repeated items count once by id; the windows of an item without
+    an id hit, but it is in no list of items and not counted.  Overlapping
+    stretches are joined.  A document of very many words is scanned whole.
+    Repeated documents are kept row by row, and ``whole_rows`` adds them, with
+    columns of any type, as a struct ``row``; other columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     kept = id_and_text(docs, id_col, text_col, whole_rows)
-    own = [c for c in kept.columns if c != "text"]
-    sets = [spark.sparkContext.broadcast(WindowSet(b)) for b in blocks(benchmark, item_id_col, item_text_col, block_bytes)]
-    if len(sets) == 1:
-        return kept.mapInArrow(_scan_block(sets[0]), with_results(kept, FOUND))
-    # a scan for each block; equal texts of one id have equal results and are counted together
-    keyed = kept.withColumn("copy", F.sha2(F.coalesce("text", F.lit("")), 256))
-    scans = [keyed.mapInArrow(_scan_block(s, ["copy"]), with_results(kept, f"copy string, {FOUND}")) for s in sets]
-    merged = reduce(DataFrame.unionByName, scans).groupBy(*own, "copy", "n_words").agg(
-        F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("*").alias("rows")
-    )
-    return (
-        merged.mapInArrow(_merged_block, with_results(kept, f"rows long, {FOUND}"))
-        .withColumn("copy_number", F.explode(F.sequence(F.lit(1), (F.col("rows") / len(sets)).cast("long"))))
-        .drop("copy_number", "rows")
+    all_blocks = blocks(benchmark, item_id_col, item_text_col, block_bytes)
+    first, second = next(all_blocks), next(all_blocks, None)
+    if second is None:
+        return kept.mapInArrow(_scan_block(spark.sparkContext.broadcast(WindowSet(first))), with_results(kept, FOUND))
+    stash = Stash(spark, "windows")
+    numbered = stash.keep(kept.withColumn("row_number", F.monotonically_increasing_id()), "documents")
+    found = []
+    for k, block in enumerate(chain([first, second], all_blocks)):
+        held = spark.sparkContext.broadcast(WindowSet(block))
+        hits = numbered.select("row_number", "text").mapInArrow(_hits_of_block(held), f"row_number long, {HITS}")
+        # all rows once, for their number of words
+        found.append(stash.keep(hits if k == 0 else hits.filter(F.size("spans") > 0), f"block-{k}"))
+        held.destroy()
+    merged = reduce(DataFrame.union, found).groupBy("row_number").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
+    rows = numbered.drop("text").join(merged, "row_number").drop("row_number")
+    return rows.mapInArrow(_merged_hits, with_results(kept, FOUND))
+
 
+HITS = "n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
+FOUND = f"{HITS}, n_hit long, n_items long, contaminated boolean"
+Row = tuple[int, list[tuple[int, int]], list[str]]
 
-FOUND = "n_words long, spans array<struct<start:long,stop:long>>, items array<string>, n_hit long, n_items long, contaminated boolean"
 
+def _hit_columns(rows: list[Row]) -> list[pa.Array]:
+    return [
+        pa.array([n for n, _, _ in rows], pa.int64()),
+        pa.array([[{"start": a, "stop": b} for a, b in spans] for _, spans, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+        pa.array([items for _, _, items in rows], pa.list_(pa.string())),
+    ]
 
-def _found(batch: pa.RecordBatch, keep: list[str], rows: list[tuple[int, list[tuple[int, int]], list[str]]]) -> pa.RecordBatch:
+
+def _found(batch: pa.RecordBatch, rows: list[Row]) -> pa.RecordBatch:
     hit = [sum(b - a for a, b in spans) for _, spans, _ in rows]
-    return row_batch(
-        batch,
-        [*keep, "n_words", "spans", "items", "n_hit", "n_items", "contaminated"],
-        [
-            *map(batch.column, keep),
-            pa.array([n for n, _, _ in rows], pa.int64()),
-            pa.array([[{"start": a, "stop": b} for a, b in spans] for _, spans, _ in rows], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-            pa.array([items for _, _, items in rows], pa.list_(pa.string())),
-            pa.array(hit, pa.int64()),
-            pa.array([len(items) for _, _, items in rows], pa.int64()),
-            pa.array([h > 0 and 20 * h >= n for h, (n, _, _) in zip(hit, rows)], pa.bool_()),
-        ],
-    )
+    judged = [pa.array(hit, pa.int64()), pa.array([len(items) for _, _, items in rows], pa.int64()), pa.array([h > 0 and 20 * h >= n for h, (n, _, _) in zip(hit, rows)], pa.bool_())]
+    return row_batch(batch, ["n_words", "spans", "items", "n_hit", "n_items", "contaminated"], _hit_columns(rows) + judged)
+
+
+def _scan_block(windows):
+    def run(batches):
+        finder = Finder(windows.value)
+        for batch in batches:
+            yield _found(batch, finder.column(batch.column("text")))
+
+    return run
 
 
-def _scan_block(windows, keep: list[str] = []):  # noqa: B006
+def _hits_of_block(windows):
     def run(batches):
-        held = windows.value
+        finder = Finder(windows.value)
         for batch in batches:
-            rows = []
-            for text in column_bytes(batch):
-                words = alnum_words(text)
-                spans, items = held.hits(words)
-                rows.append((len(words), spans, sorted({str(held.ids[k]) for k in items})))
-            yield _found(batch, keep, rows)
+            yield pa.RecordBatch.from_arrays([batch.column("row_number"), *_hit_columns(finder.column(batch.column("text")))], names=["row_number", "n_words", "spans", "items"])
 
     return run
 
 
-def _merged_block(batches):
+def _merged_hits(batches):
     for batch in batches:
         rows = zip(batch.column("n_words").to_pylist(), batch.column("spans").to_pylist(), batch.column("items").to_pylist())
-        yield _found(batch, ["rows"], [(n, merge_spans([(s["start"], s["stop"]) for s in spans]), items) for n, spans, items in rows])
+        yield _found(batch, [(n, merge_spans([(s["start"], s["stop"]) for s in spans]), items) for n, spans, items in rows])
 
 
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
