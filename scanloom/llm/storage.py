@@ -2,44 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, local runs).
+from scanloom.packaging import ready_for_python
+
+#: Used only by a local master, where the session names no shared folder (tests).
 LOCAL_FOLDER = "/tmp/checkpoints"
-#: Rows handed to Python at once; with long texts the default of 10,000 is too many.
-BATCH_ROWS = 256
-_SHIPPED: set[str] = set()
+_ROOTS: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a local folder where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
+    """``spark.checkpoint.dir`` of the session.
 
+    Where it is unset, a local folder if all tasks run in this process, and an
+    error on a cluster: each executor would write to its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or LOCAL_FOLDER
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Readies a session for Python on its executors: small Arrow batches, and this package at hand.
 
-    Batches are bounded in rows so that one of very long texts fits in memory.
-    The package goes to the executors through the context, once.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        # the context serves the file from its place, so it stays as long as the driver does
-        shipped = Path(tempfile.mkdtemp(prefix=package.name)) / f"{package.name}.zip"
-        with zipfile.ZipFile(shipped, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, p.relative_to(package.parent))
-        context.addPyFile(str(shipped))
-        _SHIPPED.add(context.applicationId)
+def bounded_batches(spark: SparkSession) -> None:
+    """Readies a session for Python on its executors: Arrow batches of bounded size, and this package at hand."""
+    ready_for_python(spark)
 
 
 class Stash:
@@ -52,6 +41,7 @@ class Stash:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scanloom-{name}-{uuid.uuid4().hex}"
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{label}")
@@ -59,6 +49,18 @@ class Stash:
 
     def drop(self, label: str) -> None:
         """Removes a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{label}")
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Removes all tables that operators wrote in this application; lazy results that read them are lost.
+
+    To be called when the results are written or no longer wanted.
+    """
+    for root in _ROOTS.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
