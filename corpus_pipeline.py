@@ -16,39 +16,50 @@ from scanloom.llm.storage import Stash
 
 
 def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the quality classifier selects; ratings come from ``labels``."""
+    """Keeps the documents that the quality classifier selects; ratings come from ``labels``.
+
+    A null or empty text is graded as any other; repeated rows are graded alike.
+    Without ratings all documents stay; an empty table gives none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     ratings = labels.select("doc_id", quality.rating(F.col("quality"), F.col("toxic")).alias("grade"))
     return quality.score(docs, quality.train(docs, ratings), whole_rows=True).filter("selected").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies, and repeated rows of an id once.
+    """Keeps the document of smallest id of each group of near copies.
 
-    Documents without an id are no one's copies and stay.
+    Of repeated rows in a group one stays; rows of one id whose texts are not
+    linked all stay, as do documents without an id or without words.  An empty
+    table gives none.
     """
-    dropped = ngram_join.jaccard_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(docs.filter("doc_id IS NULL"))
+    return ngram_join.one_of_each_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold benchmark passages beyond the limit; all others stay as they are."""
+    """Drops the documents that hold benchmark passages beyond the limit; all others stay as they are.
+
+    Null and empty texts hold none; repeated rows are judged alike.  Without
+    benchmark items all documents stay; an empty table gives none.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.scan(docs, benchmark, whole_rows=True).filter(~F.col("contaminated")).select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in the place of each secret; texts without one stay as they are."""
+    """Puts a mark in the place of each secret; texts without one, null and empty ones stay as they are.
+
+    All rows are kept, repeated ones too; an empty table gives none.
+    """
     scanned = secret_scan.scan(docs, whole_rows=True)
     found = F.col("spans") != ""
     text = F.when(found, F.col("redacted")).otherwise(F.col("row.text"))
     own = {"text": text, "n_chars": F.when(found, F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))}
-    return scanned.select(*[own.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    return scanned.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left; a null or empty text has none.  Repeated rows and null ids are kept."""
     return bpe.encode_decode(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids")
 
 
