@@ -57,11 +57,59 @@ def jvm_gate(pattern: str, flags: str = "") -> str:
     return f"(?{own}){loose}" if own else loose
 
 
-_BORDER = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_BEFORE, _AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_BORDER = rf"(?:(?<=[A-Za-z0-9_]){_AFTER}|{_BEFORE}(?=[A-Za-z0-9_]))"
 
 
+def _alternatives(tokens: list[str], at: int, step: int) -> list[list[str]]:
+    """What can stand next to a border, going on from ``at``: of a group each of its alternatives."""
+    opens, closes = ("(", ")") if step > 0 else (")", "(")
+    if not 0 <= at < len(tokens):
+        return [[]]
+    if tokens[at] != opens:
+        return [tokens[at::step]]
+    depth, out, own = 0, [], []
+    for t in tokens[at::step]:
+        depth += (t == opens) - (t == closes)
+        if depth == 0:
+            return [*out, own]
+        if depth == 1 and t == "|":
+            out.append(own)
+            own = []
+        elif not (depth == 1 and t == opens):
+            own.append(t)
+    return [[]]
+
+
+def _on_word(tokens: list[str], at: int, step: int) -> bool:
+    """Whether only word characters can stand next to a border there."""
+    for own in _alternatives(tokens, at, step):
+        if step > 0 and own[:2] == ["?", ":"]:
+            own = own[2:]
+        if step < 0 and own[-2:] == [":", "?"]:
+            own = own[:-2]
+        if step < 0 and own[-1:] == ["?"]:
+            return False  # a look, which takes no characters
+        if not own or not (re.fullmatch(r"\w", own[0], re.A) or own[0] in (r"\w", r"\d")) or (step > 0 and own[1:2] and own[1] in "?*{"):
+            return False
+    return True
+
+
+def _borders(pattern: str) -> str:
+    """Word borders of ASCII words: of one look where the pattern says on which side the word is."""
+    # classes count as one token, which is no word
+    tokens = re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]|.", pattern, re.S)
+    out = []
+    for i, t in enumerate(tokens):
+        if t == r"\b":
+            t = _BEFORE if _on_word(tokens, i + 1, 1) else _AFTER if _on_word(tokens, i - 1, -1) else _BORDER
+        out.append(t)
+    return "".join(out)
+
+
+@lru_cache(maxsize=1024)
 def jvm_exact(pattern: str, flags: str = "") -> str:
     """The expression for the JVM, with borders of ASCII words."""
-    text = _translate(pattern, SPACES.replace(r"\v", r"\x0B"), r"\z" if "m" not in flags else "$", "\\").replace(r"\b", _BORDER)
+    text = _translate(_borders(pattern), SPACES.replace(r"\v", r"\x0B"), r"\z" if "m" not in flags else "$", "\\")
     own = "".join(f for f in flags if f in "ism")
     return f"(?{own}){text}" if own else text

@@ -78,17 +78,16 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(jvm_exact(pattern)))
 
 
-def branch_counts(content: Column, kind: str) -> dict[str, Column]:
-    """Branches of each kind in source text without its strings and comments."""
+def branch_counts(content: Column, kind: str) -> Column:
+    """struct of the branches of each kind in source text without its strings and comments, which is made once."""
     table, strips, less = (JS_BRANCHES, JS_STRIPS, JS_LESS) if kind == "js" else (PYTHON_BRANCHES, PYTHON_STRIPS, {})
-    text = _stripped(content, strips)
-    raw = {k: _count(text, p) for k, p in table.items()}
-    out = {}
-    for k, c in raw.items():
-        for other in less.get(k, []):
-            c = c - raw[other]
-        out[k] = F.greatest(F.lit(0), c) if k in less else c
-    return out
+
+    def counted(text: Column) -> Column:
+        raw = {k: _count(text, p) for k, p in table.items()}
+        only = lambda k: F.greatest(F.lit(0), sum((-raw[other] for other in less[k]), raw[k])) if k in less else raw[k]
+        return F.struct(*[only(k).alias(k) for k in table])
+
+    return F.transform(F.array(_stripped(content, strips)), counted)[0]
 
 
 def line_counts(content: Column, kind: Column) -> Column:
@@ -117,11 +116,10 @@ def file_metrics(files: DataFrame) -> DataFrame:
     f = files.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("kind", language_kind(F.coalesce("language", F.lit("unknown"))))
     content, path, kind = F.col("content"), F.col("rel_path"), F.col("kind")
     base, low, ext = F.substring_index(path, "/", -1), F.lower(path), F.lower(F.substring_index(path, ".", -1))
-    js, py = branch_counts(content, "js"), branch_counts(content, "python")
-    zero = F.lit(0)
-    branches = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in BRANCH_WEIGHTS]), F.array(*[F.when(kind == "js", js.get(k, zero)).when(kind == "python", py.get(k, zero)).otherwise(0) for k in BRANCH_WEIGHTS])
-    )
+    as_map = lambda table, counts: F.map_from_arrays(F.array(*map(F.lit, BRANCH_WEIGHTS)), F.array(*[counts[k] if k in table else F.lit(0) for k in BRANCH_WEIGHTS]))
+    in_kind = lambda table, name: F.transform(F.array(branch_counts(content, name)), lambda c: as_map(table, c))[0]
+    none = F.map_from_arrays(F.array(*map(F.lit, BRANCH_WEIGHTS)), F.array(*[F.lit(0)] * len(BRANCH_WEIGHTS)))
+    branches = F.when(kind == "js", in_kind(JS_BRANCHES, "js")).when(kind == "python", in_kind(PYTHON_BRANCHES, "python")).otherwise(none)
     test = F.lit(False)
     for p in TEST_FILES:
         test = test | path.rlike(jvm_exact(p))

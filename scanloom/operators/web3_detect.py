@@ -23,25 +23,23 @@ def detect_web3(skills: DataFrame, files: DataFrame) -> DataFrame:
     such language in the description and read-me files, is weak.
     """
     f = with_extension(files.filter("rel_path IS NOT NULL")).withColumn("content", F.coalesce("content", F.lit("")))
-    about = skills.select("skill_id", F.coalesce("manifest.description", F.lit("")).alias("description"), F.col("manifest.web3").isNotNull().alias("declared"))
-    has_source = f.groupBy("skill_id").agg(F.bool_or(F.col("ext").isin(*SOURCE)).alias("has_source"))
-    about = about.join(has_source, "skill_id", "left").withColumn("meta", ~F.coalesce("has_source", F.lit(False)) & F.col("description").rlike(jvm_exact(*WEB3["META_TOOL_DESCRIPTION_RE"])))
-    rows = f.join(about.select("skill_id", "meta"), "skill_id")
-    seen = F.col("ext").isin(*EXTENSIONS["web3"]) & ~(F.col("meta") & F.col("ext").isin("md", "mdx"))
     rpc = F.lit(False)
     for name in RPC:
         rpc = rpc | holds(name)
-    flags = {
-        "lib": seen & holds("WEB3_LIB_IMPORT_RE"),
-        "rpc": seen & rpc,
-        "sol": F.col("ext") == "sol",
-        "strong": seen & holds("VERY_SPECIFIC_PROTOCOL_RE"),
-        "prose": seen & holds("WEAK_PROTOCOL_RE"),
-        "address": seen & holds("ADDRESS_RE"),
-        "readme": F.col("rel_path").rlike(r"(?i)SKILL\.md\z|README") & holds("ONCHAIN_LANG_RE"),
-    }
-    per = rows.groupBy("skill_id").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(k) for k, c in flags.items()])
-    out = about.join(per, "skill_id", "left").fillna(False, list(flags))
+    flags = {"lib": holds("WEB3_LIB_IMPORT_RE"), "rpc": rpc, "strong": holds("VERY_SPECIFIC_PROTOCOL_RE"), "prose": holds("WEAK_PROTOCOL_RE"), "address": holds("ADDRESS_RE")}
+    # contents end in flags per file; those of Markdown files are told apart, as some skills' prose does not count
+    read, markdown = F.col("ext").isin(*EXTENSIONS["web3"]), F.col("ext").isin("md", "mdx")
+    any_ = lambda test, name: F.coalesce(F.bool_or(test), F.lit(False)).alias(name)
+    per = f.groupBy("skill_id").agg(
+        any_(F.col("ext").isin(*SOURCE), "has_source"),
+        any_(F.col("ext") == "sol", "sol"),
+        any_(F.col("rel_path").rlike(r"(?i)SKILL\.md\z|README") & holds("ONCHAIN_LANG_RE"), "readme"),
+        *[any_(read & kind & c, f"{k}_{name}") for k, c in flags.items() for name, kind in (("prose", markdown), ("code", ~markdown))],
+    )
+    about = skills.select("skill_id", F.coalesce("manifest.description", F.lit("")).alias("description"), F.col("manifest.web3").isNotNull().alias("declared"))
+    out = about.join(per, "skill_id", "left").fillna(False, [c for c in per.columns if c != "skill_id"])
+    out = out.withColumn("meta", ~F.col("has_source") & F.col("description").rlike(jvm_exact(*WEB3["META_TOOL_DESCRIPTION_RE"])))
+    out = out.select("skill_id", "description", "declared", "meta", "sol", "readme", *[(F.col(f"{k}_code") | F.col(f"{k}_prose") & ~F.col("meta")).alias(k) for k in flags])
     strong = F.col("lib") | F.col("rpc") | F.col("sol") | F.col("strong")
     weak = F.col("prose").cast("int") + F.col("address").cast("int")
     talk = F.col("readme") | F.col("description").rlike(jvm_exact(*WEB3["ONCHAIN_LANG_RE"]))

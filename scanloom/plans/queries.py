@@ -54,7 +54,7 @@ def findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_custkey").cast("string").alias("skill_id"), F.concat(F.lit("F-"), F.col("o_orderkey").cast("string")).alias("id"), "severity", F.col("o_orderstatus").alias("category"),
         F.concat(F.lit("rule-"), "o_orderstatus").alias("rule"), F.when(F.col("o_orderstatus") == "F", "AST01").when(F.col("o_orderstatus") == "O", "AST02").alias("owasp_id"),
-        F.lit(None).cast("string").alias("cve"), F.col("o_orderkey").alias("file_ord"), F.lit(0).alias("pattern_ord"), F.lit(0).alias("at"), summary.severity_rank(F.col("severity")).alias("severity_rank"),
+        F.lit(None).cast("string").alias("cve"), F.col("o_orderkey").alias("file_ord"), F.lit("f").alias("rel_path"), F.lit(0).alias("pattern_ord"), F.lit(0).alias("at"), summary.severity_rank(F.col("severity")).alias("severity_rank"),
     )
 
 
@@ -430,8 +430,7 @@ _PY = {k: p for k, p in metrics.PYTHON_BRANCHES.items() if k in ("if", "for", "w
 
 @query(f"WITH clean AS (SELECT source, {_stripped_sql('text')} AS t FROM documents) SELECT source AS skill_id, " + ", ".join(f"sum(len(regexp_extract_all(t, '{p}'))) AS \"{k}\"" for k, p in _PY.items()) + " FROM clean GROUP BY source")
 def complexity_counts(spark, sf_dir):
-    counts = metrics.branch_counts(F.col("text"), "python")
-    d = table(spark, sf_dir, "documents").select("source", *[counts[k].alias(k) for k in _PY])
+    d = table(spark, sf_dir, "documents").select("source", metrics.branch_counts(F.col("text"), "python").alias("counts")).select("source", "counts.*")
     return d.groupBy(F.col("source").alias("skill_id")).agg(*[F.sum(k).alias(k) for k in _PY])
 
 
@@ -446,8 +445,7 @@ _TENTHS = {k: round(10 * metrics.BRANCH_WEIGHTS[k]) for k in metrics.PYTHON_BRAN
 )
 def complexity_counts_all(spark, sf_dir):
     """All branch kinds of Python, and their sum by weight."""
-    counts = metrics.branch_counts(F.col("text"), "python")
-    d = table(spark, sf_dir, "documents").select("source", *[counts[k].alias(k) for k in _TENTHS])
+    d = table(spark, sf_dir, "documents").select("source", metrics.branch_counts(F.col("text"), "python").alias("counts")).select("source", "counts.*")
     out = d.groupBy(F.col("source").alias("skill_id")).agg(*[F.sum(k).alias(k) for k in _TENTHS])
     return out.withColumn("weighted", sum((F.col(f"`{k}`") * n for k, n in _TENTHS.items()), F.lit(0)) / 10.0)
 

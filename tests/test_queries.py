@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pytest
 
-from scanloom.plans.queries import QUERIES, SQL
+from scanloom.plans.registry import QUERIES, SQL
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 REPO = Path(__file__).resolve().parents[1]
