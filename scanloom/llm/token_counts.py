@@ -143,11 +143,12 @@ class PrefixTable:
     (NFC and lower case; special strings as written)."""
 
     def __init__(self, counter: PrefixCounter, text: str):
+        # before: the stretch of ordinary text without a space that a special string follows, and the tokens before it
         bpe, shown, sums, before = counter.bpe, [], 0, ("", 0)
         counts = [np.zeros(1, np.int64)]
         for special, part in bpe.segments(text):
             if special:
-                # a cut special string is ordinary text, and goes with the ordinary text before it
+                # a cut special string is ordinary text, and goes with the stretch before it; nothing else is encoded again
                 own = np.array([before[1] + counter.total(before[0] + part[:k]) for k in range(1, len(part))] + [sums + 1])
                 sums, before = sums + 1, ("", sums + 1)
             else:
@@ -158,7 +159,9 @@ class PrefixTable:
                     own[m.start() : m.end()] = sums + counter.prefixes(m[0])
                     sums, done = int(own[m.end() - 1]), m.end()
                 own[done:] = sums
-                before = (part, start)
+                stretch = bpe.pieces(part)[-1:] if part and not part[-1].isspace() else []
+                at = len(part) - len(stretch[0]) if stretch else len(part)
+                before = (part[at:], int(own[at - 1]) if at else start)
             counts.append(own)
             shown.append(part)
         self.text, self.counts = "".join(shown), np.concatenate(counts)
@@ -190,8 +193,13 @@ def count_tokens(
     Returns a row per input row: doc_id, n_bytes long (UTF-8), n_tokens long,
     cut_chars long (characters of the longest prefix within ``budget`` tokens,
     of the text in the vocabulary's normal form; null where the whole text
-    fits).  A null text counts as empty: 0 bytes, 0 tokens.  Repeated rows and
-    null ids are kept; other columns of the input are not read.
+    fits; of prefixes with equal counts the longest).  A null text counts as
+    empty: 0 bytes, 0 tokens.  Texts of any length are counted whole.  Repeated
+    rows and null ids are kept; other columns of the input are not read; an
+    empty table gives none.
+
+    Words are counted once and their counts added up along a text; the prefixes
+    of a word are counted where a budget ends in it.
     """
     bounded_batches(df.sparkSession)
 
