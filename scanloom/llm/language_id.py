@@ -22,8 +22,8 @@ from scanloom.llm.text import id_and_text
 
 #: Hash buckets of the trigrams.
 DIMENSIONS = 4096
-#: Bound of the training sample, in texts of each language; in expectation a fifth more is drawn.
-SAMPLE_PER_LANGUAGE = 500
+#: Bound of the training sample, in texts of each language (in expectation a fifth more is drawn), and of the languages.
+SAMPLE_PER_LANGUAGE, LANGUAGES = 500, 200
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 # ISO 639-1 codes by language family; any other code is a family of its own.
@@ -127,18 +127,21 @@ class LanguageModel:
         return langs, scores
 
 
-def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
+def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel:
     """Fits a model on (doc_id, text, lang), from a sample bounded for each language.
 
-    Rows are drawn by a hash of the id, at a rate from the language's count, so
-    the sample is the same in every run.  Rows without text or lang are left out.
+    Rows are drawn by a hash of id and text, at a rate from the language's count,
+    so the sample is the same in every run; repeated rows count once.  Rows
+    without text or lang are left out, and so are values of lang beyond the
+    ``languages`` most frequent ones (of equal count the first by name).
     """
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    counts = {r["lang"]: r["count"] for r in most.collect()}
     if not counts:
         return LanguageModel(OneVersusOne([]), {})
     rate = F.create_map(*[c for k, n in counts.items() for c in (F.lit(k), F.lit(min(1.0, 1.2 * per_language / n)))])
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_000)) < F.try_element_at(rate, F.col("lang")) * 1_000_000)
 
     def run(batches):
         for batch in batches:
@@ -148,7 +151,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Langu
             )
 
     kind = drawn.schema["doc_id"].dataType.simpleString()
-    sample = sorted(drawn.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, x binary").collect(), key=lambda r: (r["lang"], str(r["doc_id"]), bytes(r["x"])))
+    sample = sorted(drawn.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, x binary").distinct().collect(), key=lambda r: (r["lang"], str(r["doc_id"]), bytes(r["x"])))
     if not sample:
         return LanguageModel(OneVersusOne([]), {})
     x = np.array([np.frombuffer(r["x"], np.float16) for r in sample], np.float32)
@@ -160,8 +163,10 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
 
     Returns a row per input row: doc_id, lang_pred string, score double.  A text
     that is null, empty or without a letter is ``und`` with score 0, as is every
-    text when the model has seen no language.  Repeated rows and null ids are
-    kept; other columns are not read.
+    text when the model has seen no language.  A text of any length is read
+    whole; of languages with equal votes the first by the margins, then by name,
+    is taken.  Repeated rows and null ids are kept; other columns are not read;
+    an empty table gives none.
     """
     spark = df.sparkSession
     bounded_batches(spark)
