@@ -122,7 +122,8 @@ SCANNED = ["doc_id", "n", "h1", "h2", "point", "key", "word", "count"]
 
 def _counted(gathered: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
     """Values that occur ``least`` times or more, with their counts."""
-    keys = np.sort(np.concatenate(gathered)) if gathered else np.zeros(0, np.uint64)
+    keys = np.concatenate(gathered) if gathered else np.zeros(0, np.uint64)
+    keys.sort()
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     counts = np.diff(np.append(starts, len(keys)))
     return keys[starts[counts >= least]], counts[counts >= least].astype(np.int64)
@@ -247,19 +248,25 @@ def _pivot_pairs(part: int, whole: int):
     return run
 
 
-def _marks(ids: np.ndarray) -> np.ndarray:
-    """The bit of each id in a bitmap."""
-    return (mixed(ids.view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+def _marks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte of a bitmap and the bit in it of each id."""
+    at = (mixed(ids.view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+    return at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+
+
+def _is_marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    byte, bit = _marks(ids)
+    return (bits[byte] & bit) > 0
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """Bits of all ids; as large for any number of them."""
 
     def run(batches):
-        bits = np.zeros(1 << MARK_BITS, bool)
+        bits = np.zeros(1 << MARK_BITS >> 3, np.uint8)
         for batch in batches:
-            bits[_marks(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            np.bitwise_or.at(bits, *_marks(batch.column(0).to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(1 << MARK_BITS >> 3, np.uint8)
     for row in ids.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
@@ -282,10 +289,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, marked_most: int) -> D
 
     def run(batches):
         shingler = Shingler(words)
-        bits = np.unpackbits(marks.value).view(bool) if marks else None
         for batch in batches:
-            if bits is not None:
-                batch = batch.filter(pa.array(bits[_marks(batch.column("doc_id").to_numpy(zero_copy_only=False))]))
+            if marks:
+                batch = batch.filter(pa.array(_is_marked(marks.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingler.batch(batch.column("text"))], pa.binary())], names=["doc", "tokens"])
 
@@ -353,12 +359,11 @@ def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def marked(wanted: bool):
         def run(batches):
-            bits = np.unpackbits(marks.value).view(bool) if marks else None
             for batch in batches:
                 column = batch.column("doc_id")
                 hit = column.is_valid().to_numpy(zero_copy_only=False)
-                if bits is not None:
-                    hit = hit & bits[_marks(column.fill_null(0).to_numpy(zero_copy_only=False))]
+                if marks:
+                    hit = hit & _is_marked(marks.value, column.fill_null(0).to_numpy(zero_copy_only=False))
                 yield batch.filter(pa.array(hit == wanted))
 
         return run

@@ -84,7 +84,7 @@ def fit(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, grades: np.nd
     than ``tolerance`` of the loss.
     """
     seen, at = np.unique(buckets, return_inverse=True)
-    n, d, values = len(grades), len(seen), values.astype(np.float64)
+    n, d, at = len(grades), len(seen), at.astype(np.int32)
     weight = (n / n_grades / np.maximum(1, np.bincount(grades, minlength=n_grades)))[grades] ** 0.5 / n
     inf = np.array([np.inf])
 
@@ -186,7 +186,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, sample: i
             left = of != k
             if not left.any() or (left.all() and k < FOLDS):
                 continue
-            use, number = left[rows], np.cumsum(left) - 1
+            use, number = left[rows], (np.cumsum(left) - 1).astype(np.int32)
             model = fit(number[rows[use]], buckets[use], values[use], grades[left], n_grades)
             tails = model.tail(np.bincount(rows, values * model.weights[buckets], len(grades)))[~left & (grades == n_grades - 1), -1]
             whole = (model.weights, model.thresholds) if k == FOLDS else (np.zeros(0, np.float32), np.zeros(0))
@@ -201,7 +201,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, sample: i
 
 def _flat(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buckets = [np.frombuffer(r["b"], np.int32) for r in held]
-    rows = np.repeat(np.arange(len(held)), [len(b) for b in buckets])
+    rows = np.repeat(np.arange(len(held), dtype=np.int32), [len(b) for b in buckets])
     return rows, np.concatenate(buckets), np.concatenate([np.frombuffer(r["v"], np.float32) for r in held])
 
 

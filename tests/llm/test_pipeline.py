@@ -60,6 +60,41 @@ def test_run_applies_all_stages(spark, folder):
     assert all(len(np.frombuffer(r["ids"], "<u4")) == r["n_tokens"] for r in out)
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row string, spans string, items map<string,int>, selected int, several long, component_id long, n long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    out = tmp_path_factory.mktemp("odd")
+    texts = [(1, prose(1, 30)), (1, prose(1, 30)), (2, None), (2, None), (3, ""), (None, prose(1, 30)), (None, None), (4, prose(4, 30000)), (5, prose(5, 40)), (5, prose(6, 40)), (6, prose(6, 40)), (7, "\n \t")]
+    rows = [(i, t, None, None, len(t) if t else None, "r", "x", {"a": k}, 1, 2, 3, 4) for k, (i, t) in enumerate(texts)]
+    spark.createDataFrame(rows, CLASHING).write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
+    return str(out)
+
+
+def test_stages_on_odd_rows(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    key = lambda r: (r["doc_id"], r["text"])
+    given = sorted(map(key, docs.collect()), key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, odd)
+        if name == "encode":
+            assert out.count() == len(given)
+            continue
+        assert out.dtypes == docs.dtypes, name
+        got = sorted(map(key, out.collect()), key=str)
+        if name == "near_copies":
+            # one row for the group of 1, one for 5 and 6, which has a text of its own besides
+            want = [(1, prose(1, 30)), (2, None), (2, None), (3, ""), (None, prose(1, 30)), (None, None), (4, prose(4, 30000)), (5, prose(5, 40)), (5, prose(6, 40)), (7, "\n \t")]
+            assert got == sorted(want, key=str)
+        else:
+            assert got == given, name
+        assert stage(spark, docs.limit(0), odd).count() == 0, name
+    assert corpus_pipeline.encode(spark, docs.limit(0), odd).count() == 0
+
+
 def test_every_operator_is_registered():
     found = {int(k[2:].split("_")[0]) for k in queries() if k.startswith("op")}
     assert found == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
