@@ -88,9 +88,27 @@ def platform_rollup(skills: DataFrame) -> DataFrame:
     return skills.groupBy("platform", root.alias("root")).agg(F.count("*").alias("skills")).orderBy(F.asc_nulls_last("platform"), "root")
 
 
+def web3_rollup(detected: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: how many skills are about web3, and how many critical findings these have."""
+    critical = findings.filter("severity = 'critical'").groupBy("skill_id").agg(F.count("*").alias("critical"))
+    rows = detected.filter("is_web3").select("skill_id").join(critical, "skill_id", "left")
+    return rows.agg(F.count("*").alias("web3_skills"), F.coalesce(F.sum("critical"), F.lit(0)).alias("web3_critical"))
+
+
 # ---- leaderboard
 
 
+def relative_time(at: Column, as_of: Column) -> Column:
+    """How long ago a time was, in days, months of 30 days, or years of 12 months; ``unknown`` if it is null."""
+    at, as_of = at.cast("timestamp"), as_of.cast("timestamp")
+    days = F.floor((F.unix_micros(as_of) - F.unix_micros(at)) / 86_400_000_000)
+    months = F.floor(days / 30)
+    years = F.floor(months / 12)
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+    told = F.when(days < 1, "today").when(days < 30, ago(days, "day")).when(months < 12, ago(months, "month")).otherwise(ago(years, "year"))
+    return F.when(at.isNull(), "unknown").otherwise(told)
+
+
 def leaderboard_totals(entries: DataFrame) -> DataFrame:
     """One row over all entries: counts, sums, the rounded mean score, and the latest valid scan."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))

@@ -13,7 +13,7 @@ from scanloom.operators.metrics import recommendations, skill_metrics
 from scanloom.operators.policy import PolicyRule, evaluate
 from scanloom.operators.scoring import scores
 from scanloom.operators.skill_rules import skill_facts
-from scanloom.operators.summary import run_summary
+from scanloom.operators.summary import run_summary, web3_rollup
 from scanloom.operators.web3_detect import detect_web3, promoted
 
 PROFILES = ("default", "web3", "strict")
@@ -41,6 +41,10 @@ class Audit:
     def summary(self) -> DataFrame:
         return run_summary(self.scores, self.findings, self.violations)
 
+    @property
+    def web3_summary(self) -> DataFrame:
+        return web3_rollup(self.web3, self.findings)
+
 
 def audit(
     skills: DataFrame,

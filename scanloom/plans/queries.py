@@ -378,16 +378,22 @@ NUMBERED_SQL = "numbered AS (SELECT doc_id, unnest(string_split(text, chr(10)))
 
 @query(f"WITH {NUMBERED_SQL} SELECT doc_id, count(*) AS n FROM (SELECT doc_id, line, count(*) FILTER (contains(line, ' and ')) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS later FROM numbered) WHERE contains(line, ' the ') AND later = 0 GROUP BY doc_id")
 def lookahead_4_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    later = F.sum(F.col("line").contains(" and ").cast("int")).over(W.partitionBy("doc_id").orderBy("k").rowsBetween(1, 4))
-    return rows.withColumn("later", F.coalesce(later, F.lit(0))).filter(F.col("line").contains(" the ") & (F.col("later") == 0)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    # within the row, as an array: no line is shuffled
+    lines = F.split("text", "\n")
+
+    def alone(line, i):
+        return line.contains(" the ") & ~F.exists(F.slice(lines, i + 2, 4), lambda x: x.contains(" and "))
+
+    counted = table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(lines, alone)).cast("long").alias("n"))
+    return counted.filter("n > 0")
 
 
 @query(f"WITH {NUMBERED_SQL} SELECT doc_id, k, near FROM (SELECT doc_id, k, line, count(*) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM numbered) WHERE contains(line, 'License')")
 def line_window_context(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    near = F.count("*").over(W.partitionBy("doc_id").orderBy("k").rowsBetween(-3, 3))
-    return rows.withColumn("near", near).filter(F.col("line").contains("License")).select("doc_id", (F.col("k") + 1).alias("k"), "near")
+    lines = F.split("text", "\n")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("all"), F.posexplode(lines).alias("k", "line")).filter(F.col("line").contains("License"))
+    k = F.col("k")
+    return rows.select("doc_id", (k + 1).alias("k"), (F.least(k + 3, F.col("all") - 1) - F.greatest(k - 3, F.lit(0)) + 1).cast("long").alias("near"))
 
 
 @query("SELECT source AS skill_id, count(*) FILTER (text IS NOT NULL AND regexp_matches(text, 'token') AND NOT regexp_matches(text, '(?i)license')) AS n FROM documents GROUP BY source")

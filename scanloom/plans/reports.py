@@ -12,7 +12,9 @@ import html
 import io
 import json
 import re
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.dims import SEVERITIES
 from scanloom.operators.scoring import half_up
-from scanloom.operators.summary import best_and_worst, dense_matrix, matrix_cells, rule_number
+from scanloom.operators.summary import best_and_worst, dense_matrix, matrix_cells, rule_number, top_findings, worst_skills
 from scanloom.plans.audit import Audit
 
 RANK = {name: rank for name, rank, *_ in SEVERITIES}
@@ -39,7 +41,7 @@ def report_rows(audit: Audit, limit: int | None = None) -> DataFrame:
     ranked = audit.findings.withColumn("n", F.row_number().over(order))
     ranked = ranked.filter(F.col("n") <= limit) if limit else ranked
     lists = lambda df, fields, name, key: df.groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct(key, *fields))).alias(name))
-    out = audit.scores.join(audit.metrics, "skill_id")
+    out = audit.scores.join(audit.metrics, "skill_id").join(audit.skills.select("skill_id", F.col("manifest.description").alias("description")), "skill_id")
     out = out.join(lists(ranked, SHOWN, "findings", "n"), "skill_id", "left")
     out = out.join(lists(audit.violations, ["policy", "severity", "message", "action"], "violations", "rule_id"), "skill_id", "left")
     out = out.join(lists(audit.recommendations, ["category", "priority", "title", "description", "effort"], "recommendations", "ord"), "skill_id", "left")
@@ -56,7 +58,8 @@ def collected(audit: Audit, limit: int | None = None) -> dict:
     for s in skills:
         for k in ("findings", "violations", "recommendations"):
             s[k] = s[k] or []
-    return {"summary": _plain(audit.summary.first()), "skills": skills}
+    made = {"report_id": str(uuid.uuid4()), "generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    return {**made, "summary": _plain(audit.summary.first()) | _plain(audit.web3_summary.first()), "skills": skills}
 
 
 def comparison(audit: Audit) -> dict:
@@ -75,6 +78,17 @@ def write_findings(audit: Audit, path: str) -> None:
     audit.findings.drop("at", "pattern_ord", "file_ord").write.json(path)
 
 
+def write_sarif_results(audit: Audit, path: str) -> None:
+    """All SARIF results as JSON lines, from the executors: as in as_sarif, without the index of the rule."""
+    level = F.create_map(*[F.lit(x) for pair in LEVEL.items() for x in pair])
+    line = F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine")))
+    place = F.struct(F.struct(F.struct(F.col("rel_path").alias("uri")).alias("artifactLocation"), line.alias("region")).alias("physicalLocation"))
+    audit.findings.select(
+        F.coalesce("owasp_id", "rule").alias("ruleId"), F.element_at(level, F.col("severity")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"),
+        F.struct(F.concat_ws("/", "skill_id", "id").alias("finding")).alias("partialFingerprints"), F.when(F.coalesce("rel_path", F.lit("")) != "", F.array(place)).alias("locations"),
+    ).write.json(path)
+
+
 def matrix_csv(audit: Audit, path: str) -> None:
     """(skill, rule_id, severity, count) with a header, from the executors."""
     cells = matrix_cells(audit.findings, with_info=True).select(F.col("skill_id").alias("skill"), F.col("rule_key").alias("rule_id"), F.col("worst").alias("severity"), F.col("n").alias("count"))
@@ -96,16 +110,17 @@ def rule_title(key: str) -> str:
 def as_sarif(data: dict) -> str:
     """SARIF 2.1.0; rules by risk id, else rule, the first finding naming each; results point at their rule."""
     rules: dict[str, dict] = {}
-    results = []
+    results, number = [], {}
     for skill in data["skills"]:
         for f in skill["findings"]:
             key = f["owasp_id"] or f["rule"]
             if key not in rules:
+                number[key] = len(rules)
                 rules[key] = {
                     "id": key, "name": rule_title(f["rule"]), "shortDescription": {"text": f["title"]}, "defaultConfiguration": {"level": LEVEL[f["severity"]]},
                     "properties": {"security-severity": CVSS[f["severity"]], "tags": ["security", f["category"]]},
                 }
-            result = {"ruleId": key, "ruleIndex": list(rules).index(key), "level": LEVEL[f["severity"]], "message": {"text": f["title"]}, "partialFingerprints": {"finding": f"{skill['skill_id']}/{f['id']}"}}
+            result = {"ruleId": key, "ruleIndex": number[key], "level": LEVEL[f["severity"]], "message": {"text": f["title"]}, "partialFingerprints": {"finding": f"{skill['skill_id']}/{f['id']}"}}
             if f["rel_path"]:
                 place = {"artifactLocation": {"uri": f["rel_path"]}}
                 if f["line"]:
@@ -145,17 +160,38 @@ def comparison_markdown(view: dict) -> str:
     return "\n".join(out)
 
 
+PRIORITIES = ("critical", "high", "medium", "low")
+#: Metrics that pages show, and how.
+SHOWN_METRICS = {
+    "code_complexity": "complexity {:.1f}", "test_coverage": "test coverage {:.0f}%", "documentation_score": "documentation {:.0%}", "maintenance_health": "maintenance {:.0f}",
+    "lines_of_code": "{:.0f} lines of code", "dependency_count": "{:.0f} dependencies", "outdated_dependencies": "{:.0f} outdated",
+}
+
+
+def advice_by_priority(skill: dict) -> dict[str, list[dict]]:
+    """Recommendations under their priorities, the most pressing first; priorities without any are left out."""
+    own = {p: [r for r in skill["recommendations"] if r["priority"] == p] for p in PRIORITIES}
+    return {p: rows for p, rows in own.items() if rows}
+
+
+def shown_metrics(skill: dict) -> list[str]:
+    """The metrics that are known, as text."""
+    return [form.format(skill[k]) for k, form in SHOWN_METRICS.items() if skill.get(k) is not None]
+
+
 def as_html(data: dict) -> str:
     e = html.escape
     rows = "".join(f"<tr><td>{e(k['skill_id'])}</td><td>{k['grade']}</td><td>{k['overall']}</td><td>{len(k['findings'])}</td></tr>" for k in data["skills"])
     parts = []
     for k in data["skills"]:
         items = "".join(f"<tr class='{f['severity']}'><td>{f['severity']}</td><td>{e(f['title'])}</td><td>{e(_place(f))}</td><td><code>{e(f['evidence'] or '')}</code></td></tr>" for f in k["findings"])
-        advice = "".join(f"<li>{e(r['title'])}</li>" for r in sorted(k["recommendations"], key=lambda r: RANK.get(r["priority"], 9)))
+        advice = "".join(f"<h3>{p}</h3><ul>" + "".join(f"<li>{e(r['title'])}: {e(r['description'] or '')}</li>" for r in own) + "</ul>" for p, own in advice_by_priority(k).items())
         broken = "".join(f"<li>{e(v['action'])}: {e(v['message'])}</li>" for v in k["violations"])
-        parts.append(f"<section><h2>{e(k['skill_id'])}</h2><table>{items}</table><ul>{broken}</ul><ul>{advice}</ul></section>")
+        measured = "".join(f"<li>{e(m)}</li>" for m in shown_metrics(k))
+        scores = f"security {k['security']}, quality {k['quality']}, maintenance {k['maintenance']}"
+        parts.append(f"<section><h2>{e(k['skill_id'])}</h2><p>{e(k.get('description') or '')}</p><p>{scores}</p><ul class='metrics'>{measured}</ul><table>{items}</table><ul>{broken}</ul>{advice}</section>")
     s = data["summary"]
-    head = f"<p>{s['total_skills']} skills, mean score {s['average_score']}, {s['total_findings']} findings</p>"
+    head = f"<p>{s['total_skills']} skills, mean score {s['average_score']}, {s['total_findings']} findings, {s.get('web3_skills', 0)} about web3</p><p>{data.get('report_id', '')} {data.get('generated_at', '')}</p>"
     return f"<!doctype html><html><head><meta charset='utf-8'><title>Audit report</title></head><body><h1>Audit report</h1>{head}<table>{rows}</table>{''.join(parts)}</body></html>"
 
 
@@ -166,15 +202,52 @@ def comparison_html(view: dict) -> str:
     return f"<table><tr><th></th>{head}</tr>{body}</table>"
 
 
-def as_text(data: dict) -> str:
+#: Terminal colours of severities and priorities.
+COLOURS = {"critical": "1;31", "high": "31", "medium": "33", "low": "36", "info": "2"}
+_CODES = re.compile("\x1b\\[[0-9;]*m")
+
+
+def painted(text: str, severity: str, colour: bool) -> str:
+    return f"\x1b[{COLOURS.get(severity, '0')}m{text}\x1b[0m" if colour else text
+
+
+def padded(text: str, width: int) -> str:
+    """Text filled up to a width that colour codes take no part of."""
+    return text + " " * max(0, width - len(_CODES.sub("", text)))
+
+
+def gauge(score: int, steps: int = 10) -> str:
+    return "#" * (score * steps // 100) + "." * (steps - score * steps // 100)
+
+
+def as_text(data: dict, colour: bool = False, shown: int = 5) -> str:
+    """For terminals: totals, then each skill with its first findings and its recommendations by priority."""
     s = data["summary"]
     out = [f"Skills {s['total_skills']}  mean {s['average_score']}  findings {s['total_findings']}  blocked {s['blocked_skills']}  certified {s['certified_skills']}"]
+    if s.get("web3_skills"):
+        out.append(f"Web3 {s['web3_skills']} skills  {s['web3_critical']} critical findings")
     for k in data["skills"]:
-        gauge = "#" * (k["overall"] // 10) + "." * (10 - k["overall"] // 10)
-        out.append(f"{k['grade']} [{gauge}] {k['overall']:>3}  {k['skill_id']}  documentation {round(k['documentation_score'] * 100)}%")
-        out += [f"    {f['severity']:<8} {f['title']}  {_place(f)}".rstrip() for f in k["findings"][:5]]
-        by = sorted(k["recommendations"], key=lambda r: RANK.get(r["priority"], 9))
-        out += [f"    * {r['priority']}: {r['title']}" for r in by]
+        out.append(f"{k['grade']} [{gauge(k['overall'])}] {k['overall']:>3}  {k['skill_id']}  documentation {round(k['documentation_score'] * 100)}%")
+        out += [f"    {padded(painted(f['severity'], f['severity'], colour), 8)} {f['title']}  {_place(f)}".rstrip() for f in k["findings"][:shown]]
+        for p, own in advice_by_priority(k).items():
+            out.append(f"    {painted(p, p, colour)}")
+            out += [f"      * {r['title']}" for r in own]
+    return "\n".join(out)
+
+
+def console(audit: Audit, verbose: bool = False, colour: bool = False, shown: int = 5) -> str:
+    """What a terminal shows after a run: the skills with most critical findings; verbose adds the first findings of every skill.
+
+    Only what is shown is collected.
+    """
+    s = _plain(audit.summary.first())
+    out = [f"Audited {s['total_skills']} skills: mean score {s['average_score']}, {s['total_findings']} findings, {s['blocked_skills']} blocked"]
+    out += [f"  {painted(r['skill_id'], 'critical', colour)}  {r['critical']} critical" for r in worst_skills(audit.findings).collect()]
+    if verbose:
+        rows = top_findings(audit.findings, shown).orderBy("skill_id", "rn").collect()
+        for skill in dict.fromkeys(r["skill_id"] for r in rows):
+            out.append(skill)
+            out += [f"    {padded(painted(r['severity'], r['severity'], colour), 8)} {r['title']}" for r in rows if r["skill_id"] == skill]
     return "\n".join(out)
 
 

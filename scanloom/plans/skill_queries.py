@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.operators import metrics
+from scanloom.operators import metrics, summary
 from scanloom.operators.detectors import scan_files
 from scanloom.operators.findings import detectors, stamped
 from scanloom.operators.manifest_rules import manifest_findings
 from scanloom.operators.skill_rules import decided_hits, skill_facts, skill_findings
-from scanloom.plans.queries import EXAMPLES_SQL, NUMBERED_SQL, document_files, document_skills, query, table
+from scanloom.plans.queries import EXAMPLES_SQL, NUMBERED_SQL, document_files, findings_of, query, skills_of, table
 from scanloom.sources.manifests import MANIFEST_SCHEMA
 
 AS_OF = 1_700_000_000
@@ -77,13 +77,13 @@ def calls_without_timeout(spark, sf_dir):
 
 
 @query(
-    "SELECT skill_id, rel_path, line_text AS evidence FROM (SELECT source AS skill_id, doc_id || '.ts' AS rel_path, trim(regexp_replace(regexp_replace(line, '\"[a-zA-Z0-9_\\-/+=]{16,}\"', '\"[REDACTED]\"', 'g'), '''[a-zA-Z0-9_\\-/+=]{16,}''', '''[REDACTED]''', 'g')) AS line_text, line "
+    "SELECT DISTINCT skill_id, rel_path, line_text AS evidence FROM (SELECT source AS skill_id, doc_id || '.ts' AS rel_path, trim(regexp_replace(regexp_replace(line, '\"[a-zA-Z0-9_\\-/+=]{16,}\"', '\"[REDACTED]\"', 'g'), '''[a-zA-Z0-9_\\-/+=]{16,}''', '''[REDACTED]''', 'g')) AS line_text, line "
     "FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE regexp_matches(line, '(?i)(?:token|auth[_-]?token|access[_-]?token|bearer)\\s*[:=]\\s*[\"''][a-zA-Z0-9_\\-./+=]{16,}[\"'']') "
     f"AND {EXAMPLES_SQL} AND NOT contains(line, '//') AND NOT regexp_matches(line, '^\\s*#')"
 )
 def secret_evidence_redacted(spark, sf_dir):
     """The evidence of findings of secrets never shows them."""
-    return scan_files(document_files(spark, sf_dir, ".ts"), checks("STOR-004")).select("skill_id", "rel_path", "evidence")
+    return scan_files(document_files(spark, sf_dir, ".ts"), checks("STOR-004")).select("skill_id", "rel_path", "evidence").distinct()
 
 
 # ---- findings
@@ -201,6 +201,26 @@ def manifest_rules(spark, sf_dir):
     return manifest_findings(manifests_of(spark, sf_dir), F.lit(AS_OF)).select("skill_id", "detector", "severity")
 
 
+# ---- summaries
+
+
+@query("SELECT count(*) AS web3_skills, coalesce(sum(n), 0) AS web3_critical FROM (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS n FROM customer WHERE c_custkey % 3 = 0)")
+def web3_rollup(spark, sf_dir):
+    detected = skills_of(spark, sf_dir).withColumn("is_web3", F.col("skill_id").cast("long") % 3 == 0)
+    return summary.web3_rollup(detected, findings_of(spark, sf_dir))
+
+
+@query(
+    "WITH d AS (SELECT event_id, CAST(floor((epoch_us(TIMESTAMP '2026-01-15 06:00:00') - epoch_us(CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts - to_days(CAST(event_id % 900 AS INTEGER)) END)) / 86400000000) AS BIGINT) AS days FROM events) "
+    "SELECT event_id, CASE WHEN days IS NULL THEN 'unknown' WHEN days < 1 THEN 'today' WHEN days < 30 THEN days || ' day' || CASE WHEN days = 1 THEN '' ELSE 's' END || ' ago' WHEN days // 30 < 12 THEN (days // 30) || ' month' || CASE WHEN days // 30 = 1 THEN '' ELSE 's' END || ' ago' "
+    "ELSE (days // 30 // 12) || ' year' || CASE WHEN days // 30 // 12 = 1 THEN '' ELSE 's' END || ' ago' END AS told FROM d"
+)
+def relative_times(spark, sf_dir):
+    k = F.col("event_id")
+    at = F.when(k % 7 != 0, F.col("ts") - F.make_dt_interval(days=(k % 900).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", summary.relative_time(at, F.lit("2026-01-15 06:00:00").cast("timestamp")).alias("told"))
+
+
 # ---- metrics
 
 

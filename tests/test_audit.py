@@ -197,6 +197,14 @@ def test_reports(spark, world, tmp_path):
     assert data["summary"]["total_skills"] == 3 and data["summary"]["blocked_skills"] >= 1
     skills, total = read_report(spark, str(tmp_path / "out/report.json"))
     assert skills.count() == 3 and total.first()["total_skills"] == 3
+    assert data["report_id"] != reports.collected(run, 1)["report_id"] and data["generated_at"].endswith("+00:00") and data["summary"]["web3_skills"] >= 1
+    text = reports.as_text(data, colour=True)
+    assert "\x1b[" in text and "      * Add a README file" in text and "\x1b[" not in reports.as_text(data)
+    assert "<h3>low</h3>" in reports.as_html(data) and "lines of code" in reports.as_html(data)
+    assert "bad@0" in reports.console(run) and len(reports.console(run, verbose=True)) > len(reports.console(run))
+    reports.write_sarif_results(run, str(tmp_path / "results"))
+    lines = [json.loads(x) for p in (tmp_path / "results").glob("part-*") for x in p.read_text().splitlines()]
+    assert len(lines) == len(sarif["results"]) and {x["ruleId"] for x in lines} == {x["ruleId"] for x in sarif["results"]}
     view = reports.comparison(run)
     assert view["best"] == "clean@1" and "pass" in reports.comparison_markdown(view) and reports.as_csv(view).startswith("skill,rule_id,severity,count\n")
     with pytest.raises(ValueError, match="skills"):
