@@ -32,7 +32,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    judged = url_rules.judge_urls(pages, url_rules.SITE_RULES + url_rules.WORD_RULES)
+    judged = url_rules.judge_urls(pages, url_rules.SITE_RULES + url_rules.GENERAL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "word_rule")
 
 
@@ -86,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _op3_sql() -> str:
-    words = " ".join(f"WHEN regexp_matches(target, '{r.pattern}') THEN '{r.name}'" for r in sorted(url_rules.WORD_RULES, key=lambda r: r.name))
+    words = " ".join(f"WHEN regexp_matches(target, '{r.pattern}') THEN '{r.name}'" for r in sorted(url_rules.GENERAL_RULES, key=lambda r: (-r.rank, r.name)))
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     return f"""
 WITH cut AS (

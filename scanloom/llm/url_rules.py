@@ -4,14 +4,17 @@ A rule is a regular expression with the literal tokens that every URL it
 matches must contain.  The rarest of them, by counts over all URLs, is the
 rule's key.  A URL's own tokens fetch the rules kept under them, and only these
 candidates run their expression.  Everything is a DataFrame expression: the
-rule set is a constant of the plan, each URL is one row throughout, and the only
+rules lie in hash buckets of one constant array, so a token is looked up in one
+step however many rules there are; each URL is one row throughout, and the only
 shuffle is the count of the rules' own tokens.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +50,21 @@ def host_word_rule(action: str, words: str, rank: int = 1) -> UrlRule:
     return UrlRule(f"host:{words}", action, f"^(?:[^/]*[.-])?{re.escape(words)}[.-]", tuple(re.findall(TOKEN, words)), rank)
 
 
+def wildcard_rule(action: str, text: str, rank: int = 2) -> UrlRule:
+    """Text anywhere in host and path, ``*`` for any characters; ``|`` at either end holds it there.
+
+    Tokens are the runs that other characters of the text close off on both
+    sides, so that they stand whole in the URL too.
+    """
+    plain = text.removeprefix("|").removesuffix("|")
+    body = ".*".join(map(re.escape, plain.split("*")))
+    edge = "|" if text.startswith("|") else "", "|" if text.endswith("|") else ""
+    tokens = re.findall(rf"(?<=[^a-z0-9*]){TOKEN}(?=[^a-z0-9*])", f"{edge[0]}{plain}{edge[1]}")
+    if not tokens:
+        raise ValueError(f"no whole token in {text}")
+    return UrlRule(f"url:{text}", action, ("^" if edge[0] else "") + body + (r"$" if edge[1] else ""), tuple(tokens), rank)
+
+
 #: The listed rules of the query, then the general ones that judge what no listed rule fits.
 SITE_RULES = (
     site_rule("block", "net", "/"),
@@ -58,6 +76,14 @@ WORD_RULES = tuple(
     host_word_rule("block", w)
     for w in ("adult", "ads-track", "bets", "betting", "casino", "cheap-pills", "escort", "lottery", "malware", "phishing", "porn", "poker", "spam", "tracker", "viagra", "warez", "xxx")
 )
+WILDCARD_RULES = tuple(
+    wildcard_rule("block", t)
+    for t in (
+        "/ads/*/banner/", "/ads/*.gif|", ".ads.", "/affiliate/*/click/", "/banner/*/popup/", "/click/*/redirect/", "-download-*/crack/", "/free/*/download/", "/pixel/*.gif|", "/popup/", "/promo/*/click/", "/redirect/*-offer-",
+        "/sponsored/", ".tracking.*/pixel/", "/win/*/prize/", "|cdn.*/ads/", "|www.*/affiliate/*-offer-",
+    )
+)
+GENERAL_RULES = WORD_RULES + WILDCARD_RULES
 
 
 def lower_ascii(c: Column) -> Column:
@@ -75,9 +101,21 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def token_counts(targets: DataFrame, rules: tuple[UrlRule, ...]) -> dict[str, int]:
     """Over all URLs, in how many each of the rules' tokens stands; as many rows as tokens at most."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    found = targets.select(F.explode(F.array_intersect(_tokens(F.col("target")), F.array(*map(F.lit, wanted)))).alias("token"))
-    return {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}
+    wanted = targets.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
+    found = targets.select(F.explode(F.array_distinct(_tokens(F.col("target")))).alias("token"))
+    # the rules' own tokens, fewer than the constant that holds the rules
+    return {r["token"]: r["count"] for r in found.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").count().collect()}
+
+
+def bucketed(index: dict[str, list[UrlRule]]) -> tuple[Column, int]:
+    """The rules under their keys, as an array of buckets by the key's checksum, and the number of buckets."""
+    size = 1 << len(index).bit_length()
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for token, own in sorted(index.items()):
+        held = [{"rank": r.rank, "name": r.name, "action": r.action, "listed": r.listed, "pattern": r.pattern} for r in own]
+        buckets[crc32(token.encode()) % size].append({"token": token, "rules": held})
+    kind = "array<array<struct<token:string,rules:array<struct<rank:int,name:string,action:string,listed:boolean,pattern:string>>>>>"
+    return F.from_json(F.lit(json.dumps(buckets)), kind), size
 
 
 def _tokens(target: Column) -> Column:
@@ -91,8 +129,9 @@ def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...], id_col: str = "page_id
     listed rule, else null), word_rule (the winner among the others, else null),
     verdict, n_candidates int (expressions run).  A null URL or one without
     ``://`` has an empty host and path, fits no rule and gets ``default``.  Ties
-    of rank go to the smaller name; repeated rows and null ids are kept; other
-    columns are not read.
+    of rank go to the smaller name; very long URLs are judged whole; repeated
+    rows and null ids are kept; other columns are not read; an empty table gives
+    none.
     """
     host, path = host_and_path(F.col("url"))
     parts = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
@@ -102,12 +141,13 @@ def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...], id_col: str = "page_id
     for r in rules:
         index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
 
-    def literal(r: UrlRule) -> Column:
-        return F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.listed).alias("listed"), F.lit(r.pattern).alias("pattern"))
+    held, size = bucketed(index)
+
+    def under(token: Column) -> Column:
+        bucket = F.get(held, (F.crc32(token.cast("binary")) % size).cast("int"))
+        return F.flatten(F.transform(F.filter(bucket, lambda e: e["token"] == token), lambda e: e["rules"]))
 
-    held = F.create_map(*[c for t in sorted(index) for c in (F.lit(t), F.array(*map(literal, index[t])))])
-    keys = F.array_intersect(_tokens(F.col("target")), F.array(*map(F.lit, sorted(index))))
-    fetched = F.flatten(F.transform(keys, lambda t: F.element_at(held, t)))
+    fetched = F.flatten(F.transform(F.array_distinct(_tokens(F.col("target"))), under))
     best = lambda listed: F.array_sort(
         F.filter("fits", lambda r: r["listed"] == listed),
         lambda a, b: F.when(a["rank"] > b["rank"], -1).when(a["rank"] < b["rank"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0),

@@ -223,6 +223,26 @@ def test_url_rules_equal_plain_judgement(spark):
     assert url_rules.judge_urls(rows.limit(0), url_rules.SITE_RULES).count() == 0
 
 
+def test_wildcard_rules_equal_running_all_of_them(spark):
+    rng = random.Random(8)
+    pieces = ["ads", "banner", "cdn", "www", "x.gif", "popup", "click", "affiliate", "free", "download", "win", "prize", "big-offer-now", "redirect", "a", "adsx", "my-download-now", "crack", "pixel", "a.tracking.b"]
+    urls = [f"http://{rng.choice(pieces)}.{rng.choice(pieces)}.test/" + "/".join(rng.choice(pieces) for _ in range(rng.randrange(6))) + rng.choice(["", "/", "?q=/ads/1/banner/"]) for _ in range(400)]
+    rules = url_rules.SITE_RULES + url_rules.GENERAL_RULES
+    got = {r["page_id"]: r for r in url_rules.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    seen = set()
+    for i, u in enumerate(urls):
+        target = u.split("://", 1)[1].split("?")[0]
+        fits = [r for r in url_rules.GENERAL_RULES if re.search(r.pattern, target)]
+        best = min(fits, key=lambda r: (-r.rank, r.name)) if fits else None
+        assert got[i]["word_rule"] == (best and best.name), u
+        assert len(fits) <= got[i]["n_candidates"] < len(rules) / 2
+        seen |= {r.name for r in fits}
+    assert len(seen) > 5
+    many = tuple(url_rules.wildcard_rule("block", f"/only{k}/*/x/") for k in range(3000))
+    one = spark.createDataFrame([(1, "http://h/only77/b/x/"), (2, "http://h/x/"), (3, None)], "page_id long, url string")
+    assert {r["page_id"]: r["word_rule"] for r in url_rules.judge_urls(one, many).collect()} == {1: "url:/only77/*/x/", 2: None, 3: None}
+
+
 # ---- 4
 
 
