@@ -187,8 +187,11 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     Returns a row per input row: doc_id, n_tokens long, ids binary (little-endian
     unsigned 32-bit), decoded string.  A null or empty text has no ids and
-    decodes to the empty text; repeated rows, ties and rows with a null id are
-    kept as they are; other columns of the input are not read.
+    decodes to the empty text.  Texts of any length are encoded whole; of merges
+    of equal rank the leftmost comes first, and words of more than SCAN_LIMIT
+    parts take a heap in the place of the scan, with the same result.  Repeated
+    rows and rows with a null id are kept; other columns of the input are not
+    read; an empty table gives none.
     """
     bounded_batches(df.sparkSession)
 

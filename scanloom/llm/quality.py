@@ -30,6 +30,8 @@ GRADES = 3
 KEEP_BEST = 0.995
 #: Parts of the sample, each judged by a fit on the others; and how far below their quantile the cut is set.
 FOLDS, MARGIN = 5, 0.9
+#: Words whose buckets a worker keeps, in each of two generations.
+WORDS_HELD = 100_000
 _SHAPE = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"9"))
 _EDGES = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
@@ -39,28 +41,29 @@ def rating(quality: Column, toxic: Column) -> Column:
     return F.when(quality.isNull() | toxic.isNull(), None).when(toxic == 1, 0).when(quality == 1, 2).otherwise(1)
 
 
-def _word_features(word: bytes) -> tuple[int, int]:
-    """Buckets of the bare word and of its shape (case, digits, punctuation)."""
+def _word_features(word: bytes) -> int:
+    """Buckets of the bare word and of its shape (case, digits, punctuation), in one number."""
     shape = word
     for pattern, mark in _SHAPE:
         shape = pattern.sub(mark, shape)
-    return crc32(b"w" + word.strip(_EDGES).lower()) >> 32 - BITS, crc32(b"s" + shape) >> 32 - BITS
+    return crc32(b"w" + word.strip(_EDGES).lower()) >> 32 - BITS << BITS | crc32(b"s" + shape) >> 32 - BITS
 
 
 class Features:
     """Sparse features of whole texts; keeps the buckets of words it has seen."""
 
     def __init__(self):
-        self.words = BoundedCache(_word_features)
+        self.words = BoundedCache(_word_features, WORDS_HELD)
 
     def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         words = text.split() if text else []
         if not words:
             return np.zeros(1, np.int32), np.ones(1, np.float32)
-        pairs = np.array([*map(self.words.__getitem__, words)], np.int32)
-        buckets, counts = np.unique(pairs, return_counts=True)
+        both = np.array([*map(self.words.__getitem__, words)], np.int64)
+        bare = (both >> BITS).astype(np.int32)
+        buckets, counts = np.unique(np.concatenate([bare, (both & (1 << BITS) - 1).astype(np.int32)]), return_counts=True)
         types = min(9, 10 * len(set(words)) // len(words)) + 10 * min(4, len(words).bit_length() // 3)
-        twice = min(9, 10 * int((pairs[1:, 0] == pairs[:-1, 0]).sum()) // len(words))
+        twice = min(9, 10 * int((bare[1:] == bare[:-1]).sum()) // len(words))
         extra = [crc32(b"t%d" % types) >> 32 - BITS, crc32(b"r%d" % twice) >> 32 - BITS]
         return np.append(buckets, np.array(extra, np.int32)), np.append(np.sqrt(counts / len(words)), [0.3, 0.3]).astype(np.float32)
 

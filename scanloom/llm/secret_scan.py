@@ -179,8 +179,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_ro
     spans string (``kind:start:end`` by start, then kind; characters, end
     exclusive; base patterns alone, and with the entropy spans), redacted string.
     A null text counts as empty and has no spans; its redacted text is null.
-    ``whole_rows`` adds the input row as a struct ``row``.  Repeated rows and null
-    ids are kept; other columns are not read.
+    Spans of one start stand in the order of their kinds, of one kind the shorter
+    first; overlapping ones are redacted as one.  Texts and runs of any length
+    are scanned whole, windows move on by one character.  ``whole_rows`` adds the
+    input row as a struct ``row``.  Repeated rows and null ids are kept; other
+    columns are not read; an empty table gives none.
     """
     bounded_batches(df.sparkSession)
 
