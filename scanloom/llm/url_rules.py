@@ -101,7 +101,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def token_counts(targets: DataFrame, rules: tuple[UrlRule, ...]) -> dict[str, int]:
     """Over all URLs, in how many each of the rules' tokens stands; as many rows as tokens at most."""
-    wanted = targets.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
+    own = json.dumps(sorted({t for r in rules for t in r.tokens}))
+    wanted = targets.sparkSession.range(1).select(F.explode(F.from_json(F.lit(own), "array<string>")).alias("token"))
     found = targets.select(F.explode(F.array_distinct(_tokens(F.col("target")))).alias("token"))
     # the rules' own tokens, fewer than the constant that holds the rules
     return {r["token"]: r["count"] for r in found.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").count().collect()}
