@@ -16,6 +16,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from sys import getsizeof
 
 import pyarrow as pa
 import regex
@@ -27,8 +28,8 @@ from scanloom.llm.text import id_and_text
 
 #: Above this many parts a word is merged through a heap; repeated scans would be quadratic.
 SCAN_LIMIT = 256
-#: Words in a generation of a worker's cache.
-CACHE_WORDS = 200_000
+#: Bytes of a worker's cache, its longest key in characters, and what an entry takes besides key and value.
+CACHE_BYTES, LONGEST_KEPT, ENTRY_BYTES = 64 << 20, 64, 100
 NO_RANK = 1 << 30
 
 # White space as the tokenizer's regular expressions define it.
@@ -45,23 +46,29 @@ def byte_symbols() -> list[str]:
 
 
 class BoundedCache(dict):
-    """Values computed on first use, in two generations of ``limit`` words at most.
+    """Values computed on first use, in two generations that hold ``limit`` bytes at most, both together.
 
     When the newer generation is full it becomes the older one; a word found
-    there moves on, so that frequent words stay.
+    there moves on, so that frequent words stay.  Keys and values are measured,
+    and texts and bytes longer than LONGEST_KEPT are never kept: text without
+    spaces would fill the cache with whole sentences that do not come again.
     """
 
-    def __init__(self, compute, limit: int = CACHE_WORDS):
+    def __init__(self, compute, limit: int = CACHE_BYTES):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.old, self.held = compute, limit // 2, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = self.copy()
-            self.clear()
         value = self.old.get(key, self)
         if value is self:
             value = self.compute(key)
+        if isinstance(key, (str, bytes)) and len(key) > LONGEST_KEPT:
+            return value
+        self.held += getsizeof(key) + getsizeof(value) + ENTRY_BYTES
+        if self.held > self.limit:
+            self.old = self.copy()
+            self.clear()
+            self.held = 0
         self[key] = value
         return value
 

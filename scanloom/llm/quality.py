@@ -30,8 +30,8 @@ GRADES = 3
 KEEP_BEST = 0.995
 #: Parts of the sample, each judged by a fit on the others; and how far below their quantile the cut is set.
 FOLDS, MARGIN = 5, 0.9
-#: Words whose buckets a worker keeps, in each of two generations.
-WORDS_HELD = 100_000
+#: Bytes of the words whose buckets a worker keeps.
+WORDS_BYTES = 32 << 20
 _SHAPE = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"9"))
 _EDGES = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
@@ -53,7 +53,7 @@ class Features:
     """Sparse features of whole texts; keeps the buckets of words it has seen."""
 
     def __init__(self):
-        self.words = BoundedCache(_word_features, WORDS_HELD)
+        self.words = BoundedCache(_word_features, WORDS_BYTES)
 
     def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         words = text.split() if text else []

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, decontaminate, language_id, lattice_lm, multi_index, ngram_join, quality, secret_scan, token_counts, url_rules
+from scanloom.llm import bpe, decontaminate, language_id, lattice_lm, multi_index, ngram_join, quality, secret_scan, token_counts, token_files, url_rules
+from scanloom.llm.storage import Stash
 from scanloom.llm.text import residue
 
 #: Tokens above which a text is over the limit.
 TOKEN_LIMIT = 2048
+#: The token that ends each document in token files.
+END_ID = 2
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -70,6 +73,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Stash(spark, 'tokens').root}/files"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    token_files.write_tokens(token_files.encode_in_order(docs, tokenizer_path("byte_bpe_50k.json"), END_ID), path)
+    return token_files.with_crc32(token_files.TokenFiles(spark, path).tokens())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -82,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scores": op8_lm_scores,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_token_counts": op10_token_counts,
+        "op11_token_files": op11_token_files,
     }
 
 
