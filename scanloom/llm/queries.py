@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, decontaminate, language_id, lattice_lm, multi_index, ngram_join, quality, secret_scan, token_counts, token_files, url_rules
+from scanloom.llm import bpe, decontaminate, language_id, lattice_lm, multi_index, ngram_join, periodic_runs, quality, secret_scan, token_counts, token_files, url_rules
 from scanloom.llm.storage import Stash
 from scanloom.llm.text import residue
 
@@ -80,6 +80,30 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.TokenFiles(spark, path).tokens())
 
 
+def looped(doc_id: Column, text: Column) -> Column:
+    """The text with a period from some word on, for a tenth of the ids."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def again(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        places = F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))
+        return F.array_join(F.transform(places, lambda i: words[F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")]), " ")
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # an array of the one array, so that the words are cut once
+    rewritten = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, again(w)))[0]
+    return F.when(h % 10 == 0, rewritten).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    looping = docs.select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.with_digests(periodic_runs.find_runs(looping))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -93,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_token_counts": op10_token_counts,
         "op11_token_files": op11_token_files,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
