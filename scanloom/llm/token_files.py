@@ -13,7 +13,7 @@ import json
 import re
 import zlib
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,36 @@ from scanloom.llm.text import id_and_text
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS, READ_ROWS = 32 << 20, 256 << 10, 512, 256
 #: Bytes of the cache of chunks, and characters of chunks that are encoded as ranks.
 CHUNK_BYTES, SHORT = 160 << 20, 256
+#: Marks that words are cut from.
+MARKS = frozenset(".,;:!?")
 # The tokenizer's pattern of words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 META = "doc_id", "shard", "shard_start", "n_tokens"
 
 
+class Chunks(BoundedCache):
+    """Token ids of chunks.  A mark after a letter and a line's end between two words are no part of what is kept:
+    the pattern cuts there, so the chunk is put together from its words."""
+
+    def __init__(self, compute, limit: int, within: Chunks | None = None):
+        super().__init__(compute, limit)
+        #: Of what follows a line's end: no space stands before it.
+        self.within = self if within is None else within
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk[-1:] in MARKS and chunk[-2:-1].isalpha():
+            return self[chunk[:-1]] + self.within[chunk[-1]]
+        if "\n" in chunk and not chunk.isspace():
+            first, *others = chunk.split()
+            if chunk.split("\n") == [first, *others]:
+                return self.within.ends.join([self[first], *map(self.within.__getitem__, others)])
+        return super().__missing__(chunk)
+
+    @cached_property
+    def ends(self) -> bytes:
+        return super().__missing__("\n")
+
+
 class ChunkEncoder:
     """The library's encoding of whole texts, put together from chunks that come again.
 
@@ -61,8 +86,8 @@ class ChunkEncoder:
         # a space within a run of white space, other than the last one before a word
         self.inner_space = re.compile(f"(?<=[{SPACE}]) (?:[{SPACE}]|$(?!\n))").search
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self.plain = BoundedCache(self.chunk)
-        self.spaced = BoundedCache(lambda chunk: self.chunk(" " + chunk), CHUNK_BYTES)
+        self.plain = Chunks(self.chunk, CHUNK_BYTES // 4)
+        self.spaced = Chunks(lambda chunk: self.chunk(" " + chunk), CHUNK_BYTES, self.plain)
 
     def chunk(self, chunk: str) -> bytes:
         return array("I", (self.short if len(chunk) <= SHORT else self.library)(chunk)).tobytes()
