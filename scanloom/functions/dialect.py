@@ -45,18 +45,6 @@ def python_pattern(pattern: str, flags: str = "") -> re.Pattern:
     return re.compile(_translate(pattern, SPACES, end, "\\"), re.A | sum(_FLAGS[f] for f in flags))
 
 
-def jvm_gate(pattern: str, flags: str = "") -> str:
-    """An expression for the JVM that matches wherever the original one does, and perhaps more.
-
-    Word borders differ between the dialects on non-ASCII text, so they are left
-    out, and with them whatever only narrows a match.
-    """
-    loose = re.sub(r"\(\?<?[!=](?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)", "", pattern).replace(r"\b", "")
-    loose = _translate(loose, SPACES.replace(r"\v", r"\x0B"), r"\z" if "m" not in flags else "$", "\\")
-    own = "".join(f for f in flags if f in "ism")
-    return f"(?{own}){loose}" if own else loose
-
-
 _BEFORE, _AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _BORDER = rf"(?:(?<=[A-Za-z0-9_]){_AFTER}|{_BEFORE}(?=[A-Za-z0-9_]))"
 

@@ -1,9 +1,9 @@
 """Detectors over files, as declarations.
 
 A detector has an expression to find, predicates on what stands around a match,
-and the file extensions that it reads.  The JVM first tells which files can
-match which expressions at all; only those files go to Python, where offsets,
-lines and comments are worked out, in one pass over a file for all detectors.
+and the file extensions that it reads.  An automaton over the strings that the
+expressions need tells which of them can match a file at all; these are run, and
+offsets, lines and comments are worked out, in one pass over a file for all.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.functions.dialect import jvm_gate, python_pattern
+from scanloom.functions.dialect import python_pattern
+from scanloom.functions.literals import Prefilter
 from scanloom.functions.source import Source
 from scanloom.packaging import ready_for_python
 
@@ -84,8 +85,9 @@ class Detector:
             if self.strictly_first:
                 return
 
-    def gate(self) -> Column:
-        return F.col("content").rlike(jvm_gate(self.pattern, self.flags))
+    @property
+    def needed(self) -> re.Pattern:
+        return self.found
 
 
 @dataclass(frozen=True)
@@ -107,13 +109,9 @@ class FileCheck:
     def hits(self, src: Source) -> Iterable[Hit]:
         return self.check(src)
 
-    def gate(self) -> Column:
-        tests = [F.col("content").rlike(jvm_gate(self.needs, self.flags))] if self.needs else []
-        tests += [F.col("rel_path").rlike(self.path)] if self.path else []
-        out = F.lit(True)
-        for t in tests:
-            out = out & t
-        return out
+    @property
+    def needed(self) -> re.Pattern | None:
+        return python_pattern(self.needs, self.flags) if self.needs else None
 
 
 # ---- predicates
@@ -159,6 +157,36 @@ def with_extension(files: DataFrame) -> DataFrame:
     return files.withColumn("ext", F.lower(F.substring_index("rel_path", ".", -1)))
 
 
+class Scanner:
+    """Runs detectors on files, those alone that can find something there.
+
+    tests: further expressions that ``holds`` answers for, by their numbers.
+    """
+
+    def __init__(self, detectors: list[Detector | FileCheck], tests: list[re.Pattern] = ()):
+        self.detectors, self.tests = detectors, list(tests)
+        self.filter = Prefilter([*self.tests, *(d.needed for d in detectors)])
+        self.paths = {k: re.compile(d.path.replace(r"\z", r"\Z")).search for k, d in enumerate(detectors) if isinstance(d, FileCheck) and d.path}
+        self.read: dict[str, list[int]] = {}
+
+    def may_match(self, src: Source) -> set[int]:
+        """Numbers of the tests, then of the detectors, that can match."""
+        return self.filter.may_match(src.content)
+
+    def holds(self, test: int, src: Source, may: set[int]) -> bool:
+        return test in may and bool(self.tests[test].search(src.content))
+
+    def hits(self, src: Source, may: set[int]) -> Iterator[tuple[int, Hit]]:
+        """Hits with the numbers of their detectors."""
+        if src.ext not in self.read:
+            self.read[src.ext] = [k for k, d in enumerate(self.detectors) if d.reads(src.ext)]
+        first = len(self.tests)
+        for k in self.read[src.ext]:
+            if first + k in may and (k not in self.paths or self.paths[k](src.path)):
+                for h in found_by(self.detectors[k], src):
+                    yield k, h
+
+
 def scan_files(files: DataFrame, detectors: list[Detector | FileCheck]) -> DataFrame:
     """Runs detectors over (skill_id, file_ord, rel_path, content); returns rows of HIT_SCHEMA.
 
@@ -167,31 +195,19 @@ def scan_files(files: DataFrame, detectors: list[Detector | FileCheck]) -> DataF
     that raises on a file gives a hit of its own there (see found_by).
     """
     ready_for_python(files.sparkSession)
-    numbered = list(enumerate(detectors))
-
-    def may_match(k: int, d: Detector | FileCheck) -> Column:
-        test = d.gate()
-        if d.extensions is not None:
-            test = F.col("ext").isin(*sorted(d.extensions)) & test
-        return F.when(test, F.lit(k))
-
-    read = with_extension(files.filter(F.col("content").isNotNull() & F.col("rel_path").isNotNull()).select("skill_id", "file_ord", "rel_path", "content"))
-    # detectors are tested in groups, so that no generated method grows too large
-    groups = [numbered[i : i + 20] for i in range(0, len(numbered), 20)]
-    gated = read.withColumn("may", F.array_compact(F.concat(*[F.array(*[may_match(k, d) for k, d in g]) for g in groups])))
-    gated = gated.filter(F.size("may") > 0).select("skill_id", "file_ord", "rel_path", "content", "may")
+    read = files.filter(F.col("content").isNotNull() & F.col("rel_path").isNotNull()).select("skill_id", "file_ord", "rel_path", "content")
 
     def run(batches):
+        scanner = Scanner(detectors)
         for batch in batches:
             rows = []
-            for skill, at, path, content, may in zip(*(batch.column(c).to_pylist() for c in ("skill_id", "file_ord", "rel_path", "content", "may"))):
+            for skill, at, path, content in zip(*(batch.column(c).to_pylist() for c in ("skill_id", "file_ord", "rel_path", "content"))):
                 src = Source(path, content)
-                for k in may:
-                    for h in found_by(detectors[k], src):
-                        rows.append((skill, h.detector, h.suffix, h.severity, h.title, path, h.line, h.evidence, at, k * 100 + h.pattern_ord, h.at))
+                for k, h in scanner.hits(src, scanner.may_match(src)):
+                    rows.append((skill, h.detector, h.suffix, h.severity, h.title, path, h.line, h.evidence, at, k * 100 + h.pattern_ord, h.at))
             yield _table(rows)
 
-    return gated.mapInArrow(run, HIT_SCHEMA)
+    return read.mapInArrow(run, HIT_SCHEMA)
 
 
 def found_by(detector: Detector | FileCheck, src: Source) -> list[Hit]:

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.dims import RULES, WEB3_RULES, rule_dim, severity_dim
 from scanloom.operators import base_rules, web3_rules
-from scanloom.operators.detectors import FAILED, FAILED_CATEGORY, FAILED_RULE, Detector, FileCheck, scan_files
+from scanloom.operators.contents import hits_of, read_contents
+from scanloom.operators.detectors import FAILED, FAILED_CATEGORY, FAILED_RULE, Detector, FileCheck
 from scanloom.operators.manifest_rules import dependencies, dependency_findings, manifest_findings
 from scanloom.operators.skill_rules import decided_hits, skill_facts, skill_findings
 
 #: Columns of a finding.
-FINDING = (
-    "skill_id id rule severity category title rel_path line evidence cve owasp_id severity_rank weight file_ord pattern_ord at detector suffix".split()
-)
+FINDING = [
+    "skill_id", "id", "rule", "severity", "category", "title", "rel_path", "line", "evidence", "cve", "owasp_id", "severity_rank", "weight", "file_ord", "pattern_ord", "at", "detector", "suffix",
+]
 Plugin = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -27,6 +28,11 @@ def detectors(web3: bool) -> list[Detector | FileCheck]:
     return [*base_rules.file_detectors(), *(web3_rules.file_detectors() if web3 else [])]
 
 
+def file_detectors(web3: bool, extra: list[Detector | FileCheck] = ()) -> list[Detector | FileCheck]:
+    """What runs on files: the rules' detectors and a caller's own."""
+    return [*detectors(web3), *extra]
+
+
 def introspect(web3: bool = True) -> list[dict]:
     """What an audit runs: rules in running order with category, risk id and the ids of their file detectors."""
     held = detectors(web3)
@@ -37,22 +43,24 @@ def rule_names(web3: bool = True) -> list[str]:
     return [r for r, _, _ in RULES if web3 or r not in WEB3_RULES]
 
 
-def raw_findings(skills: DataFrame, files: DataFrame, web3: bool = True, as_of: Column | None = None, extra: list[Detector | FileCheck] = (), facts: DataFrame | None = None) -> DataFrame:
+def raw_findings(skills: DataFrame, files: DataFrame, web3: bool = True, as_of: Column | None = None, extra: list[Detector | FileCheck] = (), facts: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
     """Findings of all rules, before they are stamped.
 
     skills (skill_id, manifest), files (skill_id, file_ord, rel_path, content).
     as_of: epoch seconds that session keys are judged by.  facts: skill_facts of
-    the files, where the caller holds them; they are used three times.
+    the files, where the caller holds them; they are used three times.  read: the
+    files after ``read_contents`` with ``file_detectors(web3, extra)``.
     """
     as_of = F.unix_timestamp() if as_of is None else as_of
-    chosen = [*detectors(web3), *extra]
+    chosen = file_detectors(web3, extra)
+    read = read_contents(files, chosen) if read is None else read
     rule_of = {d.id: d.rule for d in chosen} | {h: r for h, r in (("PERM-ESC", "permissions"), ("PERM-SYS", "permissions"), ("SC-SSL", "supply-chain"), ("SC-AUTH", "supply-chain"))}
     if web3:
         rule_of |= {"W05-002": "web3-rpc-substitution", "W05-011": "web3-rpc-substitution", "W09-011": "web3-session-key-erosion", "W11-002": "web3-key-material-leak", "W11-003": "web3-key-material-leak"}
     table = F.create_map(*[F.lit(x) for pair in rule_of.items() for x in pair])
-    facts = skill_facts(files) if facts is None else facts
+    facts = skill_facts(read) if facts is None else facts
     rule = F.when(F.col("detector").startswith(FAILED), FAILED_RULE).otherwise(F.try_element_at(table, F.col("detector")))
-    hits = decided_hits(scan_files(files, chosen), skills, facts).withColumn("rule", rule)
+    hits = decided_hits(hits_of(read), skills, facts).withColumn("rule", rule)
     whole = skill_findings(skills, facts)
     manifest = manifest_findings(skills, as_of)
     if not web3:
@@ -101,13 +109,14 @@ def findings(
     extra: list[Detector | FileCheck] = (),
     plugins: list[tuple[str, Plugin]] = (),
     facts: DataFrame | None = None,
+    read: DataFrame | None = None,
 ) -> DataFrame:
     """All findings; plugins add rows of FINDING as they are (not stamped, not skipped).
 
     A plugin that raises, or whose rows don't fit, is passed over with a warning;
     what its own functions raise later, in tasks, is not caught.
     """
-    out = stamped(raw_findings(skills, files, web3, as_of, extra, facts), categories, skip_rules)
+    out = stamped(raw_findings(skills, files, web3, as_of, extra, facts, read), categories, skip_rules)
     for name, plugin in plugins:
         try:
             joined = out.unionByName(plugin(skills, files), allowMissingColumns=True)

@@ -1,7 +1,7 @@
 """Quality metrics of skills: complexity, lines, documentation, dependencies, maintenance.
 
-Each file gives a row of counts by expressions alone; a skill's metrics come
-from one aggregation of these rows.
+Each file gives a row of counts in the one pass over contents; a skill's metrics
+come from one aggregation of these rows.
 """
 
 from __future__ import annotations
@@ -10,30 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions.dialect import jvm_exact
+from scanloom.operators.contents import marked, passed
+from scanloom.operators.measures import BRANCH_WEIGHTS, LICENSE_NAMES
 from scanloom.operators.scoring import half_up, two_places
 
-# Branch kinds with weights; expressions by language, and what is subtracted.
-BRANCH_WEIGHTS = {
-    "if": 1.0, "else": 1.0, "else if": 1.0, "elif": 1.0, "switch": 1.0, "case": 0.5, "for": 2.0, "while": 2.0, "do-while": 2.0, "catch": 1.0, "ternary": 0.5,
-    "logical-and": 0.3, "logical-or": 0.3, "nullish-coalesce": 0.2, "optional-chain": 0.1, "try": 0.5, "finally": 0.5, "for-in": 1.5, "for-of": 1.5,
-}
-JS_BRANCHES = {
-    "if": r"\bif\s*\(", "else if": r"\belse\s+if\s*\(", "else": r"\belse\s*\{", "switch": r"\bswitch\s*\(", "case": r"\bcase\s+", "for": r"\bfor\s*\(",
-    "for-in": r"\bfor\s*\([^)]*\bin\b", "for-of": r"\bfor\s*\([^)]*\bof\b", "while": r"\bwhile\s*\(", "do-while": r"\bdo\s*\{", "try": r"\btry\s*\{",
-    "catch": r"\bcatch\s*[\({]", "finally": r"\bfinally\s*\{", "ternary": r"[^?]\?[^?.?]", "logical-and": r"&&", "logical-or": r"\|\|",
-    "nullish-coalesce": r"\?\?", "optional-chain": r"\?\.",
-}
-JS_LESS = {"if": ["else if"], "for": ["for-in", "for-of"], "while": ["do-while"]}
-PYTHON_BRANCHES = {
-    "if": r"\bif\s+", "elif": r"\belif\s+", "else": r"\belse\s*:", "for": r"\bfor\s+\w+\s+in\b", "while": r"\bwhile\s+", "try": r"\btry\s*:",
-    "catch": r"\bexcept\s*", "finally": r"\bfinally\s*:", "ternary": r"\S+\s+if\s+\S+\s+else\s+", "logical-and": r"\band\b", "logical-or": r"\bor\b",
-}
-JS_STRIPS = [(r"(?s)/\*.*?\*/", ""), (r"//[^\n]*", ""), (r"`(?:[^`\\]|\\.)*`", '""'), (r'"(?:[^"\\]|\\.)*"', '""'), (r"'(?:[^'\\]|\\.)*'", "''")]
-PYTHON_STRIPS = [(r'(?s)""".*?"""', '""'), (r"(?s)'''.*?'''", "''"), (r"#[^\n]*", ""), (r'"(?:[^"\\]|\\.)*"', '""'), (r"'(?:[^'\\]|\\.)*'", "''")]
-JSDOC = r"(?s)/\*\*.*?\*/"
-JS_FUNCTION = r"\b(?:function|class|const\s+\w+\s*=\s*(?:async\s+)?(?:\([^)]*\)|[a-zA-Z_]\w*)\s*=>|(?:async\s+)?(?:get|set|static)?\s*(?:[a-zA-Z_]\w*)\s*\([^)]*\)\s*[:{])"
-DOCSTRING = r'''(?s)(?:def|class)\s+\w+[^:]*:\s*\n\s*(?:""".*?"""|\'\'\'.*?\'\'\')'''
-PYTHON_FUNCTION = r"\b(?:def|class)\s+"
+# Names of files.
 TEST_FILES = [
     r"\.test\.[jt]sx?$", r"\.spec\.[jt]sx?$", r"_test\.[jt]sx?$", r"test_.*\.py$", r".*_test\.py$", r"\.test\.py$", r"tests?\/.*\.[jt]sx?$", r"tests?\/.*\.py$",
     r"__tests__\/", r"\.stories\.[jt]sx?$",
@@ -42,123 +23,47 @@ CI_FILES = [
     (".github/workflows", "GitHub Actions"), (".gitlab-ci.yml", "GitLab CI"), (".circleci/config.yml", "CircleCI"), ("Jenkinsfile", "Jenkins"), (".travis.yml", "Travis CI"),
     ("azure-pipelines.yml", "Azure Pipelines"), ("bitbucket-pipelines.yml", "Bitbucket Pipelines"), (".buildkite", "Buildkite"), (".drone.yml", "Drone CI"), ("turbo.json", "Turborepo"),
 ]
-LINTERS = (
-    ".eslintrc .eslintrc.js .eslintrc.cjs .eslintrc.json .eslintrc.yml eslint.config.js eslint.config.mjs eslint.config.cjs .pylintrc pyproject.toml .flake8 .ruff.toml ruff.toml deno.json"
-).split()
-FORMATTERS = (
-    ".prettierrc .prettierrc.js .prettierrc.cjs .prettierrc.json .prettierrc.yml .prettierrc.toml prettier.config.js prettier.config.cjs .editorconfig deno.json .clang-format rustfmt.toml"
-).split()
-LICENSE_NAMES = "license license.md license.txt licence licence.md licence.txt copying copying.md".split()
-LICENSES = [
-    (r"MIT\s+License", "MIT"), (r"Apache\s+License.*2\.0", "Apache-2.0"), (r"GNU\s+General\s+Public\s+License", "GPL"), (r"BSD\s+[23]-Clause", "BSD"),
-    (r"ISC\s+License", "ISC"), (r"Mozilla\s+Public\s+License", "MPL"), (r"The\s+Unlicense", "Unlicense"), (r"Creative\s+Commons", "CC"),
+LINTERS = [
+    ".eslintrc", ".eslintrc.js", ".eslintrc.cjs", ".eslintrc.json", ".eslintrc.yml", "eslint.config.js", "eslint.config.mjs", "eslint.config.cjs", ".pylintrc", "pyproject.toml", ".flake8", ".ruff.toml", "ruff.toml", "deno.json",
+]
+FORMATTERS = [
+    ".prettierrc", ".prettierrc.js", ".prettierrc.cjs", ".prettierrc.json", ".prettierrc.yml", ".prettierrc.toml", "prettier.config.js", "prettier.config.cjs", ".editorconfig", "deno.json", ".clang-format", "rustfmt.toml",
 ]
 LOCKFILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "bun.lock", "Pipfile.lock", "poetry.lock", "requirements.txt"]
 SOURCE_EXTENSIONS = "ts tsx js jsx mjs cjs py rb rs go java kt swift c cpp h hpp".split()
-JS_DOC_TYPES = r"@type\s*\{|@param\s*\{|@returns?\s*\{"
-PYTHON_TYPES = r":\s*(?:str|int|float|bool|list|dict|tuple|Optional|Union|List|Dict)"
 POINTS = {"tests": 25, "ci": 20, "types": 20, "license": 15, "linter": 10, "formatter": 5, "gitignore": 5}
-README_SHORT, README_GOOD = 100, 1000
 TEXT_SHARES = {"readme": 0.35, "comments": 0.30, "docstrings": 0.35}
 
-JS = ["javascript", "typescript"]
-
-
-def language_kind(language: Column) -> Column:
-    return F.when(F.lower(language).isin(*JS, "js", "ts", "jsx", "tsx"), "js").when(F.lower(language).isin("python", "py"), "python").otherwise("unknown")
-
-
-def _stripped(content: Column, strips: list[tuple[str, str]]) -> Column:
-    for pattern, text in strips:
-        content = F.regexp_replace(content, pattern, text)
-    return content
-
-
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(jvm_exact(pattern)))
-
-
-def branch_counts(content: Column, kind: str) -> Column:
-    """struct of the branches of each kind in source text without its strings and comments, which is made once."""
-    table, strips, less = (JS_BRANCHES, JS_STRIPS, JS_LESS) if kind == "js" else (PYTHON_BRANCHES, PYTHON_STRIPS, {})
-
-    def counted(text: Column) -> Column:
-        raw = {k: _count(text, p) for k, p in table.items()}
-        only = lambda k: F.greatest(F.lit(0), sum((-raw[other] for other in less[k]), raw[k])) if k in less else raw[k]
-        return F.struct(*[only(k).alias(k) for k in table])
-
-    return F.transform(F.array(_stripped(content, strips)), counted)[0]
-
-
-def line_counts(content: Column, kind: Column) -> Column:
-    """struct(code, comments, lines): non-blank lines; block comments are followed from line to line."""
-    start = F.struct(*[F.lit(0).alias(k) for k in ("code", "comments", "lines")], F.lit(False).alias("inside"))
-
-    def step(acc: Column, raw: Column) -> Column:
-        line = F.regexp_replace(raw, r"^[\s\x{feff}]+|[\s\x{feff}]+$", "")
-        python = kind == "python"
-        opens = ~python & ~acc["inside"] & line.startswith("/*")
-        closes = line.contains("*/")
-        comment = F.when(python, line.startswith("#")).otherwise(acc["inside"] | opens | line.startswith("//"))
-        one = F.when(line == "", 0).otherwise(1)
-        return F.struct(
-            (acc["code"] + F.when(comment, 0).otherwise(one)).alias("code"),
-            (acc["comments"] + F.when(comment, one).otherwise(0)).alias("comments"),
-            (acc["lines"] + one).alias("lines"),
-            ((acc["inside"] | opens) & ~closes & (line != "") | acc["inside"] & (line == "")).alias("inside"),
-        )
-
-    return F.aggregate(F.split(content, "\n"), start, step)
-
 
 def file_metrics(files: DataFrame) -> DataFrame:
-    """One row per file with its counts; contents end here."""
-    f = files.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("kind", language_kind(F.coalesce("language", F.lit("unknown"))))
-    content, path, kind = F.col("content"), F.col("rel_path"), F.col("kind")
+    """One row per file with its counts.
+
+    files: as for ``read_contents``, or what that returns.
+    """
+    f = passed(files)
+    path, m = F.col("rel_path"), lambda name: F.col(f"measured.{name}")
     base, low, ext = F.substring_index(path, "/", -1), F.lower(path), F.lower(F.substring_index(path, ".", -1))
-    as_map = lambda table, counts: F.map_from_arrays(F.array(*map(F.lit, BRANCH_WEIGHTS)), F.array(*[counts[k] if k in table else F.lit(0) for k in BRANCH_WEIGHTS]))
-    in_kind = lambda table, name: F.transform(F.array(branch_counts(content, name)), lambda c: as_map(table, c))[0]
-    none = F.map_from_arrays(F.array(*map(F.lit, BRANCH_WEIGHTS)), F.array(*[F.lit(0)] * len(BRANCH_WEIGHTS)))
-    branches = F.when(kind == "js", in_kind(JS_BRANCHES, "js")).when(kind == "python", in_kind(PYTHON_BRANCHES, "python")).otherwise(none)
     test = F.lit(False)
     for p in TEST_FILES:
         test = test | path.rlike(jvm_exact(p))
     ci = F.lit(None).cast("int")
     for i, (name, _) in reversed(list(enumerate(CI_FILES))):
         ci = F.when((path == name) | path.startswith(f"{name}/"), i).otherwise(ci)
-    license_ = F.lit(None).cast("string")
-    for p, name in reversed(LICENSES):
-        license_ = F.when(content.rlike(jvm_exact(p, "i")), name).otherwise(license_)
-    json = lambda p: F.get_json_object(content, p)
-    package = path == "package.json"
-    headings = _count_multiline(content, r"^#{1,3}\s+")
-    n = F.length(content)
-    readme = F.when(n < README_SHORT, 0.2).otherwise(
-        F.least(
-            F.lit(1.0),
-            0.2 + 0.5 * F.least(F.lit(1.0), n / README_GOOD) + F.when(headings >= 3, 0.1).when(headings >= 1, 0.05).otherwise(0.0)
-            + F.when(content.rlike("(?s)```.*?```"), 0.1).otherwise(0.0) + F.when(content.rlike(r"(?i)(?:install|usage|getting\s+started|quick\s*start)"), 0.1).otherwise(0.0),
-        )
-    )
     return f.select(
-        "skill_id", "rel_path", "kind", branches.alias("branches"), line_counts(content, kind).alias("counted"),
-        F.when(kind == "js", F.regexp_count(content, F.lit(JSDOC))).when(kind == "python", F.regexp_count(content, F.lit(DOCSTRING))).otherwise(0).alias("docstrings"),
-        F.when(kind == "js", _count(content, JS_FUNCTION)).when(kind == "python", _count(content, PYTHON_FUNCTION)).otherwise(0).alias("functions"),
-        F.when(low.isin("readme.md", "readme"), 0).when(low == "skill.md", 1).alias("readme_rank"), readme.alias("readme_score"),
+        "skill_id", "rel_path", m("kind").alias("kind"), F.map_from_arrays(F.array(*map(F.lit, BRANCH_WEIGHTS)), m("branches")).alias("branches"),
+        F.struct(m("code").alias("code"), m("comments").alias("comments"), m("lines").alias("lines")).alias("counted"),
+        m("docstrings").alias("docstrings"), m("functions").alias("functions"),
+        F.when(low.isin("readme.md", "readme"), 0).when(low == "skill.md", 1).alias("readme_rank"), m("readme_score").alias("readme_score"),
         test.alias("is_test"), ext.isin("js", "ts", "jsx", "tsx", "py", "mjs", "cjs").alias("is_tested_source"), ext.isin(*SOURCE_EXTENSIONS, "sol").alias("executable"),
         ext.isin(*SOURCE_EXTENSIONS).alias("maintained"), ci.alias("ci"), path.endswith(".d.ts").alias("dts"),
         (path.isin("tsconfig.json", "tsconfig.build.json") | path.endswith("/tsconfig.json")).alias("tsconfig"), ext.isin("ts", "tsx").alias("typescript"),
-        ((path.endswith(".js") | path.endswith(".jsx")) & content.rlike(jvm_exact(JS_DOC_TYPES))).alias("jsdoc_types"), (path.endswith(".py") & content.rlike(jvm_exact(PYTHON_TYPES))).alias("python_types"),
-        low.isin(*LICENSE_NAMES).alias("license_file"), F.when(low.isin(*LICENSE_NAMES), license_).alias("license_type"), F.when(package, json("$.license")).alias("package_license"),
-        base.isin(*LINTERS).alias("linter"), F.when(package, json("$.scripts.lint").isNotNull() | json("$.scripts.eslint").isNotNull()).otherwise(False).alias("lint_script"),
+        ((path.endswith(".js") | path.endswith(".jsx")) & marked("JS_DOC_TYPES")).alias("jsdoc_types"), (path.endswith(".py") & marked("PYTHON_TYPES")).alias("python_types"),
+        low.isin(*LICENSE_NAMES).alias("license_file"), m("license_type").alias("license_type"), m("package_license").alias("package_license"),
+        base.isin(*LINTERS).alias("linter"), m("lint_script").alias("lint_script"),
         base.isin(*FORMATTERS).alias("formatter"), ((path == ".gitignore") | path.endswith("/.gitignore")).alias("gitignore"), base.isin(*LOCKFILES).alias("lockfile"),
     )
 
 
-def _count_multiline(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit("(?m)" + jvm_exact(pattern, "m").removeprefix("(?m)")))
-
-
 def _piecewise(x: Column, steps: list[tuple[float, float, float]], last: float) -> Column:
     """Linear between points: (upper bound, value at the lower bound, value at the upper bound)."""
     out, low = F.lit(last), 0.0
@@ -192,16 +97,16 @@ def declared_dependencies(skills: DataFrame, files: DataFrame) -> DataFrame:
     return rows.groupBy("skill_id", "name").agg(F.min("k").alias("k")).select("skill_id", "name", source.alias("source"))
 
 
-def skill_metrics(skills: DataFrame, files: DataFrame) -> DataFrame:
+def skill_metrics(skills: DataFrame, files: DataFrame, read: DataFrame | None = None) -> DataFrame:
     """One row of metrics per skill, also of those without files.
 
-    Test coverage is null: it cannot be told from files.
+    read: the files after ``read_contents``, where the caller holds them.  Test coverage is null: it cannot be told from files.
     """
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     source = F.col("kind") != "unknown"
     branches = [total(F.element_at("branches", F.lit(k))).alias(f"b{i}") for i, k in enumerate(BRANCH_WEIGHTS)]
-    per = file_metrics(files).groupBy("skill_id").agg(
+    per = file_metrics(files if read is None else read).groupBy("skill_id").agg(
         *branches,
         total(F.col("counted.code")).alias("lines_of_code"),
         total(F.when(source, F.col("counted.comments"))).alias("comments"), total(F.when(source, F.col("counted.lines"))).alias("source_lines"),

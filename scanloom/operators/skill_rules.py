@@ -12,44 +12,40 @@ from pyspark.sql import functions as F
 from scanloom.functions import dims
 from scanloom.functions.dialect import jvm_exact
 from scanloom.functions.web3_patterns import WEB3
-from scanloom.operators import base_rules
+from scanloom.operators.contents import marked, passed
 from scanloom.operators.detectors import with_extension
 from scanloom.operators.manifest_rules import FOUND, blank, found, none_or_empty
 
 
-def holds(name: str) -> Column:
-    return F.col("content").rlike(jvm_exact(*WEB3[name]))
-
-
 def skill_facts(files: DataFrame) -> DataFrame:
-    """One row per skill that has files: what its files together have."""
-    f = with_extension(files.filter("rel_path IS NOT NULL"))
-    content, path, ext = F.coalesce("content", F.lit("")), F.col("rel_path"), F.col("ext")
-    f = f.withColumn("content", content)
+    """One row per skill that has files: what its files together have.
+
+    files: as for ``read_contents``, or what that returns.
+    """
+    f = with_extension(passed(files).filter("rel_path IS NOT NULL"))
+    path, ext = F.col("rel_path"), F.col("ext")
     code, web3 = ext.isin(*dims.CODE), ext.isin(*dims.EXTENSIONS["web3"])
     w3code, md = ext.isin("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "sol"), ext.isin("md", "mdx")
-    logs = lambda p, flags="": F.col("content").rlike(jvm_exact(p, flags))
     lock = F.lit(False)
     for name in dims.LOCKFILES:
         lock = lock | path.endswith(name)
     prose = md | (ext == "txt") | F.lower(F.substring_index(path, "/", -1)).isin("readme")
     readme = F.lower(path).endswith("skill.md") | F.lower(path).endswith("readme.md") | F.lower(path).endswith("readme")
-    talks = readme & holds("AUTONOMY_TOKEN_RE")
+    talks = readme & marked("AUTONOMY_TOKEN_RE")
     any_ = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
-    missing = F.filter(F.array(*map(F.lit, dims.SECRET_IGNORES)), lambda x: ~F.contains(F.col("content"), x))
     return f.groupBy("skill_id").agg(
         F.sum(code.cast("long")).alias("code_files"),
-        any_(code & logs(base_rules.LOGGING, "i"), "logs"),
-        any_(code & logs(base_rules.ERROR_LOGGING, "i"), "logs_errors"),
-        any_(code & logs(base_rules.LOG_LIBRARY), "log_library"),
+        any_(code & marked("LOGGING"), "logs"),
+        any_(code & marked("ERROR_LOGGING"), "logs_errors"),
+        any_(code & marked("LOG_LIBRARY"), "log_library"),
         any_(path == ".gitignore", "gitignore"),
-        F.max(F.when(path == ".gitignore", F.array_join(missing, ", "))).alias("gitignore_missing"),
+        F.max("ignores_missing").alias("gitignore_missing"),
         any_(lock, "lockfile"),
-        any_(web3 & holds("PERMIT_MENTION_RE"), "permits"),
-        any_(w3code & holds("PERSONAL_SIGN_RE"), "raw_signing"),
-        any_(web3 & holds("PROTECTED_RPC_REFERENCE_RE"), "protected_rpc"),
-        any_(prose & holds("DANGER_WARNING_RE"), "danger_warning"),
-        F.min(F.when(web3 & holds("MCP_PROSE_RE") & holds("CHAIN_PROSE_RE"), F.struct("file_ord", "rel_path"))).alias("mcp_prose"),
+        any_(web3 & marked("PERMIT_MENTION_RE"), "permits"),
+        any_(w3code & marked("PERSONAL_SIGN_RE"), "raw_signing"),
+        any_(web3 & marked("PROTECTED_RPC_REFERENCE_RE"), "protected_rpc"),
+        any_(prose & marked("DANGER_WARNING_RE"), "danger_warning"),
+        F.min(F.when(web3 & marked("MCP_PROSE_RE") & marked("CHAIN_PROSE_RE"), F.struct("file_ord", "rel_path"))).alias("mcp_prose"),
         F.min(F.when(talks, F.struct("file_ord", "rel_path"))).alias("autonomy"),
     )
 

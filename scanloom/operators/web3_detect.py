@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from scanloom.functions.dialect import jvm_exact
 from scanloom.functions.dims import EXTENSIONS
 from scanloom.functions.web3_patterns import WEB3
+from scanloom.operators.contents import marked, passed
 from scanloom.operators.detectors import with_extension
-from scanloom.operators.skill_rules import holds
 
-RPC = "SEND_TX_RE SIGN_TX_RE PERSONAL_SIGN_RE SIGN_TYPED_DATA_RE SEND_RAW_TX_RE REQUEST_PERMISSIONS_RE RPC_TOOL_RE".split()
+RPC = ["SEND_TX_RE", "SIGN_TX_RE", "PERSONAL_SIGN_RE", "SIGN_TYPED_DATA_RE", "SEND_RAW_TX_RE", "REQUEST_PERMISSIONS_RE", "RPC_TOOL_RE"]
 SOURCE = "ts tsx js jsx mjs cjs py go rs sol".split()
 
 
@@ -20,20 +20,19 @@ def detect_web3(skills: DataFrame, files: DataFrame) -> DataFrame:
 
     A web3 block is definite.  A library, an RPC method, a Solidity file or a
     named standard is likely, as are both weak signs together; one of them, or
-    such language in the description and read-me files, is weak.
+    such language in the description and read-me files, is weak.  files: as for
+    ``read_contents``, or what that returns.
     """
-    f = with_extension(files.filter("rel_path IS NOT NULL")).withColumn("content", F.coalesce("content", F.lit("")))
-    rpc = F.lit(False)
-    for name in RPC:
-        rpc = rpc | holds(name)
-    flags = {"lib": holds("WEB3_LIB_IMPORT_RE"), "rpc": rpc, "strong": holds("VERY_SPECIFIC_PROTOCOL_RE"), "prose": holds("WEAK_PROTOCOL_RE"), "address": holds("ADDRESS_RE")}
-    # contents end in flags per file; those of Markdown files are told apart, as some skills' prose does not count
+    f = with_extension(passed(files).filter("rel_path IS NOT NULL"))
+    rpc = F.arrays_overlap("marks", F.array(*map(F.lit, RPC)))
+    flags = {"lib": marked("WEB3_LIB_IMPORT_RE"), "rpc": rpc, "strong": marked("VERY_SPECIFIC_PROTOCOL_RE"), "prose": marked("WEAK_PROTOCOL_RE"), "address": marked("ADDRESS_RE")}
+    # flags of Markdown files are told apart, as some skills' prose does not count
     read, markdown = F.col("ext").isin(*EXTENSIONS["web3"]), F.col("ext").isin("md", "mdx")
     any_ = lambda test, name: F.coalesce(F.bool_or(test), F.lit(False)).alias(name)
     per = f.groupBy("skill_id").agg(
         any_(F.col("ext").isin(*SOURCE), "has_source"),
         any_(F.col("ext") == "sol", "sol"),
-        any_(F.col("rel_path").rlike(r"(?i)SKILL\.md\z|README") & holds("ONCHAIN_LANG_RE"), "readme"),
+        any_(F.col("rel_path").rlike(r"(?i)SKILL\.md\z|README") & marked("ONCHAIN_LANG_RE"), "readme"),
         *[any_(read & kind & c, f"{k}_{name}") for k, c in flags.items() for name, kind in (("prose", markdown), ("code", ~markdown))],
     )
     about = skills.select("skill_id", F.coalesce("manifest.description", F.lit("")).alias("description"), F.col("manifest.web3").isNotNull().alias("declared"))

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.operators.contents import read_contents
 from scanloom.operators.detectors import Detector, FileCheck
-from scanloom.operators.findings import Plugin, findings
+from scanloom.operators.findings import Plugin, file_detectors, findings
 from scanloom.operators.metrics import recommendations, skill_metrics
 from scanloom.operators.policy import PolicyRule, evaluate
 from scanloom.operators.scoring import scores
@@ -31,11 +32,13 @@ class Audit:
     scores: DataFrame
     violations: DataFrame
     recommendations: DataFrame
+    read: DataFrame
     facts: DataFrame
 
     def release(self) -> None:
         """Gives back what the run holds in memory; its results can still be computed."""
         self.facts.unpersist()
+        self.read.unpersist()
 
     @property
     def summary(self) -> DataFrame:
@@ -62,24 +65,27 @@ def audit(
     profile: ``web3`` runs the web3 rules on all skills; ``default`` does so if
     any skill is found to be about web3; ``strict`` does not let one skill decide
     for others, and runs them on those that are.  extra: detectors beside the
-    rules' own.  One row of facts a skill is held in memory until release().
+    rules' own.  Contents are read once: a row a file (hits, tests, counts) and a row
+    of facts a skill are held in memory or on the executors' disks until release(),
+    and are computed again where an executor is lost.
     """
     if profile not in PROFILES:
         raise ValueError(f"profile is none of {', '.join(PROFILES)}")
-    detected = detect_web3(skills, files)
+    read = read_contents(files, file_detectors(True, extra)).persist()
+    detected = detect_web3(skills, read)
     if profile == "default":
         detected = promoted(detected)
     elif profile == "web3":
         detected = detected.select("skill_id", F.lit(True).alias("is_web3"), F.lit("definite").alias("confidence"), "signals")
-    facts = skill_facts(files).persist()
-    every = findings(skills, files, True, as_of, categories, skip_rules, extra, plugins, facts)
+    facts = skill_facts(read).persist()
+    every = findings(skills, files, True, as_of, categories, skip_rules, extra, plugins, facts, read)
     if profile != "web3":
         # base rules for all, web3 rules where they apply
         plain = ~F.col("rule").startswith("web3-")
         applies = detected.select("skill_id", "is_web3")
         every = every.join(applies, "skill_id", "left").filter(plain | F.coalesce("is_web3", F.lit(False))).drop("is_web3")
-    metrics = skill_metrics(skills, files)
+    metrics = skill_metrics(skills, files, read)
     rated = scores(skills, every, metrics)
     name, rules = policy or ("none", [])
     violations = evaluate(name, rules, skills, every, rated, metrics)
-    return Audit(skills, files, detected, every, metrics, rated, violations, recommendations(skills, every, metrics), facts)
+    return Audit(skills, files, detected, every, metrics, rated, violations, recommendations(skills, every, metrics), read, facts)

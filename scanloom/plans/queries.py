@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import dims
 from scanloom.functions.web3_patterns import WEB3
-from scanloom.operators import fuzzy, metrics, policy, scoring, summary
+from scanloom.operators import fuzzy, measures, metrics, policy, scoring, summary
 from scanloom.operators.base_rules import file_detectors
 from scanloom.operators.detectors import scan_files
 from scanloom.operators.manifest_rules import dependency_findings
@@ -361,7 +361,7 @@ def redacted_texts(d: DataFrame) -> DataFrame:
     return d.select("doc_id", F.regexp_replace("text", "([\"'])[a-zA-Z0-9_\\-/+=]{16,}(\\1)", "$1[REDACTED]$2").alias("text"))
 
 
-@query("SELECT coalesce(CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for p, n in metrics.LICENSES) + " END, 'none') AS license, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT coalesce(CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for p, n in measures.LICENSES) + " END, 'none') AS license, count(*) AS n FROM documents GROUP BY 1")
 def license_classify(spark, sf_dir):
     files = document_files(spark, sf_dir).withColumn("rel_path", F.lit("LICENSE"))
     return metrics.file_metrics(files).groupBy(F.coalesce("license_type", F.lit("none")).alias("license")).agg(F.count("*").alias("n"))
@@ -414,45 +414,36 @@ def skill_flag_having(spark, sf_dir):
 
 @query(f"WITH {LINE_SQL} SELECT doc_id, count(*) FILTER (trim(line) <> '' AND NOT starts_with(trim(line), '#')) AS code, count(*) FILTER (starts_with(trim(line), '#')) AS comments FROM lines GROUP BY doc_id")
 def loc_count(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", metrics.line_counts(F.col("text"), F.lit("python")).alias("c"))
-    return d.select("doc_id", "c.code", "c.comments")
+    d = metrics.file_metrics(document_files(spark, sf_dir, ".py").filter("content IS NOT NULL").withColumn("skill_id", F.col("file_ord")))
+    return d.select(F.col("skill_id").alias("doc_id"), F.col("counted.code").cast("long").alias("code"), F.col("counted.comments").cast("long").alias("comments"))
 
 
 @query(f"WITH {LINE_SQL} SELECT source AS skill_id, round(sum(CASE WHEN starts_with(trim(line), '#') THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS ratio FROM lines WHERE trim(line) <> '' GROUP BY source")
 def comment_ratio(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("source", metrics.line_counts(F.col("text"), F.lit("python")).alias("c"))
-    return d.groupBy(F.col("source").alias("skill_id")).agg(F.round(F.sum("c.comments") / F.sum("c.lines"), 6).alias("ratio"))
+    d = metrics.file_metrics(document_files(spark, sf_dir, ".py").filter("content IS NOT NULL"))
+    return d.groupBy("skill_id").agg(F.round(F.sum("counted.comments") / F.sum("counted.lines"), 6).alias("ratio"))
 
 
 def _stripped_sql(text: str) -> str:
-    for pattern, put in metrics.PYTHON_STRIPS:
+    for pattern, put in measures.PYTHON_STRIPS:
         quoted, put = pattern.replace("'", "''"), put.replace("'", "''")
         text = f"regexp_replace({text}, '{quoted}', '{put}', 'g')"
     return text
 
 
-_PY = {k: p for k, p in metrics.PYTHON_BRANCHES.items() if k in ("if", "for", "while", "logical-and", "logical-or", "else", "catch")}
-
-
-@query(f"WITH clean AS (SELECT source, {_stripped_sql('text')} AS t FROM documents) SELECT source AS skill_id, " + ", ".join(f"sum(len(regexp_extract_all(t, '{p}'))) AS \"{k}\"" for k, p in _PY.items()) + " FROM clean GROUP BY source")
-def complexity_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", metrics.branch_counts(F.col("text"), "python").alias("counts")).select("source", "counts.*")
-    return d.groupBy(F.col("source").alias("skill_id")).agg(*[F.sum(k).alias(k) for k in _PY])
-
-
 # tenths, so that sums are exact
-_TENTHS = {k: round(10 * metrics.BRANCH_WEIGHTS[k]) for k in metrics.PYTHON_BRANCHES}
+_TENTHS = {k: round(10 * measures.BRANCH_WEIGHTS[k]) for k in measures.PYTHON_BRANCHES}
 
 
 @query(
     f"WITH clean AS (SELECT source, {_stripped_sql('text')} AS t FROM documents), counted AS (SELECT source AS skill_id, "
-    + ", ".join(f"sum(len(regexp_extract_all(t, '{p}'))) AS \"{k}\"" for k, p in metrics.PYTHON_BRANCHES.items())
+    + ", ".join(f"sum(len(regexp_extract_all(t, '{p}'))) AS \"{k}\"" for k, p in measures.PYTHON_BRANCHES.items())
     + " FROM clean GROUP BY source) SELECT *, (" + " + ".join(f'{_TENTHS[k]} * "{k}"' for k in _TENTHS) + ") / 10.0 AS weighted FROM counted"
 )
 def complexity_counts_all(spark, sf_dir):
     """All branch kinds of Python, and their sum by weight."""
-    d = table(spark, sf_dir, "documents").select("source", metrics.branch_counts(F.col("text"), "python").alias("counts")).select("source", "counts.*")
-    out = d.groupBy(F.col("source").alias("skill_id")).agg(*[F.sum(k).alias(k) for k in _TENTHS])
+    d = metrics.file_metrics(document_files(spark, sf_dir, ".py").filter("content IS NOT NULL"))
+    out = d.groupBy("skill_id").agg(*[F.sum(F.element_at("branches", F.lit(k))).alias(k) for k in _TENTHS])
     return out.withColumn("weighted", sum((F.col(f"`{k}`") * n for k, n in _TENTHS.items()), F.lit(0)) / 10.0)
 
 

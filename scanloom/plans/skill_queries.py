@@ -249,6 +249,6 @@ JS = ["if (a) { b() } else if (c) { d() }", "for (;;) { x() }", "while (a && b |
 def branches_of_scripts(spark, sf_dir):
     """Branches of script files without strings and comments."""
     k = F.col("p_partkey")
-    d = table(spark, sf_dir, "part").select((k % 40).cast("string").alias("skill_id"), F.element_at(F.array(*map(F.lit, JS)), (k % 8 + 1).cast("int")).alias("t"))
-    counted = d.select("skill_id", metrics.branch_counts(F.col("t"), "js").alias("c")).select("skill_id", "c.*")
-    return counted.groupBy("skill_id").agg(*[F.sum(f"`{n}`").alias(n) for n in ("if", "for", "while", "logical-and", "logical-or", "catch")])
+    content = F.element_at(F.array(*map(F.lit, JS)), (k % 8 + 1).cast("int"))
+    d = table(spark, sf_dir, "part").select((k % 40).cast("string").alias("skill_id"), F.concat(k.cast("string"), F.lit(".js")).alias("rel_path"), content.alias("content"), F.lit("javascript").alias("language"))
+    return metrics.file_metrics(d).groupBy("skill_id").agg(*[F.sum(F.element_at("branches", F.lit(n))).alias(n) for n in ("if", "for", "while", "logical-and", "logical-or", "catch")])
