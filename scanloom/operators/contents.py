@@ -20,7 +20,7 @@ from scanloom.functions.source import Source
 from scanloom.functions.web3_patterns import WEB3
 from scanloom.operators import base_rules
 from scanloom.operators.detectors import Detector, FileCheck, Scanner
-from scanloom.operators.measures import JS_DOC_TYPES, MEASURES, PYTHON_TYPES, measure
+from scanloom.operators.measures import JS_DOC_TYPES, MEASURES, PARTS, PYTHON_TYPES, measure
 from scanloom.packaging import ready_for_python
 
 #: Tests of contents by name, with their expressions and flags.
@@ -38,17 +38,18 @@ HIT = "detector: string, suffix: string, severity: string, title: string, line:
 _READ = f"file_ord long, rel_path string, marks array<string>, ignores_missing string, measured struct<{MEASURES}>, hits array<struct<{HIT}>>"
 
 
-def read_contents(files: DataFrame, detectors: list[Detector | FileCheck] = ()) -> DataFrame:
+def read_contents(files: DataFrame, detectors: list[Detector | FileCheck] = (), asked: list[str] | None = None, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """A row per file: skill_id, file_ord, rel_path, marks, ignores_missing, measured, hits; see the module.
 
     files (skill_id, rel_path, content, and file_ord, language if there).  A null
-    content counts as empty and has no hits; neither has a null path.
+    content counts as empty and has no hits; neither has a null path.  asked, parts:
+    the tests and the measures that the caller needs, where these are not all.
     """
     ready_for_python(files.sparkSession)
     own = [c if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in (("file_ord", "long"), ("language", "string"))]
     given = files.select("skill_id", own[0], "rel_path", "content", own[1])
     schema = StructType([given.schema["skill_id"], *StructType.fromDDL(_READ)])
-    tests, chosen = {n: MARKS[n] for n in ASKED}, list(detectors)
+    tests, chosen = {n: MARKS[n] for n in (ASKED if asked is None else asked)}, list(detectors)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
@@ -63,16 +64,16 @@ def read_contents(files: DataFrame, detectors: list[Detector | FileCheck] = ())
                 marks = [n for k, n in enumerate(tests) if scanner.holds(k, src, may)]
                 missing = ", ".join(x for x in SECRET_IGNORES if x not in src.content) if path == ".gitignore" else None
                 hits = [(h.detector, h.suffix, h.severity, h.title, h.line, h.evidence, k * 100 + h.pattern_ord, h.at) for k, h in scanner.hits(src, may)] if path is not None and content is not None else []
-                rows.append((at, path, marks, missing, tuple(measure(path, src.content, language)), hits))
+                rows.append((at, path, marks, missing, tuple(measure(path, src.content, language, parts)), hits))
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column("skill_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
 
-def passed(files: DataFrame) -> DataFrame:
+def passed(files: DataFrame, asked: list[str] | None = None, parts: tuple[str, ...] = ()) -> DataFrame:
     """Files that were read by ``read_contents`` as they are, others after that."""
-    return files if "marks" in files.columns else read_contents(files)
+    return files if "marks" in files.columns else read_contents(files, (), asked, parts)
 
 
 def marked(name: str) -> Column:

@@ -101,20 +101,26 @@ def package_facts(text: str) -> tuple[str | None, bool]:
     return named if named is None or isinstance(named, str) else json.dumps(named, separators=(",", ":")), any(scripts.get(k) is not None for k in ("lint", "eslint"))
 
 
-def measure(path: str | None, text: str, language: str | None) -> Measures:
-    """A null path names no file of a kind of its own."""
+#: What can be measured; each is a pass over the text of its own.
+PARTS = ("branches", "lines", "documentation", "texts")
+
+
+def measure(path: str | None, text: str, language: str | None, parts: tuple[str, ...] = PARTS) -> Measures:
+    """The parts asked for, zeros in the place of others; a null path names no file of a kind of its own."""
     kind, path = language_kind(language), path or ""
-    code, comments, lines = lexer.line_counts(text, kind)
-    if kind == "js":
+    code, comments, lines = lexer.line_counts(text, kind) if "lines" in parts else (0, 0, 0)
+    if "documentation" not in parts:
+        docstrings = functions = 0
+    elif kind == "js":
         docstrings, functions = lexer.count_spans(text, "/**", "*/"), lexer.count_functions(text)
     elif kind == "python":
         docstrings, functions = lexer.count_docstrings(text), len(python_pattern(PYTHON_FUNCTION).findall(text))
     else:
         docstrings = functions = 0
-    name = path.lower()
+    name = path.lower() if "texts" in parts else ""
     named = next((n for p, n in LICENSES if python_pattern(p, "i").search(text)), None) if name in LICENSE_NAMES else None
-    package, lints = package_facts(text) if path == "package.json" else (None, False)
+    package, lints = package_facts(text) if name == path == "package.json" else (None, False)
     return Measures(
-        kind, branch_counts(text, kind) if kind != "unknown" else [0] * len(BRANCH_WEIGHTS), code, comments, lines, docstrings, functions,
+        kind, branch_counts(text, kind) if kind != "unknown" and "branches" in parts else [0] * len(BRANCH_WEIGHTS), code, comments, lines, docstrings, functions,
         readme_score(text) if name in ("readme.md", "readme", "skill.md") else 0.0, named, package, lints,
     )

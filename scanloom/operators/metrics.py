@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.dialect import jvm_exact
 from scanloom.operators.contents import marked, passed
-from scanloom.operators.measures import BRANCH_WEIGHTS, LICENSE_NAMES
+from scanloom.operators.measures import BRANCH_WEIGHTS, LICENSE_NAMES, PARTS
 from scanloom.operators.scoring import half_up, two_places
 
 # Names of files.
@@ -35,12 +35,12 @@ POINTS = {"tests": 25, "ci": 20, "types": 20, "license": 15, "linter": 10, "form
 TEXT_SHARES = {"readme": 0.35, "comments": 0.30, "docstrings": 0.35}
 
 
-def file_metrics(files: DataFrame) -> DataFrame:
-    """One row per file with its counts.
+def file_metrics(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """One row per file with its counts; of the parts not asked for these are zero.
 
     files: as for ``read_contents``, or what that returns.
     """
-    f = passed(files)
+    f = passed(files, ["JS_DOC_TYPES", "PYTHON_TYPES"], parts)
     path, m = F.col("rel_path"), lambda name: F.col(f"measured.{name}")
     base, low, ext = F.substring_index(path, "/", -1), F.lower(path), F.lower(F.substring_index(path, ".", -1))
     test = F.lit(False)
@@ -157,7 +157,7 @@ def skill_metrics(skills: DataFrame, files: DataFrame, read: DataFrame | None =
 def branch_table(files: DataFrame) -> DataFrame:
     """(skill_id, branch, n, weight): branch kinds that occur, by what they add to the complexity."""
     weights = F.create_map(*[F.lit(x) for pair in BRANCH_WEIGHTS.items() for x in pair])
-    rows = file_metrics(files).select("skill_id", F.explode("branches").alias("branch", "n"))
+    rows = file_metrics(files, ("branches",)).select("skill_id", F.explode("branches").alias("branch", "n"))
     out = rows.groupBy("skill_id", "branch").agg(F.sum("n").alias("n")).filter("n > 0").withColumn("weight", F.element_at(weights, F.col("branch")))
     return out.orderBy("skill_id", F.desc(F.col("n") * F.col("weight")), "branch")
 

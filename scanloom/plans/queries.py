@@ -364,7 +364,7 @@ def redacted_texts(d: DataFrame) -> DataFrame:
 @query("SELECT coalesce(CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for p, n in measures.LICENSES) + " END, 'none') AS license, count(*) AS n FROM documents GROUP BY 1")
 def license_classify(spark, sf_dir):
     files = document_files(spark, sf_dir).withColumn("rel_path", F.lit("LICENSE"))
-    return metrics.file_metrics(files).groupBy(F.coalesce("license_type", F.lit("none")).alias("license")).agg(F.count("*").alias("n"))
+    return metrics.file_metrics(files, ("texts",)).groupBy(F.coalesce("license_type", F.lit("none")).alias("license")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, role, count(*) AS n_lines, max(length(line)) AS longest FROM (SELECT conv_id, role, unnest(string_split(text, chr(10))) AS line FROM conversations) GROUP BY 1, 2")
@@ -414,13 +414,13 @@ def skill_flag_having(spark, sf_dir):
 
 @query(f"WITH {LINE_SQL} SELECT doc_id, count(*) FILTER (trim(line) <> '' AND NOT starts_with(trim(line), '#')) AS code, count(*) FILTER (starts_with(trim(line), '#')) AS comments FROM lines GROUP BY doc_id")
 def loc_count(spark, sf_dir):
-    d = metrics.file_metrics(document_files(spark, sf_dir, ".py").filter("content IS NOT NULL").withColumn("skill_id", F.col("file_ord")))
+    d = metrics.file_metrics(document_files(spark, sf_dir, ".py").filter("content IS NOT NULL").withColumn("skill_id", F.col("file_ord")), ("lines",))
     return d.select(F.col("skill_id").alias("doc_id"), F.col("counted.code").cast("long").alias("code"), F.col("counted.comments").cast("long").alias("comments"))
 
 
 @query(f"WITH {LINE_SQL} SELECT source AS skill_id, round(sum(CASE WHEN starts_with(trim(line), '#') THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS ratio FROM lines WHERE trim(line) <> '' GROUP BY source")
 def comment_ratio(spark, sf_dir):
-    d = metrics.file_metrics(document_files(spark, sf_dir, ".py").filter("content IS NOT NULL"))
+    d = metrics.file_metrics(document_files(spark, sf_dir, ".py").filter("content IS NOT NULL"), ("lines",))
     return d.groupBy("skill_id").agg(F.round(F.sum("counted.comments") / F.sum("counted.lines"), 6).alias("ratio"))
 
 
@@ -442,7 +442,7 @@ _TENTHS = {k: round(10 * measures.BRANCH_WEIGHTS[k]) for k in measures.PYTHON_BR
 )
 def complexity_counts_all(spark, sf_dir):
     """All branch kinds of Python, and their sum by weight."""
-    d = metrics.file_metrics(document_files(spark, sf_dir, ".py").filter("content IS NOT NULL"))
+    d = metrics.file_metrics(document_files(spark, sf_dir, ".py").filter("content IS NOT NULL"), ("branches",))
     out = d.groupBy("skill_id").agg(*[F.sum(F.element_at("branches", F.lit(k))).alias(k) for k in _TENTHS])
     return out.withColumn("weighted", sum((F.col(f"`{k}`") * n for k, n in _TENTHS.items()), F.lit(0)) / 10.0)
 
@@ -453,7 +453,7 @@ def complexity_counts_all(spark, sf_dir):
 )
 def readme_score(spark, sf_dir):
     files = document_files(spark, sf_dir).filter("content IS NOT NULL").withColumn("rel_path", F.lit("README.md")).withColumn("skill_id", F.col("file_ord"))
-    return metrics.file_metrics(files).select(F.col("skill_id").alias("doc_id"), F.round("readme_score", 6).alias("score"))
+    return metrics.file_metrics(files, ("texts",)).select(F.col("skill_id").alias("doc_id"), F.round("readme_score", 6).alias("score"))
 
 
 @query(

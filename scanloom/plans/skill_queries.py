@@ -251,4 +251,4 @@ def branches_of_scripts(spark, sf_dir):
     k = F.col("p_partkey")
     content = F.element_at(F.array(*map(F.lit, JS)), (k % 8 + 1).cast("int"))
     d = table(spark, sf_dir, "part").select((k % 40).cast("string").alias("skill_id"), F.concat(k.cast("string"), F.lit(".js")).alias("rel_path"), content.alias("content"), F.lit("javascript").alias("language"))
-    return metrics.file_metrics(d).groupBy("skill_id").agg(*[F.sum(F.element_at("branches", F.lit(n))).alias(n) for n in ("if", "for", "while", "logical-and", "logical-or", "catch")])
+    return metrics.file_metrics(d, ("branches",)).groupBy("skill_id").agg(*[F.sum(F.element_at("branches", F.lit(n))).alias(n) for n in ("if", "for", "while", "logical-and", "logical-or", "catch")])
