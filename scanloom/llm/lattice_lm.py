@@ -3,16 +3,17 @@
 The subword vocabulary and its scores exist already (a sentencepiece file);
 nothing of it is trained.  Its stored scores, normalised, weight the pieces, and
 the probability of a word is the sum over all its segmentations, by a forward
-recursion in logs.  Beside the pieces stands one more arc for a whole word of
-the training texts: ``corpus_share`` of the mass, dealt by the words' counts.
+recursion in logs.  If asked for, one more arc stands beside the pieces for a
+whole word of the training texts: ``corpus_share`` of the mass, dealt by counts.
 Pieces do not cross white space, so a text's log probability is the sum over its
 words and the end.
 
 Word counts are the corpus statistic: partial counts in each task, one shuffle.
 Every distinct word of the corpus goes through its lattice once, in batches,
 where the counts come together.  The most frequent words, up to a fixed number,
-go to every worker with their logs; the others are joined by the word, which so
-has no hot keys.
+go to every worker with their logs; the others are joined by the word, and words
+that many texts share (those of held-out texts alone have no count) are dealt
+over tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.llm.spread import spread_join
 from scanloom.llm.storage import Stash, bounded_batches
 from scanloom.llm.text import column_bytes, spaced_words
 
@@ -34,8 +36,8 @@ from scanloom.llm.text import column_bytes, spaced_words
 HEAD_WORDS = 300_000
 #: Words a task counts before it hands its counts on, and sends through the lattice at once.
 PARTIAL_WORDS, LATTICE_WORDS = 400_000, 20_000
-#: Of a token's probability, the share that the counts of whole training words are given.
-CORPUS_SHARE = 0.1
+#: Of a token's probability, the share that the counts of whole training words are given: none, the vocabulary's scores decide.
+CORPUS_SHARE = 0.0
 #: Of the vocabulary's mass, the shares of the bytes that spell other characters, and of the end.
 BYTE_SHARE, END_SHARE = 0.01, 0.01
 #: Stands for the end of a text; no word holds a line break.
@@ -303,7 +305,7 @@ def score(
         (F.log10(F.col("n") + 0.1) - below).alias("base"),
         (F.when(F.col("n") > 0, either).otherwise(F.col("lattice")) if corpus_share else F.col("lattice")).alias("log"),
     )
-    joined = scored.select("row", F.inline("tail")).join(rare, "word").groupBy("row").agg(
+    joined = spread_join(scored.select("row", F.inline("tail")), rare, ["word"]).groupBy("row").agg(
         F.sum(F.col("tf") * F.col("known")).alias("more_known"), F.sum(F.col("tf") * F.col("base")).alias("more_base"), (F.sum(F.col("tf") * F.col("log")) / LN10).alias("more_score")
     )
     more = lambda c, name, none: (F.col(c) + F.coalesce(name, F.lit(none))).alias(c)

@@ -39,6 +39,8 @@ LEAST_BITS = {"digits": 2.6, "hex": 3.0, "lower": 3.2, "upper": 3.2, "single_cas
 # Hex digits of both cases with no other letter between them.
 ANY_HEX = re.compile(r"[0-9A-Fa-f+/_=-]{20,}")
 UPPER_HEX = re.compile(r"[A-F]")
+#: What stands between the separators of a run, and words of one case or with a capital.
+PIECE, WORD = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+")
 DATE = re.compile(r"(?:19|20)\d\d[/_-]?(?:0[1-9]|1[0-2])[/_-]?(?:0[1-9]|[12]\d|3[01])")
 #: Least digits, outside dates, of a window of digits alone.
 LEAST_DIGITS = 16
@@ -132,12 +134,56 @@ def holds_random(run: str) -> bool:
     return bool(UPPER_HEX.search(run)) and any(random_windows(m[0].lower()) for m in ANY_HEX.finditer(run))
 
 
+def random_stretches(run: str) -> list[tuple[int, int]]:
+    """As random_windows, hex digits in either case also taken as the same sixteen; overlapping ones are joined."""
+    found = random_windows(run)
+    if UPPER_HEX.search(run):
+        found = sorted(found + [(m.start() + a, m.start() + b) for m in ANY_HEX.finditer(run) for a, b in random_windows(m[0].lower())])
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def word_like(piece: str) -> bool:
+    """Whether a piece between separators is a word or a short number, which random text rarely is."""
+    if len(piece) < 3:
+        return False
+    if piece.isdigit():
+        return len(piece) <= 8
+    low = piece.lower()
+    pairs = [x + y for x, y in zip(low, low[1:])]
+    return bool(WORD.fullmatch(piece)) and 2 * sum(p in PAIRS for p in pairs) >= len(pairs)
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
+    """The random stretches of candidate runs, from separator to separator.
+
+    Windows reach into the words beside a key; such words are left out, and a
+    stretch stays if the rest is random without its allowed parts.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if not ALLOWED_RUN.fullmatch(run) and holds_random(run) and holds_random(ALLOWED_PART.sub("", run)):
-            out.append(m.span())
+        if ALLOWED_RUN.fullmatch(run) or not (found := random_stretches(run)) or not holds_random(ALLOWED_PART.sub("", run)):
+            continue
+        pieces = [p.span() for p in PIECE.finditer(run)]
+        last = 0
+        for a, b in found:
+            inside = [(x, y) for x, y in pieces if y > a and x < b and x >= last]
+            for end in (0, -1):
+                while len(inside) > 1 and word_like(run[slice(*inside[end])]):
+                    rest = inside[1:] if end == 0 else inside[:-1]
+                    if not holds_random(run[rest[0][0] : rest[-1][1]]):
+                        break
+                    inside = rest
+            if inside and holds_random(ALLOWED_PART.sub("", run[inside[0][0] : inside[-1][1]])):
+                # separators at the ends of the run belong to what stands there
+                first, last = 0 if inside[0] == pieces[0] else inside[0][0], len(run) if inside[-1] == pieces[-1] else inside[-1][1]
+                out.append((m.start() + first, m.start() + last))
     return out
 
 
@@ -180,7 +226,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_ro
     exclusive; base patterns alone, and with the entropy spans), redacted string.
     A null text counts as empty and has no spans; its redacted text is null.
     Spans of one start stand in the order of their kinds, of one kind the shorter
-    first; overlapping ones are redacted as one.  Texts and runs of any length
+    first; overlapping ones are redacted as one.  An entropy span is a random
+    stretch, from separator to separator, and not the whole run of characters
+    that it stands in.  Texts and runs of any length
     are scanned whole, windows move on by one character.  ``whole_rows`` adds the
     input row as a struct ``row``.  Repeated rows and null ids are kept; other
     columns are not read; an empty table gives none.

@@ -52,13 +52,20 @@ class Stash:
         _delete(self.spark, f"{self.root}/{label}")
 
 
-def clear_tables(spark: SparkSession) -> None:
-    """Removes all tables that operators wrote in this application; lazy results that read them are lost.
+def tables_held(spark: SparkSession) -> list[str]:
+    """The folders of tables that operators have written in this application and not removed."""
+    return list(_ROOTS.get(spark.sparkContext.applicationId, []))
+
+
+def clear_tables(spark: SparkSession, kept: list[str] = ()) -> None:
+    """Removes the tables that operators wrote in this application, but for the folders ``kept``; lazy results that read them are lost.
 
     To be called when the results are written or no longer wanted.
     """
-    for root in _ROOTS.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, root)
+    for root in tables_held(spark):
+        if root not in kept:
+            _delete(spark, root)
+    _ROOTS[spark.sparkContext.applicationId] = [r for r in tables_held(spark) if r in kept]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
