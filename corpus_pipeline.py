@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm import bpe, decontaminate, ngram_join, quality, secret_scan
 from scanloom.llm.queries import tokenizer_path
-from scanloom.llm.storage import Stash
+from scanloom.llm.storage import Stash, clear_tables, tables_held
 
 
 def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +76,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each written and read again."""
-    stash = Stash(spark, "pipeline")
+    """Applies the stages to ``documents``, each written and read again.
+
+    A stage's input, and what it wrote for itself, are removed when its output is
+    written; so one copy of the documents stays, besides the one being written.
+    """
+    stash, before = Stash(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        held = tables_held(spark)
         docs = stash.keep(stage(spark, docs, sf_dir), name)
+        clear_tables(spark, held)
+        if before:
+            stash.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
