@@ -38,3 +38,41 @@ def sure_match(names: DataFrame, query: str, column: str = "name") -> str | None
         return None
     ahead = len(top) == 1 or top[0]["score"] >= 1000 or top[0]["score"] - top[1]["score"] >= 100
     return top[0][column] if ahead else None
+
+
+# ---- names close to each other
+
+
+def deletions(name: Column, distance: int) -> Column:
+    """The name and all that is left of it when up to ``distance`` characters go."""
+
+    def shorter(s: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)))
+        return F.transform(places, lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+
+    out = layer = F.array(name)
+    for _ in range(distance):
+        layer = F.array_distinct(F.flatten(F.transform(layer, shorter)))
+        out = F.array_union(out, layer)
+    return out
+
+
+def names_within(left: DataFrame, right: DataFrame | None = None, column: str = "name", distance: int = 2) -> DataFrame:
+    """(name, other, distance): names of ``left`` and of ``right`` that at most ``distance`` single changes take into each other.
+
+    Two such names have a form in common when up to ``distance`` characters are
+    deleted from each, so names meet by equal forms (as 64-bit hashes) and the
+    edit distance verifies: no pair of names is tried that has nothing in common.
+    Without ``right``, the names of ``left`` among each other, each pair once
+    (name < other).  Repeated names count once; null names are left out.  Case
+    counts.  A name of n characters has some n^distance / 2 forms.
+    """
+
+    def keyed(df: DataFrame, to: str) -> DataFrame:
+        names = df.select(F.col(column).alias(to)).filter(F.col(to).isNotNull()).distinct()
+        return names.select(to, F.explode(F.transform(deletions(F.col(to), distance), lambda s: F.xxhash64(s))).alias("form"))
+
+    one, two = keyed(left, "name"), keyed(left if right is None else right, "other")
+    # names that share one form mostly share many: pairs come together before they are verified
+    pairs = one.join(two, "form").filter("name < other" if right is None else "true").select("name", "other").distinct()
+    return pairs.withColumn("distance", F.levenshtein("name", "other")).filter(F.col("distance") <= distance)

@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 #: Rows and bytes handed to Python at once; files may have up to a megabyte, texts even more.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: Used only by a local master, where the session names no shared folder (tests).
+LOCAL_FOLDER = "/tmp/checkpoints"
 _SHIPPED: set[str] = set()
 
 
@@ -33,3 +35,16 @@ def ready_for_python(spark: SparkSession) -> None:
             z.write(p, p.relative_to(package.parent))
     context.addPyFile(str(shipped))
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, for tables and files between steps.
+
+    Where it is unset, a local folder if all tasks run in this process, and an
+    error on a cluster: each executor would write to its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or LOCAL_FOLDER

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.operators import metrics, summary
+from scanloom.operators import fuzzy, hosts, metrics, summary
 from scanloom.operators.detectors import scan_files
 from scanloom.operators.findings import detectors, stamped
 from scanloom.operators.manifest_rules import manifest_findings
+from scanloom.operators.scan_function import register_scan_function
 from scanloom.operators.skill_rules import decided_hits, skill_facts, skill_findings
-from scanloom.plans.queries import EXAMPLES_SQL, NUMBERED_SQL, document_files, findings_of, query, skills_of, table
+from scanloom.plans.queries import EXAMPLES_SQL, LINE_SQL, NUMBERED_SQL, document_files, findings_of, query, skills_of, table
+from scanloom.packaging import shared_folder
 from scanloom.sources.manifests import MANIFEST_SCHEMA
+from scanloom.sources.package_source import packages, register_packages
 
 AS_OF = 1_700_000_000
 
@@ -252,3 +257,73 @@ def branches_of_scripts(spark, sf_dir):
     content = F.element_at(F.array(*map(F.lit, JS)), (k % 8 + 1).cast("int"))
     d = table(spark, sf_dir, "part").select((k % 40).cast("string").alias("skill_id"), F.concat(k.cast("string"), F.lit(".js")).alias("rel_path"), content.alias("content"), F.lit("javascript").alias("language"))
     return metrics.file_metrics(d, ("branches",)).groupBy("skill_id").agg(*[F.sum(F.element_at("branches", F.lit(n))).alias(n) for n in ("if", "for", "while", "logical-and", "logical-or", "catch")])
+
+
+# ---- joins by keys instead of tests of pairs
+
+
+HOST = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)', 1), '[\[\]]', '', 'g'), '')"
+LISTED = f"listed AS (SELECT {HOST} AS pattern FROM pages WHERE page_id % 11 = 0 UNION SELECT '*.' || regexp_extract({HOST}, '[^.]+[.][^.]+[.][^.]+$', 0) FROM pages WHERE page_id % 7 = 0 AND page_id % 3 = 0 UNION SELECT '*.example.net')"
+
+
+@query(
+    f"WITH {LISTED}, hosts AS (SELECT DISTINCT {HOST} AS host FROM pages), met AS (SELECT host, pattern, CASE WHEN pattern LIKE '*.%' THEN substr(pattern, 3) ELSE pattern END AS name FROM hosts JOIN listed ON "
+    "host = pattern OR (pattern LIKE '*.%' AND (host = substr(pattern, 3) OR ends_with(host, substr(pattern, 2))))), best AS (SELECT host, first(pattern ORDER BY length(name) DESC, pattern LIKE '*.%') AS pattern FROM met GROUP BY host) "
+    f"SELECT page_id, host, best.pattern FROM (SELECT page_id, {HOST} AS host FROM pages) LEFT JOIN best USING (host)"
+)
+def hosts_in_lists(spark, sf_dir):
+    """Pages' hosts against a list of hosts and wildcards made of other pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, k = hosts.host_of(F.col("url")), F.col("page_id")
+    listed = pages.filter(k % 11 == 0).select(host.alias("pattern"))
+    listed = listed.union(pages.filter((k % 7 == 0) & (k % 3 == 0)).select(F.concat(F.lit("*."), F.regexp_extract(host, r"[^.]+[.][^.]+[.][^.]+$", 0))))
+    listed = listed.union(spark.range(1).select(F.lit("*.example.net")))
+    return hosts.covered_by(pages, listed).select("page_id", "host", "pattern")
+
+
+@query(
+    "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name, b.name AS other, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) <= 2"
+)
+def part_names_within_two(spark, sf_dir):
+    return fuzzy.names_within(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
+
+
+@query(
+    "WITH c AS (SELECT DISTINCT c_name AS name FROM customer), s AS (SELECT DISTINCT replace(s_name, 'Supplier', 'Customer') AS other FROM supplier) "
+    "SELECT name, other, CAST(levenshtein(name, other) AS INTEGER) AS distance FROM c JOIN s ON levenshtein(name, other) <= 1"
+)
+def names_one_change_apart(spark, sf_dir):
+    """Customers' names against suppliers' that are written alike."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name"))
+    return fuzzy.names_within(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")), suppliers, distance=1)
+
+
+# ---- the scanner in SQL
+
+
+@query(
+    f"WITH {LINE_SQL} SELECT source AS skill_id, 'STOR-004' AS detector, sum(len(regexp_extract_all(line, '(?i)(?:token|auth[_-]?token|access[_-]?token|bearer)\\s*[:=]\\s*[\"''][a-zA-Z0-9_\\-./+=]{{16,}}[\"'']'))) AS n FROM lines "
+    f"WHERE {EXAMPLES_SQL} AND NOT contains(line, '//') AND NOT regexp_matches(line, '^\\s*#') GROUP BY source HAVING n > 0"
+)
+def scan_in_sql(spark, sf_dir):
+    """The table function over documents, from SQL."""
+    register_scan_function(spark)
+    document_files(spark, sf_dir, ".ts").createOrReplaceTempView("scanned_documents")
+    rows = spark.sql("SELECT * FROM scan_files(TABLE(SELECT skill_id, file_ord, rel_path, content FROM scanned_documents), 'storage')")
+    return rows.filter("detector = 'STOR-004'").groupBy("skill_id", "detector").agg(F.count("*").alias("n"))
+
+
+# ---- packages on disk
+
+
+@query(
+    "SELECT source AS skill, 'markdown' AS language, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents WHERE strlen(text) BETWEEN 1 AND 1048576 GROUP BY source"
+)
+def packages_written_and_read(spark, sf_dir):
+    """Documents written as the files of packages, and read from there by the data source."""
+    root = f"{shared_folder(spark)}/scanloom-packages-{uuid.uuid4().hex}"
+    register_packages(spark)
+    files = document_files(spark, sf_dir).select(F.col("skill_id").alias("skill"), "rel_path", "content")
+    files.write.format("skill_packages").mode("append").save(root)
+    read = packages(spark, root, partitions=8)
+    return read.groupBy("skill", "language").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum(F.length("content")).alias("characters"))
