@@ -17,6 +17,7 @@ from scanloom.plans.queries import EXAMPLES_SQL, LINE_SQL, NUMBERED_SQL, documen
 from scanloom.packaging import shared_folder
 from scanloom.sources.manifests import MANIFEST_SCHEMA
 from scanloom.sources.package_source import packages, register_packages
+from scanloom.streaming import skill_states
 
 AS_OF = 1_700_000_000
 
@@ -327,3 +328,28 @@ def packages_written_and_read(spark, sf_dir):
     files.write.format("skill_packages").mode("append").save(root)
     read = packages(spark, root, partitions=8)
     return read.groupBy("skill", "language").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum(F.length("content")).alias("characters"))
+
+
+# ---- streams with state
+
+
+@query(
+    f"WITH {LINE_SQL}, hits AS (SELECT source, sum(len(regexp_extract_all(line, '(?i)(?:token|auth[_-]?token|access[_-]?token|bearer)\\s*[:=]\\s*[\"''][a-zA-Z0-9_\\-./+=]{{16,}}[\"'']'))) AS n FROM lines "
+    f"WHERE {EXAMPLES_SQL} AND NOT contains(line, '//') AND NOT regexp_matches(line, '^\\s*#') GROUP BY source), files AS (SELECT source, count(*) AS files FROM documents WHERE text IS NOT NULL GROUP BY source) "
+    "SELECT source AS skill_id, files, CAST(coalesce(n, 0) AS BIGINT) AS critical, CAST(greatest(0, 100 - 30 * coalesce(n, 0)) AS INTEGER) AS security FROM files LEFT JOIN hits USING (source)"
+)
+def skills_followed(spark, sf_dir):
+    """The totals that a stream of documents ends with."""
+    root = f"{shared_folder(spark)}/scanloom-stream-{uuid.uuid4().hex}"
+    documents = f"{sf_dir}/documents.parquet"
+    # as a pattern, since a stream's path may otherwise be no single file
+    rows = spark.readStream.schema(spark.read.parquet(documents).schema).parquet(f"{documents[:-1]}[t]")
+    files = rows.select(F.col("source").alias("skill_id"), F.col("doc_id").alias("file_ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("rel_path"), F.col("text").alias("content"))
+
+    def keep(totals: DataFrame, number: int) -> None:
+        totals.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/totals/batch={number}")
+
+    skill_states.follow(files, keep, f"{root}/state", checks("STOR-004")).awaitTermination()
+    kept = spark.read.parquet(f"{root}/totals/*")
+    last = kept.groupBy("skill_id").agg(F.max_by(F.struct("files", "critical", "security"), "batch").alias("t"))
+    return last.select("skill_id", "t.*")
