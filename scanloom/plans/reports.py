@@ -14,6 +14,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scanloom.functions.advice import explained
 from scanloom.functions.dims import SEVERITIES
 from scanloom.operators.scoring import half_up
 from scanloom.operators.summary import best_and_worst, dense_matrix, matrix_cells, rule_number, top_findings, worst_skills
@@ -29,7 +31,7 @@ from scanloom.plans.audit import Audit
 RANK = {name: rank for name, rank, *_ in SEVERITIES}
 LEVEL = {name: level for name, _, _, level, _ in SEVERITIES}
 CVSS = {name: cvss for name, *_, cvss in SEVERITIES}
-SHOWN = ["id", "rule", "severity", "category", "title", "rel_path", "line", "evidence", "owasp_id"]
+SHOWN = ["id", "rule", "severity", "category", "title", "rel_path", "line", "evidence", "owasp_id", "description", "remediation"]
 
 
 def report_rows(audit: Audit, limit: int | None = None) -> DataFrame:
@@ -38,7 +40,7 @@ def report_rows(audit: Audit, limit: int | None = None) -> DataFrame:
     limit: findings shown for a skill; all if not given.
     """
     order = W.partitionBy("skill_id").orderBy("severity_rank", "file_ord", "rel_path", "rule", "pattern_ord", "at")
-    ranked = audit.findings.withColumn("n", F.row_number().over(order))
+    ranked = explained(audit.findings).withColumn("n", F.row_number().over(order))
     ranked = ranked.filter(F.col("n") <= limit) if limit else ranked
     lists = lambda df, fields, name, key: df.groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct(key, *fields))).alias(name))
     out = audit.scores.join(audit.metrics, "skill_id").join(audit.skills.select("skill_id", F.col("manifest.description").alias("description")), "skill_id")
@@ -75,7 +77,7 @@ def comparison(audit: Audit) -> dict:
 
 def write_findings(audit: Audit, path: str) -> None:
     """All findings as JSON lines, from the executors."""
-    audit.findings.drop("at", "pattern_ord", "file_ord").write.json(path)
+    explained(audit.findings).drop("at", "pattern_ord", "file_ord").write.json(path)
 
 
 def write_sarif_results(audit: Audit, path: str) -> None:
@@ -116,8 +118,9 @@ def as_sarif(data: dict) -> str:
             key = f["owasp_id"] or f["rule"]
             if key not in rules:
                 number[key] = len(rules)
+                about, advice = f.get("description") or f["title"], f.get("remediation") or ""
                 rules[key] = {
-                    "id": key, "name": rule_title(f["rule"]), "shortDescription": {"text": f["title"]}, "defaultConfiguration": {"level": LEVEL[f["severity"]]},
+                    "id": key, "name": rule_title(f["rule"]), "shortDescription": {"text": f["title"]}, "fullDescription": {"text": about}, "help": {"text": advice or about, "markdown": advice or about}, "defaultConfiguration": {"level": LEVEL[f["severity"]]},
                     "properties": {"security-severity": CVSS[f["severity"]], "tags": ["security", f["category"]]},
                 }
             result = {"ruleId": key, "ruleIndex": number[key], "level": LEVEL[f["severity"]], "message": {"text": f["title"]}, "partialFingerprints": {"finding": f"{skill['skill_id']}/{f['id']}"}}
@@ -147,7 +150,7 @@ def as_markdown(data: dict) -> str:
         if k["findings"]:
             out += ["| Severity | Finding | Place |", "| --- | --- | --- |"]
             out += [f"| {f['severity']} | {_cell(f['title'])} | {_cell(_place(f))} |" for f in k["findings"]]
-            out.append("")
+            out += ["", *[f"- {rule}: {about} {advice}" for rule, (about, advice) in explanations(k).items()], ""]
         out += [f"- {v['action']}: {v['message']}" for v in k["violations"]] + [f"- {r['priority']}: {r['title']}" for r in k["recommendations"]] + [""]
     return "\n".join(out)
 
@@ -179,6 +182,11 @@ def shown_metrics(skill: dict) -> list[str]:
     return [form.format(skill[k]) for k, form in SHOWN_METRICS.items() if skill.get(k) is not None]
 
 
+def explanations(skill: dict) -> dict[str, tuple[str, str]]:
+    """Description and remediation of the rules that a skill has findings of, in the order of the findings."""
+    return {f["rule"]: (f["description"], f["remediation"] or "") for f in skill["findings"] if f.get("description")}
+
+
 def as_html(data: dict) -> str:
     e = html.escape
     rows = "".join(f"<tr><td>{e(k['skill_id'])}</td><td>{k['grade']}</td><td>{k['overall']}</td><td>{len(k['findings'])}</td></tr>" for k in data["skills"])
@@ -189,7 +197,8 @@ def as_html(data: dict) -> str:
         broken = "".join(f"<li>{e(v['action'])}: {e(v['message'])}</li>" for v in k["violations"])
         measured = "".join(f"<li>{e(m)}</li>" for m in shown_metrics(k))
         scores = f"security {k['security']}, quality {k['quality']}, maintenance {k['maintenance']}"
-        parts.append(f"<section><h2>{e(k['skill_id'])}</h2><p>{e(k.get('description') or '')}</p><p>{scores}</p><ul class='metrics'>{measured}</ul><table>{items}</table><ul>{broken}</ul>{advice}</section>")
+        about = "".join(f"<dt>{e(rule)}</dt><dd>{e(text)} {e(fix)}</dd>" for rule, (text, fix) in explanations(k).items())
+        parts.append(f"<section><h2>{e(k['skill_id'])}</h2><p>{e(k.get('description') or '')}</p><p>{scores}</p><ul class='metrics'>{measured}</ul><table>{items}</table><dl>{about}</dl><ul>{broken}</ul>{advice}</section>")
     s = data["summary"]
     head = f"<p>{s['total_skills']} skills, mean score {s['average_score']}, {s['total_findings']} findings, {s.get('web3_skills', 0)} about web3</p><p>{data.get('report_id', '')} {data.get('generated_at', '')}</p>"
     return f"<!doctype html><html><head><meta charset='utf-8'><title>Audit report</title></head><body><h1>Audit report</h1>{head}<table>{rows}</table>{''.join(parts)}</body></html>"
@@ -244,10 +253,11 @@ def console(audit: Audit, verbose: bool = False, colour: bool = False, shown: in
     out = [f"Audited {s['total_skills']} skills: mean score {s['average_score']}, {s['total_findings']} findings, {s['blocked_skills']} blocked"]
     out += [f"  {painted(r['skill_id'], 'critical', colour)}  {r['critical']} critical" for r in worst_skills(audit.findings).collect()]
     if verbose:
-        rows = top_findings(audit.findings, shown).orderBy("skill_id", "rn").collect()
-        for skill in dict.fromkeys(r["skill_id"] for r in rows):
-            out.append(skill)
-            out += [f"    {padded(painted(r['severity'], r['severity'], colour), 8)} {r['title']}" for r in rows if r["skill_id"] == skill]
+        last = None
+        for r in top_findings(audit.findings, shown).orderBy("skill_id", "rn").toLocalIterator():
+            out += [] if r["skill_id"] == last else [r["skill_id"]]
+            out.append(f"    {padded(painted(r['severity'], r['severity'], colour), 8)} {r['title']}")
+            last = r["skill_id"]
     return "\n".join(out)
 
 
@@ -276,11 +286,16 @@ def render(audit: Audit, format_: str, limit: int | None = None) -> str:
 
 def write_bundle(audit: Audit, folder: str, limit: int | None = None) -> dict[str, str]:
     """All formats into a folder; returns what failed, by format, while the others are written."""
-    data, failed = collected(audit, limit), {}
+    data = collected(audit, limit)
     Path(folder).mkdir(parents=True, exist_ok=True)
-    for name, form in FORMATS.items():
+
+    def write(name: str) -> str | None:
         try:
-            (Path(folder) / f"report.{SUFFIX[name]}").write_text(form(data))
+            (Path(folder) / f"report.{SUFFIX[name]}").write_text(FORMATS[name](data))
         except (OSError, ValueError, KeyError, TypeError) as error:
-            failed[name] = str(error)
-    return failed
+            return str(error)
+        return None
+
+    with ThreadPoolExecutor(len(FORMATS)) as pool:
+        failed = dict(zip(FORMATS, pool.map(write, FORMATS)))
+    return {name: why for name, why in failed.items() if why is not None}
