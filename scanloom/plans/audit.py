@@ -37,8 +37,8 @@ class Audit:
 
     def release(self) -> None:
         """Gives back what the run holds in memory; its results can still be computed."""
-        self.facts.unpersist()
-        self.read.unpersist()
+        for held in (self.metrics, self.findings, self.facts, self.read):
+            held.unpersist()
 
     @property
     def summary(self) -> DataFrame:
@@ -65,9 +65,10 @@ def audit(
     profile: ``web3`` runs the web3 rules on all skills; ``default`` does so if
     any skill is found to be about web3; ``strict`` does not let one skill decide
     for others, and runs them on those that are.  extra: detectors beside the
-    rules' own.  Contents are read once: a row a file (hits, tests, counts) and a row
-    of facts a skill are held in memory or on the executors' disks until release(),
-    and are computed again where an executor is lost.
+    rules' own.  Contents are read once: a row a file (hits, tests, counts), the
+    findings, and facts and metrics of each skill are held in memory or on the
+    executors' disks until release(), and are computed again where an executor is
+    lost.
     """
     if profile not in PROFILES:
         raise ValueError(f"profile is none of {', '.join(PROFILES)}")
@@ -84,7 +85,8 @@ def audit(
         plain = ~F.col("rule").startswith("web3-")
         applies = detected.select("skill_id", "is_web3")
         every = every.join(applies, "skill_id", "left").filter(plain | F.coalesce("is_web3", F.lit(False))).drop("is_web3")
-    metrics = skill_metrics(skills, files, read)
+    # scores, policies and reports all go on from these two
+    every, metrics = every.persist(), skill_metrics(skills, files, read).persist()
     rated = scores(skills, every, metrics)
     name, rules = policy or ("none", [])
     violations = evaluate(name, rules, skills, every, rated, metrics)
