@@ -16,7 +16,6 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from sys import getsizeof
 
 import pyarrow as pa
 import regex
@@ -28,8 +27,8 @@ from scanloom.llm.text import id_and_text
 
 #: Above this many parts a word is merged through a heap; repeated scans would be quadratic.
 SCAN_LIMIT = 256
-#: Bytes of a worker's cache, its longest key in characters, and what an entry takes besides key and value.
-CACHE_BYTES, LONGEST_KEPT, ENTRY_BYTES = 64 << 20, 64, 100
+#: Bytes of a worker's cache, what an entry is taken to have of them for 16 characters, and characters of the longest word kept.
+CACHE_BYTES, UNIT_BYTES, LONGEST_KEPT = 128 << 20, 320, 64
 NO_RANK = 1 << 30
 
 # White space as the tokenizer's regular expressions define it.
@@ -46,30 +45,49 @@ def byte_symbols() -> list[str]:
 
 
 class BoundedCache(dict):
-    """Values computed on first use, in two generations that hold ``limit`` bytes at most, both together.
+    """Values of words, computed on first use, in two generations of about ``limit`` bytes at most, both together.
 
     When the newer generation is full it becomes the older one; a word found
-    there moves on, so that frequent words stay.  Keys and values are measured,
-    and texts and bytes longer than LONGEST_KEPT are never kept: text without
+    there moves on, so that frequent words stay.  An entry counts UNIT_BYTES for
+    each 16 characters of its word begun, since values grow with their words, and
+    words of more than LONGEST_KEPT characters are never kept: text without
     spaces would fill the cache with whole sentences that do not come again.
     """
 
     def __init__(self, compute, limit: int = CACHE_BYTES):
         super().__init__()
-        self.compute, self.limit, self.old, self.held = compute, limit // 2, {}, 0
+        self.compute, self.most, self.old = compute, limit // 2 // UNIT_BYTES, {}
+        self.room = self.most
 
-    def __missing__(self, key):
-        value = self.old.get(key, self)
+    def __missing__(self, word):
+        value = self.old.get(word, self)
         if value is self:
-            value = self.compute(key)
-        if isinstance(key, (str, bytes)) and len(key) > LONGEST_KEPT:
+            value = self.compute(word)
+        size = len(word)
+        if size > LONGEST_KEPT:
             return value
-        self.held += getsizeof(key) + getsizeof(value) + ENTRY_BYTES
-        if self.held > self.limit:
-            self.old = self.copy()
-            self.clear()
-            self.held = 0
-        self[key] = value
+        self.room -= 1 + (size >> 4)
+        if self.room < 0:
+            self.begin()
+        self[word] = value
+        return value
+
+    def begin(self) -> None:
+        self.old, self.room = self.copy(), self.most
+        self.clear()
+
+
+class NumberCache(BoundedCache):
+    """The same for numbers."""
+
+    def __missing__(self, number):
+        value = self.old.get(number, self)
+        if value is self:
+            value = self.compute(number)
+        self.room -= 1
+        if self.room < 0:
+            self.begin()
+        self[number] = value
         return value
 
 

@@ -31,7 +31,7 @@ KEEP_BEST = 0.995
 #: Parts of the sample, each judged by a fit on the others; and how far below their quantile the cut is set.
 FOLDS, MARGIN = 5, 0.9
 #: Bytes of the words whose buckets a worker keeps.
-WORDS_BYTES = 32 << 20
+WORDS_BYTES = 64 << 20
 _SHAPE = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"9"))
 _EDGES = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 

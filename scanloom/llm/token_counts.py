@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scanloom.llm.bpe import NO_RANK, BoundedCache, WordBpe, byte_symbols, load
+from scanloom.llm.bpe import NO_RANK, BoundedCache, NumberCache, WordBpe, byte_symbols, load
 from scanloom.llm.storage import bounded_batches
 from scanloom.llm.text import id_and_text
 
@@ -34,7 +34,7 @@ class PrefixCounter:
         final = [(name[: -len(bpe.end)], t) for name, t in bpe.vocab.items() if name.endswith(bpe.end) and name != bpe.end]
         self.inner, self.final = dict(map(self.spelled, inner)), dict(map(self.spelled, final))
         self.longest = max(map(len, chain(self.inner, self.final)))
-        self.follows = BoundedCache(self.compatible)
+        self.follows = NumberCache(self.compatible, 160 << 20)
         self.cache = BoundedCache(self.word_counts, 32 << 20)
         self.words = BoundedCache(lambda w: self.finish(w.encode(), *self.states(w.encode())))
         self.chunks = BoundedCache(lambda c: sum(map(self.words.__getitem__, bpe.words(c))))

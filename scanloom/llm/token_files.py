@@ -27,7 +27,7 @@ from scanloom.llm.text import id_and_text
 #: Bytes of a row group, bytes and rows of a page, and rows that a reader takes up at once.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS, READ_ROWS = 32 << 20, 256 << 10, 512, 256
 #: Bytes of the cache of chunks, and characters of chunks that are encoded as ranks.
-CHUNK_BYTES, SHORT = 160 << 20, 256
+CHUNK_BYTES, SHORT = 256 << 20, 256
 #: Marks that words are cut from.
 MARKS = frozenset(".,;:!?")
 # The tokenizer's pattern of words.

@@ -3,6 +3,7 @@
 import functools
 import glob
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -112,10 +113,13 @@ def test_odd_rows(spark, tmp_path):
 
 
 def test_caches_are_bounded_in_bytes():
-    made = bpe.BoundedCache(lambda k: b"v" * 100, 1 << 20)
-    for i in range(20_000):
-        assert made[f"{i:040}"] == b"v" * 100
-    assert len(made) + len(made.old) <= (1 << 20) // 250
-    for i in range(2000):
-        assert made["日" * 2000 + str(i)]
-    assert max(map(len, [*made, *made.old])) <= bpe.LONGEST_KEPT
+    """Words of every length and script, and texts without spaces: what a cache holds, measured, stays near its limit."""
+    limit = 4 << 20
+    for letters, size in (("abcdefgh", 8), ("abcdefgh", 64), ("日本語文字化け界", 16), ("日本語文字化け界", 64), ("日本語文字化け界", 2000)):
+        rng, encode = random.Random(size), token_files.encoder(PATH)
+        made = bpe.BoundedCache(encode.chunk, limit)
+        for _ in range(12_000):
+            assert made["".join(rng.choice(letters) for _ in range(size))]
+        held = [*made.items(), *made.old.items()]
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for k, v in held) <= 1.7 * limit
+        assert (not held) == (size > bpe.LONGEST_KEPT)
