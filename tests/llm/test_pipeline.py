@@ -97,5 +97,5 @@ def test_stages_on_odd_rows(spark, odd):
 
 def test_every_operator_is_registered():
     found = {int(k[2:].split("_")[0]) for k in queries() if k.startswith("op")}
-    assert found == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert found == set(range(1, 14)) and set(oracle_sql()) <= set(queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "decontaminate", "secrets", "encode"]
