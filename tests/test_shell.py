@@ -55,3 +55,19 @@ def test_rules_and_advice(spark, capsys):
     rows = spark.createDataFrame([("dos",), ("of a plugin",)], "rule string")
     assert {r["rule"]: r["remediation"] for r in explained(rows).collect()} == {"dos": ADVICE["dos"][1], "of a plugin": None}
     assert explained(rows).filter(F.col("description").isNull()).count() == 1
+
+
+def test_an_audit_of_megabyte_lines(spark, tmp_path, capsys):
+    """Literals of each quote kind, an open quote, an unbroken line and open brackets, each just below a megabyte."""
+    big = 1_000_000
+    lines = {"a.ts": f'const a = "{"x" * big}"', "b.ts": f"const b = '{'y' * big}'", "c.js": f"const c = `{'z' * big}`", "d.py": '"' + "a" * big, "e.py": "x" * big, "f.ts": "f(" * (big // 2), "g.py": "it's\n" * 3 + "b" * big, "h.md": "# h\n\n" + "word " * (big // 5)}
+    root = tmp_path / "skills" / "big"
+    root.mkdir(parents=True)
+    for name, text in lines.items():
+        (root / name).write_text(text)
+    (root / "SKILL.md").write_text("# big\n\nText.")
+    out = tmp_path / "r.json"
+    assert main(["audit", str(root.parent), "--format", "json", "--output", str(out)]) == 0
+    (skill,) = json.loads(out.read_text())["skills"]
+    assert 0 < skill["overall"] <= 100 and skill["lines_of_code"] > 8
+    assert not any(f["rule"] == "scanner-internal" for f in skill["findings"])
