@@ -6,26 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.packaging import ready_for_python
+from scanloom.packaging import LOCAL_FOLDER, ready_for_python, shared_folder  # noqa: F401
 
-#: Used only by a local master, where the session names no shared folder (tests).
-LOCAL_FOLDER = "/tmp/checkpoints"
 _ROOTS: dict[str, list[str]] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local folder if all tasks run in this process, and an
-    error on a cluster: each executor would write to its own disk.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named or LOCAL_FOLDER
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Readies a session for Python on its executors: Arrow batches of bounded size, and this package at hand."""
     ready_for_python(spark)
