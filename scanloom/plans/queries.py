@@ -345,12 +345,6 @@ def secret_token_detector(spark, sf_dir):
     return scan_files(document_files(spark, sf_dir, ".ts"), chosen).groupBy("skill_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '\"[a-zA-Z0-9_\\-/+=]{16,}\"', '\"[REDACTED]\"', 'g'), '''[a-zA-Z0-9_\\-/+=]{16,}''', '''[REDACTED]''', 'g') AS text FROM documents WHERE contains(text, 'token = ')")
-def secret_token_redact(spark, sf_dir):
-    """Redacted texts of the documents that hold ``token = ``; secret_token_redact_all has every document."""
-    return redacted_texts(table(spark, sf_dir, "documents").filter(F.col("text").contains("token = ")))
-
-
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, '\"[a-zA-Z0-9_\\-/+=]{16,}\"', '\"[REDACTED]\"', 'g'), '''[a-zA-Z0-9_\\-/+=]{16,}''', '''[REDACTED]''', 'g') AS text FROM documents")
 def secret_token_redact_all(spark, sf_dir):
     """Redacted texts of every document, whatever stands before the quoted string."""
