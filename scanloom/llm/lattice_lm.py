@@ -3,10 +3,14 @@
 The subword vocabulary and its scores exist already (a sentencepiece file);
 nothing of it is trained.  Its stored scores, normalised, weight the pieces, and
 the probability of a word is the sum over all its segmentations, by a forward
-recursion in logs.  If asked for, one more arc stands beside the pieces for a
-whole word of the training texts: ``corpus_share`` of the mass, dealt by counts.
-Pieces do not cross white space, so a text's log probability is the sum over its
-words and the end.
+recursion in logs.  Pieces do not cross white space, so a text's log probability
+is the sum over its words and the end.
+
+The training texts are learned as whole words: a token's probability is its share
+of the training tokens, and for what those leave open the vocabulary's.  How much
+that is, Good and Turing's estimate says: the tokens seen once among all.  If a
+``corpus_share`` is given, one more arc stands beside the pieces instead: that
+share of the mass, dealt by counts; 0 is the vocabulary alone.
 
 Word counts are the corpus statistic: partial counts in each task, one shuffle.
 Every distinct word of the corpus goes through its lattice once, in batches,
@@ -36,8 +40,6 @@ from scanloom.llm.text import column_bytes, spaced_words
 HEAD_WORDS = 300_000
 #: Words a task counts before it hands its counts on, and sends through the lattice at once.
 PARTIAL_WORDS, LATTICE_WORDS = 400_000, 20_000
-#: Of a token's probability, the share that the counts of whole training words are given: none, the vocabulary's scores decide.
-CORPUS_SHARE = 0.0
 #: Of the vocabulary's mass, the shares of the bytes that spell other characters, and of the end.
 BYTE_SHARE, END_SHARE = 0.01, 0.01
 #: Stands for the end of a text; no word holds a line break.
@@ -227,19 +229,25 @@ def head_of(words: DataFrame, most: int) -> list:
     return words.filter("n > 0").filter(level >= least).collect() if least is not None else []
 
 
+def seen_share(n: int, once: int) -> float:
+    """Good and Turing's estimate of what known tokens have of all to come: n training tokens, of which ``once`` are there once."""
+    return 1 - (once + 0.5) / (n + 1) if n else 0.0
+
+
 def mixed_log(lattice: float, n: int, share: float, total: int) -> float:
-    """Log of a token's probability: its lattice and the arc of the whole word."""
+    """Log of a token's probability: its lattice, weighted already, and the whole word's count."""
     return float(np.logaddexp(lattice, math.log(share * n / total))) if n and share else lattice
 
 
 def score(
-    df: DataFrame, held_out, pieces: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, corpus_share: float = CORPUS_SHARE
+    df: DataFrame, held_out, pieces: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, corpus_share: float | None = None
 ) -> DataFrame:
     """Scores whole texts by word counts and by the subword lattice.
 
     held_out: a boolean Column of df; its rows (not those where it is null) are
     left out of the training texts.  ``corpus_share`` (below 1; 0 for the stored
-    vocabulary alone) is what whole training words get beside the pieces.
+    vocabulary alone) is what whole training words get as arcs beside the pieces;
+    without it whole tokens are mixed by an estimate, see the module.
     Returns a row per input row: doc_id, held_out boolean, n_tokens, n_known,
     train_tokens long, base_score double (log10, add-0.1 over the distinct
     training tokens and one more), score double (log10).  A null or empty text
@@ -253,16 +261,19 @@ def score(
     bounded_batches(spark)
     stash = Stash(spark, "lm")
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = piece_model(pieces, corpus_share)
+    model = piece_model(pieces, corpus_share or 0.0)
     words = stash.keep(with_lattice(count_words(docs), spark.sparkContext.broadcast(model)), "words")
-    n, v, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0))).first()
+    total, none = F.coalesce(F.sum("n"), F.lit(0)), F.lit(0)
+    n, v, once, ends = words.agg(total, F.count(F.when(F.col("n") > 0, 1)), F.count(F.when(F.col("n") == 1, 1)), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), none)).first()
+    # an arc's share is in the pieces' own weights already
+    share, rest = (seen_share(n, once), math.log(1 - seen_share(n, once))) if corpus_share is None else (corpus_share, 0.0)
     below = math.log10(n + 0.1 * (v + 1))
     head = head_of(words.filter(F.col("word") != END), head_words)
-    logs = np.array([(math.log10(r["n"] + 0.1) - below, mixed_log(r["lattice"], r["n"], corpus_share, n) / LN10) for r in head]).reshape(-1, 2)
+    logs = np.array([(math.log10(r["n"] + 0.1) - below, mixed_log(rest + r["lattice"], r["n"], share, n) / LN10) for r in head]).reshape(-1, 2)
     table = spark.sparkContext.broadcast(({r["word"].encode(): i for i, r in enumerate(head)}, logs))
     del head
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end_base, end_known, end_score = math.log10(ends + 0.1) - below, int(ends > 0), mixed_log(model.end, ends, corpus_share, n) / LN10
+    end_base, end_known, end_score = math.log10(ends + 0.1) - below, int(ends > 0), mixed_log(rest + model.end, ends, share, n) / LN10
 
     def run(batches):
         known, logs = table.value
@@ -297,13 +308,13 @@ def score(
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word:string,tf:long>>"
     scored = stash.keep(numbered.mapInArrow(run, schema), "scored")
-    own = F.log(corpus_share * F.col("n") / F.lit(float(max(n, 1))))
-    either = F.greatest("lattice", own) + F.log1p(F.exp(-F.abs(F.col("lattice") - own)))
+    spelled, own = F.col("lattice") + rest, F.log(share * F.col("n") / F.lit(float(max(n, 1))))
+    either = F.greatest(spelled, own) + F.log1p(F.exp(-F.abs(spelled - own)))
     rare = words.filter(F.col("word") != END).select(
         "word",
         (F.col("n") > 0).cast("long").alias("known"),
         (F.log10(F.col("n") + 0.1) - below).alias("base"),
-        (F.when(F.col("n") > 0, either).otherwise(F.col("lattice")) if corpus_share else F.col("lattice")).alias("log"),
+        (F.when(F.col("n") > 0, either).otherwise(spelled) if share else spelled).alias("log"),
     )
     joined = spread_join(scored.select("row", F.inline("tail")), rare, ["word"]).groupBy("row").agg(
         F.sum(F.col("tf") * F.col("known")).alias("more_known"), F.sum(F.col("tf") * F.col("base")).alias("more_base"), (F.sum(F.col("tf") * F.col("log")) / LN10).alias("more_score")

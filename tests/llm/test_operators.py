@@ -556,6 +556,23 @@ def test_corpus_share_of_none_scores_by_the_vocabulary_alone(spark):
         assert got[i]["score"] == pytest.approx(want, rel=1e-9) and got[i + len(odd_texts())]["score"] == got[i]["score"]
 
 
+def test_lm_scores_of_held_out_texts_are_near_base_scores(spark):
+    # held-out texts of words that stand in training, and a few that do not
+    texts = [f"{prose(70 + k, 60)} new{k}word" for k in range(80)]
+    table = docs(spark, texts)
+    for head in (300_000, 5):
+        got = by_id(lattice_lm.score(table, residue("doc_id", 10) == 0, tokenizer_path("piece_bpe_32k.model"), head_words=head))
+        train = Counter(w for i, t in enumerate(texts) if not got[i]["held_out"] for w in [*spaced_words(t.encode()), None]) + Counter([*spaced_words(b"no id here at all"), None])
+        n, once = sum(train.values()), sum(c == 1 for c in train.values())
+        share = 1 - (once + 0.5) / (n + 1)
+        for i, t in enumerate(texts):
+            words = [*spaced_words(t.encode()), None]
+            want = sum(np.logaddexp(math.log(1 - share) + direct_log(w, Counter(), 1, 0.0), math.log(share * train[w] / n) if train[w] else -math.inf) for w in words)
+            assert got[i]["score"] == pytest.approx(want / math.log(10), rel=1e-9)
+        held = [r for r in got.values() if r["held_out"] and r["doc_id"] is not None]
+        assert len(held) > 3 and all(math.isfinite(r["score"]) and r["score"] > 1.3 * r["base_score"] for r in held)
+
+
 def test_lm_of_nothing(spark):
     assert lattice_lm.score(empty(spark), residue("doc_id", 10) == 0, tokenizer_path("piece_bpe_32k.model")).count() == 0
 
