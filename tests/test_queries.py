@@ -3,11 +3,20 @@
 import os
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from scanloom.functions.source import Source
+from scanloom.operators.detectors import FileCheck, count_hits, scan_files
+from scanloom.operators.findings import detectors
+from scanloom.operators.skill_rules import BY_SUFFIX
 from scanloom.plans.registry import QUERIES, SQL
+from scanloom.plans.rule_findings import CUT, WAYS
+from scanloom.plans.rule_queries import RULE_FILES
+from scanloom.plans.rule_tables import KINDS, ROWS, TEXTS
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 REPO = Path(__file__).resolve().parents[1]
@@ -53,6 +62,41 @@ def test_complexity_has_every_branch_kind(spark, tmp_path):
     assert {k: got[k] for k in want} == want and got["weighted"] == 11.1
 
 
+@pytest.mark.parametrize("rule", sorted(ROWS))
+def test_rule_findings_come_from_every_detector_and_piece(spark, tmp_path, rule):
+    # pieces enough for each line in each way and kind of file
+    count = len(TEXTS[rule]) * len(WAYS) * len(KINDS)
+    docs = [(i, CUT.join(f"piece {k}\n{TEXTS[rule][0]} {k}" for k in range(31)), "s") for i in range(6 * count // 31 + 1)]
+    spark.createDataFrame([*docs, (1 << 40, None, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["rule_" + rule.replace("-", "_")](spark, str(tmp_path)).collect()
+    assert {r["detector"] for r in got} == {row[0] for row in ROWS[rule]}
+    assert {r["rel_path"].rsplit("-", 1)[1].split(".")[0] for r in got} == set(map(str, range(31)))
+
+
+def test_counted_hits_equal_hits(spark):
+    lines = [f.expression for r in RULE_FILES.values() for f in r.finds] + [t for ts in TEXTS.values() for t in ts] + ["import x from 'left-pad'", "// eval(x)", "lookupAddress(x)"]
+    held = [d for d in detectors(True)]
+    files = [(f"s{k % 2}", f"{k}.{e}", t) for e in ("ts", "py", "md") for k, t in enumerate([*lines, "\n".join(lines), "", None])]
+    df = spark.createDataFrame(files, "skill_id string, rel_path string, content string")
+
+    def broken(src):
+        raise ValueError("no")
+
+    held.append(FileCheck("X-1", "x", broken))
+    key = ["skill_id", "detector", "suffix", "severity"]
+    hits = [r.asDict() for r in scan_files(df.withColumn("file_ord", F.lit(0).cast("long")), held).select(*key).collect()]
+    want = Counter(tuple(h[c] if c != "suffix" or h["detector"] in BY_SUFFIX else None for c in key) for h in hits)
+    for most in (20_000, 3):
+        assert {tuple(r[c] for c in key): r["n"] for r in count_hits(df, held, BY_SUFFIX, most).collect()} == want
+    assert want[("s0", "DEP-UNDECL", "left-pad", "medium")] > 0 and len(want) > 200
+
+
+def test_a_file_is_searched_once_for_what_it_must_lack():
+    src = Source("a.ts", "e.resolveName(n)\n" * 500)
+    (d,) = (d for d in detectors(True) if d.id == "W06-003")
+    assert len(list(d.hits(src))) == 500 and len(src._held) == 1
+
+
 def test_entry_module_without_the_training_data_part(tmp_path):
     copy = tmp_path / "repo"
     subprocess.run(["cp", "-r", str(REPO), str(copy)], check=True)
