@@ -180,7 +180,9 @@ def manifests_of(spark, sf_dir) -> DataFrame:
     manifest = F.from_json(F.to_json(whole), MANIFEST_SCHEMA)
     listed = F.from_json(servers, "array<struct<url:string,pinnedHash:string,pinnedVersion:string,tools:array<string>>>")
     with_servers = F.when(F.col("m.web3").isNotNull() & listed.isNotNull(), F.col("m").withField("web3.mcpServers", listed)).otherwise(F.col("m"))
-    return table(spark, sf_dir, "customer").select(k, manifest.alias("m")).select(k.cast("string").alias("skill_id"), with_servers.alias("manifest"))
+    # keys are small, and what is made of each is much work: a file of them that is one task's share to read is dealt over all
+    keys = table(spark, sf_dir, "customer").select(k).repartition(4 * max(spark.sparkContext.defaultParallelism, 12))
+    return keys.select(k, manifest.alias("m")).select(k.cast("string").alias("skill_id"), with_servers.alias("manifest"))
 
 
 def _manifest_sql() -> str:

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from scanloom.functions.source import Source
 from scanloom.operators.detectors import FileCheck, count_hits, scan_files
 from scanloom.operators.findings import detectors
+from scanloom.operators.manifest_rules import manifest_findings
 from scanloom.operators.skill_rules import BY_SUFFIX
 from scanloom.plans.registry import QUERIES, SQL
 from scanloom.plans.rule_findings import CUT, WAYS
 from scanloom.plans.rule_queries import RULE_FILES
 from scanloom.plans.rule_tables import KINDS, ROWS, TEXTS
+from scanloom.sources.manifests import MANIFEST_SCHEMA
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 REPO = Path(__file__).resolve().parents[1]
@@ -97,6 +99,15 @@ def test_a_file_is_searched_once_for_what_it_must_lack():
     assert len(list(d.hits(src))) == 500 and len(src._held) == 1
 
 
+def test_manifests_are_made_once_by_many_tasks(spark, tmp_path):
+    spark.range(40).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = QUERIES["manifest_rules"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter " not in plan and "Repartition 48, true" in plan
+    skills = spark.createDataFrame([("a", '{"name": "x-fast"}'), ("b", None)], "skill_id string, json string").select("skill_id", F.from_json("json", MANIFEST_SCHEMA).alias("manifest"))
+    assert {r["skill_id"] for r in manifest_findings(skills, F.lit(0)).collect()} == {"a"}
+
+
 def test_entry_module_without_the_training_data_part(tmp_path):
     copy = tmp_path / "repo"
     subprocess.run(["cp", "-r", str(REPO), str(copy)], check=True)
