@@ -114,3 +114,15 @@ def test_a_failing_check_is_told_and_others_go_on():
 
     src = Source("a.ts", "text")
     assert [(k, h.detector) for k, h in scanner.hits(src, scanner.may_match(src))] == [(0, "SCANNER-ERR-mine")]
+
+
+def test_leading_words_are_searched_as_strings():
+    import re
+
+    from scanloom.functions.dialect import python_pattern
+
+    text = "if x: elif (if y) _if z ifs if\tz\nif  for(i) xfor (j)"
+    for p in (r"\bif\s+", r"\bfor\s*\(", r"\bor\b", r"\bif\b|\belif\b"):
+        got = python_pattern(p)
+        assert got.pattern.startswith(p[2:4]) and [m.span() for m in got.finditer(text)] == [m.span() for m in re.finditer(p, text, re.A)]
+    assert python_pattern(r"\bifs?").pattern == r"\bifs?" and python_pattern(r"\bif", "i").pattern == r"\bif"
