@@ -126,3 +126,29 @@ def test_leading_words_are_searched_as_strings():
         got = python_pattern(p)
         assert got.pattern.startswith(p[2:4]) and [m.span() for m in got.finditer(text)] == [m.span() for m in re.finditer(p, text, re.A)]
     assert python_pattern(r"\bifs?").pattern == r"\bifs?" and python_pattern(r"\bif", "i").pattern == r"\bif"
+
+
+def test_lines_and_comments_equal_their_plain_definitions():
+    from scanloom.functions.dialect import SPACES
+    from scanloom.functions.source import Source, trimmed
+
+    hash_line, rng = python_pattern(r"^\s*#"), random.Random(7)
+    for _ in range(400):
+        text = "".join(rng.choice(["\n", "//", "/*", "*/", " ", "# ", " ", "﻿", "\x85", "x", "ab "]) for _ in range(rng.randrange(1, 60)))
+        assert trimmed(text) == re.sub(rf"\A[{SPACES}]+|[{SPACES}]+\Z", "", text)
+        src = Source("a.ts", text)
+        for at in rng.choices(range(len(text)), k=20):
+            before, start = text[max(0, at - 500) : at], text.rfind("\n", 0, at + 1) + 1
+            assert src.line_number(at) == text[:at].count("\n") + 1
+            assert src.in_comment(at) == ("//" in text[start:at] or bool(hash_line.match(text[start : at + 10])) or before.rfind("/*") > before.rfind("*/"))
+
+
+def test_what_runs_on_a_file_is_worked_out_once_for_equal_strings():
+    from scanloom.functions.source import Source
+
+    scanner = Scanner([d for d in detectors(True) if d.rule == "storage"])
+    one, other, unread = (Source(p, t) for p, t in (("a.ts", 'password = "abcdef"'), ("b.ts", 'x;\npassword = "ghijkl"'), ("c.sol", 'password = "abcdef"')))
+    assert scanner.may_match(one) and scanner.may_match(one) is scanner.may_match(other)
+    assert scanner.run(one, scanner.may_match(one)) is scanner.run(other, scanner.may_match(other))
+    # no detector of the rule reads such files
+    assert scanner.may_match(unread) == frozenset()

@@ -93,6 +93,21 @@ def test_counted_hits_equal_hits(spark):
     assert want[("s0", "DEP-UNDECL", "left-pad", "medium")] > 0 and len(want) > 200
 
 
+@pytest.mark.parametrize("name", ["rule_storage", "rule_web3_key_material_leak"])
+def test_files_of_rules_are_made_once(spark, tmp_path, name):
+    """A test for nulls below the scan made Spark work out paths and contents a second time."""
+    spark.createDataFrame([(1, "a the b", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and ("concat(" in line or "replace(" in line)]
+
+
+def test_null_paths_and_contents_have_no_hits(spark):
+    files = spark.createDataFrame([("s", 0, "a.ts", None), ("s", 1, None, "eval(x)"), ("s", 2, "b.ts", "eval(x)")], "skill_id string, file_ord long, rel_path string, content string")
+    held = [d for d in detectors(True) if d.id == "INJ-001"]
+    assert [r["file_ord"] for r in scan_files(files, held).collect()] == [2]
+    assert [r["n"] for r in count_hits(files, held).collect()] == [1]
+
+
 def test_a_file_is_searched_once_for_what_it_must_lack():
     src = Source("a.ts", "e.resolveName(n)\n" * 500)
     (d,) = (d for d in detectors(True) if d.id == "W06-003")
