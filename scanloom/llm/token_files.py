@@ -32,6 +32,8 @@ CHUNK_BYTES, SHORT = 256 << 20, 256
 MARKS = frozenset(".,;:!?")
 # The tokenizer's pattern of words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts in which white space stands by single characters.
+WORDS_APART = WORDS.replace(r"|\s+(?!\S)", "")
 META = "doc_id", "shard", "shard_start", "n_tokens"
 
 
@@ -59,13 +61,15 @@ class Chunks(BoundedCache):
 
 
 class ChunkEncoder:
-    """The library's encoding of whole texts, put together from chunks that come again.
-
-    A chunk is a run without white space and the one space before it, or what
-    is left of a run of white space; the tokenizer's pattern never crosses them.
-    Chunks that are not at hand are encoded with the same vocabulary as ranks,
-    which is several times faster for short strings; the library encodes the
-    long ones, texts with special strings, and all where ids are no ranks.
+    """The library's encoding of whole texts.
+
+    A text of short words between single characters of white space is encoded
+    as a whole with the same vocabulary as ranks, which is several times faster;
+    there the tokenizer's pattern needs no look ahead.  Others are put together
+    from chunks that come again: a run without white space and the one space
+    before it, or what is left of a run of white space; the pattern never
+    crosses them.  The library encodes long chunks, texts with special strings,
+    and all where ids are no ranks.
     """
 
     def __init__(self, path: str):
@@ -80,9 +84,10 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             merges = [ranks[bytes(byte_of[c] for c in a + b)] for a, b in json.load(f)["model"]["merges"]]
         if merges == sorted(merges):
-            self.short = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.short, self.whole = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (WORDS, WORDS_APART))
         else:
-            self.short = self.library
+            self.short, self.whole = self.library, None
+        self.apart = re.compile(f"[^{SPACE}]{{0,{SHORT}}}+(?:[{SPACE}][^{SPACE}]{{1,{SHORT}}}+)*+[{SPACE}]?").fullmatch
         # a space within a run of white space, other than the last one before a word
         self.inner_space = re.compile(f"(?<=[{SPACE}]) (?:[{SPACE}]|$(?!\n))").search
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
@@ -98,6 +103,8 @@ class ChunkEncoder:
             return b""
         if any(s in text for s in self.special):
             return array("I", self.library(text)).tobytes()
+        if self.whole and self.apart(text):
+            return array("I", self.whole(text)).tobytes()
         if self.inner_space(text):
             return b"".join(map(self.plain.__getitem__, self.chunks(text)))
         first, *others = text.split(" ")

@@ -46,6 +46,20 @@ def test_chunks_equal_the_library():
     assert [[*np.frombuffer(one.encode(t), "<u4"), 2] for t in given] == library(given)
 
 
+def test_texts_of_words_apart_are_encoded_as_a_whole():
+    """Those that come once are no entries of a cache; the ids are the library's."""
+    one, rng = token_files.ChunkEncoder(PATH), random.Random(11)
+    words = [*(p for p in PARTS if not p.isspace() and p[0] != " " and p not in one.special), "\x1d", "'ll", "x" * 256, "1" * 256]
+    given = ["".join(rng.choice(words) + rng.choice(" \n\t\x85\u3000") for _ in range(rng.randrange(0, 40))) + rng.choice(["", "end"]) for _ in range(2000)]
+    given = [rng.choice(["", " ", "\n"]) + t for t in given]
+    assert [[*np.frombuffer(one.encode(t), "<u4"), 2] for t in given] == library(given)
+    assert not one.plain and not one.spaced
+    others = ["a  b", "a \n\nb", "a" * 257 + " b", " " * 300 + "x", "x" + " " * 300]
+    assert not any(map(one.apart, others)) and [[*np.frombuffer(one.encode(t), "<u4"), 2] for t in others] == library(others)
+    # linear in the text's length
+    assert not one.apart("ab " * 500_000 + "  c") and not one.apart("a" * 1_000_000)
+
+
 @pytest.fixture(scope="module")
 def written(spark, tmp_path_factory):
     given = texts()
