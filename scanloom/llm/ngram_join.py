@@ -50,8 +50,8 @@ WORDS_REPORTED_FROM = 16
 BLOCK_SHINGLES = 4_000_000
 #: Ids that stand for no set of their own that every worker is told, at most; beyond it they are joined away.
 SKIPPED_TOLD = 1 << 20
-#: Bits (2 to this power, 8 MB) of the bitmap of documents whose sets are fetched, and how many it serves.
-MARK_BITS, MARKED_MOST = 26, 1 << 23
+#: Bits of the bitmap of documents whose sets are fetched: for each of them, and at most (2 to this power, 8 MB); and how many it serves.
+BITS_PER_ID, MARK_BITS, MARKED_MOST = 64, 26, 1 << 23
 
 
 class Shingler:
@@ -170,10 +170,12 @@ def _frequent(scanned: DataFrame, column: str, most: int) -> tuple[np.ndarray, n
         if held > most:
             break
         least = k
-    rows = counts.filter(level >= least).collect() if least is not None else []
-    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = counts.filter(level >= least).select("key", "n").toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return keys[order], rows.column("n").to_numpy()[order]
 
 
 def _prefix_keys(docs: DataFrame, frequent, skipped, words: int, part: int, whole: int, wanted: bool) -> DataFrame:
@@ -248,27 +250,28 @@ def _pivot_pairs(part: int, whole: int):
     return run
 
 
-def _marks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The byte of a bitmap and the bit in it of each id."""
-    at = (mixed(ids.view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+def _marks(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The byte of a bitmap of ``size`` bytes (a power of 2) and the bit in it of each id."""
+    at = (mixed(ids.view(np.uint64)) >> np.uint64(65 - (8 * size).bit_length())).astype(np.int64)
     return at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
 
 
 def _is_marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    byte, bit = _marks(ids)
+    byte, bit = _marks(ids, len(bits))
     return (bits[byte] & bit) > 0
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits of all ids; as large for any number of them."""
+def _bitmap(ids: DataFrame, n: int) -> np.ndarray:
+    """Bits of all ids, of which there are ``n``; its size is in proportion to them, up to a bound."""
+    size = 1 << min(MARK_BITS, max(10, (BITS_PER_ID * n).bit_length())) >> 3
 
     def run(batches):
-        bits = np.zeros(1 << MARK_BITS >> 3, np.uint8)
+        bits = np.zeros(size, np.uint8)
         for batch in batches:
-            np.bitwise_or.at(bits, *_marks(batch.column(0).to_numpy(zero_copy_only=False)))
+            np.bitwise_or.at(bits, *_marks(batch.column(0).to_numpy(zero_copy_only=False), size))
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(1 << MARK_BITS >> 3, np.uint8)
+    out = np.zeros(size, np.uint8)
     for row in ids.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(row["bits"], np.uint8)
     return out
@@ -281,9 +284,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, marked_most: int) -> D
     hands on few others, so that texts stay where they are; beyond it texts are
     joined to the ids first.
     """
-    marks = None
-    if wanted.count() <= marked_most:
-        marks = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    marks, n = None, wanted.count()
+    if n <= marked_most:
+        marks = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, n))
     else:
         docs = docs.join(wanted, "doc_id", "left_semi")
 
@@ -355,7 +358,8 @@ def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = found.filter("doc_id IS NOT NULL")
     ids = named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("copy"))
     touched = stash.keep(ids.filter("copy OR rows > 1").select("doc_id", (F.col("rows") > 1).alias("several")), "touched")
-    marks = spark.sparkContext.broadcast(_bitmap(touched.select("doc_id"))) if touched.count() <= marked_most else None
+    n_touched = touched.count()
+    marks = spark.sparkContext.broadcast(_bitmap(touched.select("doc_id"), n_touched)) if n_touched <= marked_most else None
 
     def marked(wanted: bool):
         def run(batches):
@@ -415,7 +419,7 @@ def _grouped(docs: DataFrame, stash: Stash, words: int, part: int, whole: int, f
     if n_skipped > skipped_told:
         named = named.join(skipped, "doc_id", "left_anti")
     elif n_skipped:
-        told = spark.sparkContext.broadcast(np.sort(np.array([r["doc_id"] for r in skipped.collect()], np.int64)))
+        told = spark.sparkContext.broadcast(np.sort(skipped.toArrow().column("doc_id").to_numpy()))
 
     # frequent keys are aggregated where they are; the others are sorted by key
     rare = _prefix_keys(named, frequent, told, words, part, whole, False)
@@ -425,6 +429,9 @@ def _grouped(docs: DataFrame, stash: Stash, words: int, part: int, whole: int, f
     # no more keys than there are frequent shingles
     met = common.join(F.broadcast(pivots), "key").filter("doc_id <> pivot").select(F.col("doc_id").alias("doc"), "n", "pivot", "pivot_n")
     pairs = stash.keep(pairs.union(met).distinct(), "pairs")
+    frequent.destroy()
+    if told:
+        told.destroy()
     members = pairs.select(F.col("pivot").alias("block"), "doc", "n").union(pairs.select("pivot", "pivot", "pivot_n")).distinct()
     members = stash.keep(members, "members")
     stash.drop("pairs")

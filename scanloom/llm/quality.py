@@ -30,6 +30,8 @@ GRADES = 3
 KEEP_BEST = 0.995
 #: Parts of the sample, each judged by a fit on the others; and how far below their quantile the cut is set.
 FOLDS, MARGIN = 5, 0.9
+#: Partitions over which the fits are dealt by a hash; with so many each gets one of its own.
+FIT_PARTS = 48
 #: Bytes of the words whose buckets a worker keeps.
 WORDS_BYTES = 64 << 20
 _SHAPE = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"9"))
@@ -176,36 +178,38 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, sample: i
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     one = texts.mapInArrow(run, f"doc_id {kind}, grade int, b binary, v binary").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min(F.struct("b", "v")).alias("of"))
-    held = sorted(one.select("doc_id", "grade", "of.*").collect(), key=lambda r: (str(r["doc_id"]), bytes(r["b"])))
-    if not held:
-        return OrdinalModel(np.zeros(1 << BITS, np.float32), np.arange(n_grades - 1, dtype=float) - 40.0, 0.0)
-    folds = np.array([crc32(str(r["doc_id"]).encode()) % FOLDS for r in held])
-    table = spark.sparkContext.broadcast((*_flat(held), np.array([r["grade"] for r in held]), folds))
 
-    def fold(batches):
+    def fold(key, table):
         """The tails of a fold's texts of the top grade; at FOLDS the model of all texts."""
-        rows, buckets, values, grades, of = table.value
-        for k in [k for batch in batches for k in batch.column("id").to_pylist()]:
-            left = of != k
-            if not left.any() or (left.all() and k < FOLDS):
-                continue
-            use, number = left[rows], (np.cumsum(left) - 1).astype(np.int32)
-            model = fit(number[rows[use]], buckets[use], values[use], grades[left], n_grades)
-            tails = model.tail(np.bincount(rows, values * model.weights[buckets], len(grades)))[~left & (grades == n_grades - 1), -1]
-            whole = (model.weights, model.thresholds) if k == FOLDS else (np.zeros(0, np.float32), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([pa.array([k])] + [pa.array([a.tobytes()], pa.binary()) for a in (tails, *whole)], names=["id", "tails", "weights", "thresholds"])
-
-    fits = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fold, "id long, tails binary, weights binary, thresholds binary").collect()
+        k = key[0].as_py()
+        ids, b, v = (table.column(c).to_pylist() for c in ("doc_id", "b", "v"))
+        order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), b[i]))
+        rows, buckets, values = _flat([b[i] for i in order], [v[i] for i in order])
+        grades = table.column("grade").to_numpy()[order]
+        left = np.array([crc32(str(ids[i]).encode()) % FOLDS for i in order]) != k
+        if not left.any() or (left.all() and k < FOLDS):
+            return pa.table({c: pa.array([], kind) for c, kind in (("id", pa.int64()), ("tails", pa.binary()), ("weights", pa.binary()), ("thresholds", pa.binary()))})
+        use, number = left[rows], (np.cumsum(left) - 1).astype(np.int32)
+        model = fit(number[rows[use]], buckets[use], values[use], grades[left], n_grades)
+        tails = model.tail(np.bincount(rows, values * model.weights[buckets], len(grades)))[~left & (grades == n_grades - 1), -1]
+        whole = (model.weights, model.thresholds) if k == FOLDS else (np.zeros(0, np.float32), np.zeros(0))
+        return pa.table([pa.array([k])] + [pa.array([a.tobytes()], pa.binary()) for a in (tails, *whole)], names=["id", "tails", "weights", "thresholds"])
+
+    # each fit gets the sample, which is bounded, from the tasks that made it; the driver gets the fits
+    dealt = one.select("doc_id", "grade", "of.*", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)).cast("array<long>")).alias("fold"))
+    fits = dealt.repartition(FIT_PARTS, "fold").groupBy("fold").applyInArrow(fold, "id long, tails binary, weights binary, thresholds binary").collect()
+    if not fits:
+        return OrdinalModel(np.zeros(1 << BITS, np.float32), np.arange(n_grades - 1, dtype=float) - 40.0, 0.0)
     (whole,) = (r for r in fits if r["id"] == FOLDS)
     tails = np.concatenate([np.frombuffer(r["tails"]) for r in fits])
     cut = float(np.quantile(tails, 1 - keep_best, method="lower")) * MARGIN if len(tails) else 0.5
     return OrdinalModel(np.frombuffer(whole["weights"], np.float32), np.frombuffer(whole["thresholds"]), min(0.5, cut))
 
 
-def _flat(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    buckets = [np.frombuffer(r["b"], np.int32) for r in held]
-    rows = np.repeat(np.arange(len(held), dtype=np.int32), [len(b) for b in buckets])
-    return rows, np.concatenate(buckets), np.concatenate([np.frombuffer(r["v"], np.float32) for r in held])
+def _flat(b: list[bytes], v: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    buckets = [np.frombuffer(x, np.int32) for x in b]
+    rows = np.repeat(np.arange(len(b), dtype=np.int32), [len(x) for x in buckets])
+    return rows, np.concatenate(buckets), np.concatenate([np.frombuffer(x, np.float32) for x in v])
 
 
 def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:

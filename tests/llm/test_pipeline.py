@@ -1,12 +1,13 @@
 """The pipeline's stages on a small table: each decision takes effect, clean documents stay."""
 
+import pickle
 import random
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from scanloom.llm import bpe
+from scanloom.llm import bpe, quality
 from scanloom.llm.queries import oracle_sql, queries, tokenizer_path
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ru", "te", "zo") for b in ("ran", "sel", "tim", "von", "wex", "yad", "pil")]
@@ -60,6 +61,34 @@ def test_run_applies_all_stages(spark, folder):
     assert all(len(np.frombuffer(r["ids"], "<u4")) == r["n_tokens"] for r in out)
 
 
+def test_driver_holds_no_sample_and_no_large_bitmap(spark, folder, monkeypatch):
+    frame, context = type(spark.range(1)), type(spark.sparkContext)
+    collected, sent = [], []
+
+    def sizes(rows):
+        return [n for r in rows if (n := sum(len(v) for v in r if isinstance(v, (bytes, bytearray))))]
+
+    def recorded(real):
+        def run(self, *args):
+            rows = list(real(self, *args))
+            collected.append(sizes(rows))
+            return iter(rows) if real is streamed else rows
+
+        return run
+
+    streamed, broadcast = frame.toLocalIterator, context.broadcast
+    monkeypatch.setattr(frame, "collect", recorded(frame.collect))
+    monkeypatch.setattr(frame, "toLocalIterator", recorded(streamed))
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or broadcast(self, value))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    corpus_pipeline.grade(spark, docs, folder)
+    # fits come in, and the model goes out
+    assert max(map(len, collected)) <= quality.FOLDS + 1 and len(sent) == 1
+    collected.clear(), sent.clear()
+    corpus_pipeline.drop_near_copies(spark, docs, folder)
+    assert sent and max(sent) < 1 << 16 and max(map(sum, collected)) < 1 << 16
+
+
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row string, spans string, items map<string,int>, selected int, several long, component_id long, n long"
 
 
